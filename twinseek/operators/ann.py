@@ -15,7 +15,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinseek.operators.ranking import top_k_per_query
 from twinseek.operators.vector import Scope, nearest_batch
 
 # Training reads about this many vectors; every vector is assigned afterwards.
@@ -83,12 +82,8 @@ def search(
         .drop("probes")
     )
     scopes = [Scope("cluster", "cluster")] + ([Scope("user_id", "user_id")] if scoped else [])
-    # a query has one row per probe; their lists are merged by the final rank
-    numbered = probe.withColumn("asked", F.col("query_id")).withColumn("query_id", F.xxhash64("asked", "cluster"))
-    part = nearest_batch(numbered, assigned, k, scopes)
-    owner = numbered.select("query_id", "asked")
-    merged = part.drop("rank").join(owner, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
-    return top_k_per_query(merged.select("query_id", "id", "distance"), "distance", k)
+    # a query has one row per probe; clusters share no chunk, so its lists merge by rank alone
+    return nearest_batch(probe, assigned, k, scopes)
 
 
 def recall_sweep(

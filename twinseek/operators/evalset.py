@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from twinseek.functions import text as tx
 from twinseek.functions.json import json_text
 from twinseek.operators import histograms
-from twinseek.operators.ranking import blocked_row_number
+from twinseek.operators.ranking import blocked_row_number, hash_order
 
 # Share and surplus of the block sample, text length a chunk must exceed, batch and queries per document.
 SAMPLE_SHARE = 0.02
@@ -66,8 +67,6 @@ def pick_json_filter(chunks: DataFrame, seed: int = 0) -> dict | None:
         .select(F.to_json(F.struct(F.try_variant_get(F.try_parse_json("meta"), f"$['{key}']", "variant").alias("v"))).alias("j"))
         .first()
     )
-    import json
-
     return {key: json.loads(typed["j"])["v"]}
 
 
@@ -84,10 +83,15 @@ def random_documents(
     order = order or [random_key("user_document_id", seed + 1), F.col("user_document_id")]
     chosen = known.orderBy(*order).limit(n)
     # n rows: small by definition
-    picked = F.broadcast(chosen)
-    rows = chunks.join(picked, (chunks["id"] == chosen["chunk_id"]) & (chunks["user_document_id"] == chosen["user_document_id"]))
-    rows = rows.select(chosen["user_document_id"].alias("document_id"), chosen["chunk_id"], chunks["paragraph_id"],
-                       chunks["text"].alias("chunk_text"), chunks["embedding"], chunks["meta"])
+    picked = F.broadcast(chosen.select(F.col("chunk_id").alias("id"), "user_document_id"))
+    rows = chunks.join(picked, ["id", "user_document_id"]).select(
+        F.col("user_document_id").alias("document_id"),
+        F.col("id").alias("chunk_id"),
+        "paragraph_id",
+        F.col("text").alias("chunk_text"),
+        "embedding",
+        "meta",
+    )
     titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), "user_id")
     return titles.join(F.broadcast(rows), "document_id")
 
@@ -96,9 +100,11 @@ def documents_needed(queries: int, per_document: int = QUERIES_PER_DOCUMENT) ->
     return -(-queries // per_document)
 
 
-def number_batches(documents: DataFrame, order: Sequence[Column], size: int = GENERATION_BATCH) -> DataFrame:
-    """Adds `batch` and `doc_idx` (place in the batch) to an evaluation-sized document list."""
-    numbered = blocked_row_number(documents, list(order), F.lit(0), out="__n")
+def number_batches(
+    documents: DataFrame, order: tuple[list[Column], Column] | None = None, size: int = GENERATION_BATCH, seed: int = 0
+) -> DataFrame:
+    """Adds `batch` and `doc_idx` (place in the batch), in a repeatable shuffled order or a given one with its block."""
+    numbered = blocked_row_number(documents, *(order or hash_order("document_id", seed)), out="__n")
     place = F.col("__n") - 1
     return numbered.withColumn("batch", F.floor(place / size)).withColumn("doc_idx", place % size).drop("__n")
 
