@@ -23,6 +23,7 @@ TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 ITEM_PATTERN = r'-?"[^"]*"|[^\s"]+'
 # Fixed value: weight of one matched word in the cover-density rank.
 WORD_WEIGHT = 0.1
+SCORE_DECIMALS = 9
 # Lexeme that stands for "every chunk": anchors query groups made of negations only.
 EVERY_CHUNK = ""
 
@@ -132,7 +133,7 @@ def compile_query(text: Column, dictionary: str = "english") -> Column:
 
         def side(group: Column, excluded: bool) -> Column:
             chosen = F.filter(group, lambda x: F.startswith(x, F.lit("-")) == F.lit(excluded))
-            return F.filter(F.transform(chosen, item), lambda i: F.size(i) > 0)
+            return F.array_distinct(F.filter(F.transform(chosen, item), lambda i: F.size(i) > 0))
 
         groups = F.transform(
             bind(items, split_groups), lambda g: F.struct(side(g, False).alias("must"), side(g, True).alias("must_not"))
@@ -232,7 +233,8 @@ def cover_density(groups: Column, vector: Column, required: Column) -> Column:
             )
         )
 
-    return bind(alive, rank)
+    # sums that differ only in the last bits are ties
+    return F.round(bind(alive, rank), SCORE_DECIMALS)
 
 
 def _walk(alive: Column, places: Column) -> Column:

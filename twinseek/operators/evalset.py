@@ -71,17 +71,23 @@ def pick_json_filter(chunks: DataFrame, seed: int = 0) -> dict | None:
 
 
 def random_documents(
-    documents: DataFrame, chunks: DataFrame, n: int = 50, seed: int = 0, order: Sequence[Column] | None = None
+    documents: DataFrame,
+    chunks: DataFrame,
+    n: int = 50,
+    seed: int = 0,
+    chunk_key: Column | None = None,
+    document_key: Column | None = None,
 ) -> DataFrame:
-    """n random documents, each with one random chunk of more than 300 characters.
+    """n random documents, each with one random chunk of more than 300 characters (the keys replace the random order).
 
     The chunk is chosen by a partial aggregate per document over ids alone; text and vectors are fetched for the n chosen.
     """
+    key = random_key("id", seed) if chunk_key is None else chunk_key
     long = chunks.filter(F.length("text") > MIN_TEXT)
-    one = long.groupBy("user_document_id").agg(F.min_by("id", F.struct(random_key("id", seed), "id")).alias("chunk_id"))
+    one = long.groupBy("user_document_id").agg(F.min_by("id", F.struct(key, "id")).alias("chunk_id"))
     known = one.join(documents.select(F.col("id").alias("user_document_id")), "user_document_id", "left_semi")
-    order = order or [random_key("user_document_id", seed + 1), F.col("user_document_id")]
-    chosen = known.orderBy(*order).limit(n)
+    place = random_key("user_document_id", seed + 1) if document_key is None else document_key
+    chosen = known.orderBy(place, "user_document_id").limit(n)
     # n rows: small by definition
     picked = F.broadcast(chosen.select(F.col("chunk_id").alias("id"), "user_document_id"))
     rows = chunks.join(picked, ["id", "user_document_id"]).select(
