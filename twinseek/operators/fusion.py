@@ -159,6 +159,7 @@ def hybrid_ids(
     chunk_filter: Column | dict | None = None,
     doc_filter: Column | dict | None = None,
     max_results: int = MAX_RESULTS,
+    n_queries: int | None = None,
 ) -> DataFrame:
     """Ranked chunk ids: `query_id, id, text_rank, vector_rank, k_score, v_score, score, rank`.
 
@@ -175,7 +176,7 @@ def hybrid_ids(
     varied = "match_count" in queries.columns
     most = max_results if varied else min(match_count, max_results)
     pool = most * POOL_FACTOR
-    n = count_up_to(queries, BROADCAST_ROWS)
+    n = count_up_to(queries, BROADCAST_ROWS) if n_queries is None else n_queries
     legs = []
     for make in (text_pool, vector_pool):
         rows = make(queries, corpus, pool, chunk_filter)
@@ -209,9 +210,11 @@ def _parameters(queries: DataFrame, **defaults: float) -> DataFrame:
     return queries
 
 
-def with_payload(ranked: DataFrame, queries: DataFrame, corpus: Corpus, rows_per_query: int, scoped: bool = True) -> DataFrame:
+def with_payload(
+    ranked: DataFrame, queries: DataFrame, corpus: Corpus, rows_per_query: int, scoped: bool = True, n_queries: int | None = None
+) -> DataFrame:
     """Late join of ranked ids to the chunk columns. The tenant is part of the join, so only its files are read."""
-    n = count_up_to(queries, BROADCAST_ROWS)
+    n = count_up_to(queries, BROADCAST_ROWS) if n_queries is None else n_queries
     on = ["id"]
     if scoped:
         ranked = ranked.join(_side(queries.select("query_id", "user_id"), n), "query_id")
@@ -226,8 +229,9 @@ def with_payload(ranked: DataFrame, queries: DataFrame, corpus: Corpus, rows_per
 def hybrid_search(queries: DataFrame, corpus: Corpus, **parameters) -> DataFrame:
     """The hybrid search with chunk payload: `query_id, rank, id, user_document_id, paragraph_id, text, meta, created_at,
     k_score, v_score, score`."""
-    ranked = hybrid_ids(queries, corpus, **parameters)
-    return with_payload(ranked, queries, corpus, MAX_RESULTS).select(
+    n = count_up_to(queries, BROADCAST_ROWS)
+    ranked = hybrid_ids(queries, corpus, n_queries=n, **parameters)
+    return with_payload(ranked, queries, corpus, MAX_RESULTS, n_queries=n).select(
         "query_id", "rank", "id", "user_document_id", "paragraph_id", "text", "meta", "created_at",
         "k_score", "v_score", "score",
     )

@@ -80,14 +80,18 @@ def nearest_batch(
         *[F.col(s.query_column).alias(f"scope_{i}") for i, s in enumerate(scopes)],
     ]
     wanted = wanted.select(*columns)
-    size = wanted.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(F.size("query_embedding").cast("long")), F.lit(0)).alias("cells")
-    ).first()
-    passes = max(1, -(-size["rows"] // pass_rows), -(-size["cells"] * 8 // pass_bytes))
-    parts = []
-    for i in range(passes):
-        part = wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else wanted
-        parts.append(_one_pass(part.toArrow(), chunks, k, scopes, ranges, keep))
+    # never more than one pass and one row come to the driver at a time
+    batch = wanted.limit(pass_rows + 1).toArrow()
+    if batch.num_rows <= pass_rows and batch.nbytes <= pass_bytes:
+        parts = [_one_pass(batch, chunks, k, scopes, ranges, keep)]
+    else:
+        size = wanted.agg(F.count("*").alias("rows"), F.sum(F.size("query_embedding").cast("long")).alias("cells")).first()
+        # hash classes are uneven: aim at half a pass
+        passes = 2 * max(-(-size["rows"] // pass_rows), -(-size["cells"] * 8 // pass_bytes))
+        number = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+        parts = [
+            _one_pass(wanted.filter(number == i).toArrow(), chunks, k, scopes, ranges, keep) for i in range(passes)
+        ]
     best = parts[0]
     for part in parts[1:]:
         best = best.unionByName(part)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from twinseek.functions import vectors as vx
 from twinseek.operators import ann, embed, enrich, evalset, fusion, histograms, ingest, keyword, metrics, quality
 from twinseek.operators import vector as vec
 from twinseek.plans import search, suite
-from twinseek.session import shared_folder
+from twinseek.session import cut_lineage, shared_folder
 from twinseek.sources import corpus as cp
 from twinseek.sources import evalfiles, layout, timing
 from twinseek.streaming import ingest as stream
@@ -38,21 +38,21 @@ def r6(name: str) -> Column:
     return F.round(name, 6).alias(name)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that every executor reaches."""
-    return tempfile.mkdtemp(prefix="twinseek-", dir=shared_folder(spark)) if not shared_folder(spark) else (
-        f"{shared_folder(spark).rstrip('/')}/twinseek-{spark.sparkContext.applicationId}-{next(_NUMBERS)}"
-    )
+_RUNS = itertools.count(1)
 
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
+def scratch(spark: SparkSession) -> str:
+    """A new folder that every executor reaches: inside the cluster's shared folder, or local where none is named."""
+    shared = shared_folder(spark)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="twinseek-")
+    return f"{shared.rstrip('/')}/twinseek-{spark.sparkContext.applicationId}-{next(_RUNS)}"
+
 
+def known_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The known-item queries as a stored table, which is what a batch search gets to read several times."""
+    return cut_lineage(cp.known_item_queries(spark, folder))
 
-_NUMBERS = _count()
 
 # ---- ingestion and features
 
@@ -339,28 +339,28 @@ def _ranked(found: DataFrame) -> DataFrame:
 @register
 def vector_batch_user(spark: SparkSession, folder: str) -> DataFrame:
     scope = [vec.Scope("user_id", "user_id")]
-    return _ranked(vec.nearest_batch(cp.known_item_queries(spark, folder), _embedded(spark, folder), 10, scope))
+    return _ranked(vec.nearest_batch(known_items(spark, folder), _embedded(spark, folder), 10, scope))
 
 
 @register
 def vector_batch_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranked(vec.nearest_batch(cp.known_item_queries(spark, folder), _embedded(spark, folder), 10))
+    return _ranked(vec.nearest_batch(known_items(spark, folder), _embedded(spark, folder), 10))
 
 
 @register
 def vector_user_json(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranked(suite.simple_json_search(cp.known_item_queries(spark, folder), _embedded(spark, folder)))
+    return _ranked(suite.simple_json_search(known_items(spark, folder), _embedded(spark, folder)))
 
 
 @register
 def vector_user_json_range(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranked(suite.complex_json_search(cp.known_item_queries(spark, folder), _embedded(spark, folder)))
+    return _ranked(suite.complex_json_search(known_items(spark, folder), _embedded(spark, folder)))
 
 
 def _scenario(run: Callable[..., DataFrame], strategy: str, design: str = "denorm", **how) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         score = "distance" if run is suite.vector_scenario else "relevance"
-        found = run(cp.known_item_queries(spark, folder), cp.corpus(spark, folder), strategy, design, **how)
+        found = run(known_items(spark, folder), cp.corpus(spark, folder), strategy, design, **how)
         return found.select("query_id", "id", "rank", r6(score))
 
     return query
@@ -378,13 +378,13 @@ def ann_all_probes(spark: SparkSession, folder: str) -> DataFrame:
     """Approximate search that probes every cluster is exact."""
     rows = _embedded(spark, folder).select("id", "user_id", "embedding")
     clusters = ann.train(rows, 8)
-    return _ranked(ann.search(cp.known_item_queries(spark, folder), ann.assign(rows, clusters), clusters, 10, 8))
+    return _ranked(ann.search(known_items(spark, folder), ann.assign(rows, clusters), clusters, 10, 8))
 
 
 @register
 def ann_recall_sweep(spark: SparkSession, folder: str) -> DataFrame:
     rows = _embedded(spark, folder).select("id", "user_id", "embedding")
-    queries = cp.known_item_queries(spark, folder)
+    queries = known_items(spark, folder)
     clusters = ann.train(rows, 16)
     exact = vec.nearest_batch(queries, rows, 10)
     return ann.recall_sweep(queries, ann.assign(rows, clusters), clusters, exact, 10, [1, 2, 4, 8, 16])
@@ -432,11 +432,11 @@ def _from_benchmark(shape: Callable[[Column], Column]) -> Callable[[SparkSession
     return queries
 
 
-REGISTRY["keyword_user"] = _keyword(cp.known_item_queries)
-REGISTRY["keyword_all"] = _keyword(cp.known_item_queries, scoped=False)
+REGISTRY["keyword_user"] = _keyword(known_items)
+REGISTRY["keyword_all"] = _keyword(known_items, scoped=False)
 REGISTRY["keyword_short"] = _keyword(_short, k=100, scoped=False)
-REGISTRY["keyword_shuffle_join"] = _keyword(cp.known_item_queries, small=False)
-REGISTRY["keyword_english"] = _keyword(cp.known_item_queries, dictionary="english")
+REGISTRY["keyword_shuffle_join"] = _keyword(known_items, small=False)
+REGISTRY["keyword_english"] = _keyword(known_items, dictionary="english")
 REGISTRY["keyword_phrase"] = _keyword(
     _from_benchmark(lambda w: F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" '), w[2])), scoped=False
 )
@@ -454,7 +454,7 @@ REGISTRY["keyword_only_negative"] = _keyword(
 def keyword_vocabulary_anchor(spark: SparkSession, folder: str) -> DataFrame:
     """The rarest word of a query leads to its candidates."""
     index = keyword.text_index(cp.chunks(spark, folder), "simple")
-    queries = cp.known_item_queries(spark, folder)
+    queries = known_items(spark, folder)
     return _found(keyword.keyword_topk(queries, index, 10, dictionary="simple", known=keyword.vocabulary(index)))
 
 
@@ -469,7 +469,7 @@ REGISTRY["keyword_join_json"] = _scenario(suite.text_scenario, "jsonb", "join",
 
 def _fused(**parameters) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        found = fusion.hybrid_ids(cp.known_item_queries(spark, folder), cp.corpus(spark, folder), **parameters)
+        found = fusion.hybrid_ids(known_items(spark, folder), cp.corpus(spark, folder), **parameters)
         return found.select("query_id", "id", "rank", r6("k_score"), r6("v_score"), r6("score"))
 
     return query
@@ -483,7 +483,7 @@ def _with_text(found: DataFrame) -> DataFrame:
 
 @register
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_text(fusion.hybrid_search(cp.known_item_queries(spark, folder), cp.corpus(spark, folder)))
+    return _with_text(fusion.hybrid_search(known_items(spark, folder), cp.corpus(spark, folder)))
 
 
 @register
@@ -492,7 +492,7 @@ def hybrid_layout(spark: SparkSession, folder: str) -> DataFrame:
     place = scratch(spark)
     layout.write_corpus(cp.documents(spark, folder), cp.chunks(spark, folder), place, "simple", buckets=8)
     return _with_text(
-        fusion.hybrid_search(cp.known_item_queries(spark, folder), layout.read_corpus(spark, place, "simple", buckets=8))
+        fusion.hybrid_search(known_items(spark, folder), layout.read_corpus(spark, place, "simple", buckets=8))
     )
 
 
@@ -503,25 +503,25 @@ REGISTRY["hybrid_capped"] = _fused(match_count=100)
 
 @register
 def hybrid_weights(spark: SparkSession, folder: str) -> DataFrame:
-    found = fusion.weight_sweep(cp.known_item_queries(spark, folder), cp.corpus(spark, folder))
+    found = fusion.weight_sweep(known_items(spark, folder), cp.corpus(spark, folder))
     return found.select("weights", "query_id", "id", "rank", r6("score"))
 
 
 @register
 def hybrid_two_query(spark: SparkSession, folder: str) -> DataFrame:
-    found = fusion.hybrid_two_query(cp.known_item_queries(spark, folder), cp.corpus(spark, folder))
+    found = fusion.hybrid_two_query(known_items(spark, folder), cp.corpus(spark, folder))
     return found.select("query_id", "chunk_id", "text_rank", "vector_rank", r6("rrf_score"), "rank")
 
 
 @register
 def hybrid_weighted_raw(spark: SparkSession, folder: str) -> DataFrame:
-    found = fusion.hybrid_raw(cp.known_item_queries(spark, folder), cp.corpus(spark, folder), 1.0, 2.0)
+    found = fusion.hybrid_raw(known_items(spark, folder), cp.corpus(spark, folder), 1.0, 2.0)
     return found.select("query_id", "id", r6("k_score"), r6("v_score"), r6("score"), "rank")
 
 
 def _plain(scope: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        found = fusion.hybrid_plain(cp.known_item_queries(spark, folder), cp.corpus(spark, folder), scope=scope)
+        found = fusion.hybrid_plain(known_items(spark, folder), cp.corpus(spark, folder), scope=scope)
         return found.select("query_id", "id", "rank", r6("score"))
 
     return query
@@ -535,7 +535,7 @@ REGISTRY["hybrid_plain_join"] = _plain("join")
 
 
 def _results(spark: SparkSession, folder: str) -> tuple[DataFrame, fusion.Corpus, DataFrame]:
-    queries, corpus = cp.known_item_queries(spark, folder), cp.corpus(spark, folder)
+    queries, corpus = known_items(spark, folder), cp.corpus(spark, folder)
     ranked = fusion.hybrid_ids(queries, corpus)
     rows = fusion.with_payload(ranked, queries, corpus, fusion.MAX_RESULTS).select(
         "query_id", "user_id", "rank", F.col("id").alias("chunk_id"), F.col("user_document_id").alias("document_id"), "score"
@@ -566,7 +566,7 @@ def first_document_ranks(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def ground_truth_rank(spark: SparkSession, folder: str) -> DataFrame:
-    queries = cp.known_item_queries(spark, folder)
+    queries = known_items(spark, folder)
     found = fusion.hybrid_ids(queries, cp.corpus(spark, folder))
     return metrics.ground_truth_ranks(queries, found).select(
         "query_id", "ground_truth_rank", "found_ground_truth", "result_count"
@@ -577,7 +577,7 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
     """Every known item as a request; type and size follow from its document."""
     document = F.col("ground_truth_document_id")
     kind = F.when(document % 3 == 0, "semantic").when(document % 3 == 1, "keyword").otherwise("hybrid")
-    return cp.known_item_queries(spark, folder).select(
+    return known_items(spark, folder).select(
         "query_id", "user_id", "query_text", F.col("query_embedding").alias("embedding"), kind.alias("search_type"),
         (1 + document % 12).cast("int").alias("limit"),
     )
@@ -652,7 +652,7 @@ def attach_queries(spark: SparkSession, folder: str) -> DataFrame:
 def evaluation_files(spark: SparkSession, folder: str) -> DataFrame:
     """An evaluation set written as table and sidecar, and read back."""
     place = scratch(spark)
-    queries = cp.known_item_queries(spark, folder).select(
+    queries = known_items(spark, folder).select(
         "query_id", "query_text", "ground_truth_chunk_id", "ground_truth_document_id",
         F.col("user_id").alias("ground_truth_user_id"), "ground_truth_paragraph_id",
         F.lit("title").alias("document_title"), tx.preview(F.col("query_text")).alias("chunk_text_preview"), "meta",
@@ -669,7 +669,7 @@ def evaluation_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def evaluation_tenants(spark: SparkSession, folder: str) -> DataFrame:
-    return evalset.tenants_of(cp.known_item_queries(spark, folder).withColumnRenamed("user_id", "ground_truth_user_id"))
+    return evalset.tenants_of(known_items(spark, folder).withColumnRenamed("user_id", "ground_truth_user_id"))
 
 
 @register
@@ -798,7 +798,7 @@ def config_table(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def suite_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every scenario over every known item: how often and how high the expected chunk is found."""
-    runs = suite.run_suite(cp.known_item_queries(spark, folder), cp.corpus(spark, folder))
+    runs = suite.run_suite(known_items(spark, folder), cp.corpus(spark, folder))
     report = metrics.quality_report(runs.withColumn("latency_ms", F.lit(None).cast("double")), ["search_type", "filter_type"])
     return report.drop("mean_ms")
 
@@ -806,6 +806,6 @@ def suite_quality(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def matrix_quality(spark: SparkSession, folder: str) -> DataFrame:
     runs = suite.run_matrix(
-        cp.known_item_queries(spark, folder), cp.corpus(spark, folder), CHUNK_FILTER, DOCUMENT_FILTER
+        known_items(spark, folder), cp.corpus(spark, folder), CHUNK_FILTER, DOCUMENT_FILTER
     )
     return metrics.quality_report(runs.withColumn("latency_ms", F.lit(None).cast("double")), ["config"]).drop("mean_ms")
