@@ -9,9 +9,11 @@ wherever the chunk row already is.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -303,3 +305,33 @@ def _walk(alive: Column, places: Column) -> Column:
         return bind(latest, lambda new: bind(F.array_max(F.transform(new, F.array_min)), lambda b: advance(new, b)))
 
     return F.aggregate(events, start, step, settled)
+
+
+# Building these expressions takes a thousand calls to the JVM each, so one copy per application is kept. They name the
+# columns of the keyword operators: query_text, query, lexemes, required, groups, text_search_vector.
+
+
+def _application() -> str:
+    return SparkContext._active_spark_context.applicationId
+
+
+@lru_cache(maxsize=16)
+def _kept(application: str, name: str, dictionary: str | None = None) -> Column:
+    vector, query = F.col("text_search_vector"), F.col("query")
+    if name == "query":
+        return compile_query(F.col("query_text"), dictionary)
+    if name == "groups":
+        return match_groups(vector, query, F.col("lexemes"))
+    return cover_density(F.col("groups"), vector, F.col("required"))
+
+
+def query_column(dictionary: str) -> Column:
+    return _kept(_application(), "query", dictionary)
+
+
+def groups_column() -> Column:
+    return _kept(_application(), "groups")
+
+
+def relevance_column() -> Column:
+    return _kept(_application(), "relevance")

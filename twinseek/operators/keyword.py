@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from twinseek.functions import fulltext
 from twinseek.operators.ranking import top_k_per_query
 from twinseek.operators.sizing import fits_broadcast
+from twinseek.session import cut_lineage
+
+# Words of a batch up to this many are pushed into the postings scan.
+PUSHED_WORDS = 2_000
 
 
 def text_index(chunks: DataFrame, dictionary: str = "english", keep: Sequence[str] = ()) -> DataFrame:
@@ -19,10 +23,17 @@ def text_index(chunks: DataFrame, dictionary: str = "english", keep: Sequence[st
     )
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """`lexeme, id, user_id, positions`: the index turned to one row per word and chunk."""
-    return index.select("id", "user_id", F.explode("text_search_vector").alias("entry")).select(
-        F.col("entry.lexeme").alias("lexeme"), "id", "user_id", F.col("entry.positions").alias("positions")
+def postings(index: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """`lexeme, id, user_id, *keep, positions`: the index turned to one row per word and chunk."""
+    return index.select("id", "user_id", *keep, F.explode("text_search_vector").alias("entry")).select(
+        F.col("entry.lexeme").alias("lexeme"), "id", "user_id", *keep, F.col("entry.positions").alias("positions")
+    )
+
+
+def chunk_postings(index: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One more row per chunk under the word that stands for every chunk; stored with the postings."""
+    return index.select(
+        F.lit(fulltext.EVERY_CHUNK).alias("lexeme"), "id", "user_id", *keep, F.array().cast("array<int>").alias("positions")
     )
 
 
@@ -37,7 +48,7 @@ def vocabulary(index: DataFrame) -> DataFrame:
 
 def compile_queries(queries: DataFrame, dictionary: str = "english") -> DataFrame:
     """Adds the compiled form, all its words and the required ones. A query that can match nothing has no groups."""
-    return queries.withColumn("query", fulltext.compile_query(F.col("query_text"), dictionary)).withColumns(
+    return queries.withColumn("query", fulltext.query_column(dictionary)).withColumns(
         {"lexemes": fulltext.query_lexemes(F.col("query")), "required": fulltext.required_words(F.col("query"))}
     )
 
@@ -76,40 +87,70 @@ def keyword_matches(
     known: DataFrame | None = None,
     small: bool | None = None,
     keep: Sequence[str] = (),
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Every matching chunk of every query: `query_id, id, *keep, relevance` (`keep`: columns of the index).
 
     `queries` has `query_id, query_text` and, when scoped, `user_id`. Only chunks that hold a group's anchor word are
-    looked at; the rest of the query is checked inside the chunk row, so words are never joined to words. When the batch
-    has a measured size fit for broadcast the index is read in place; otherwise anchors and postings meet in a shuffle
-    join (a frequent word is split by AQE) and only the candidates fetch their text vector.
+    looked at; the rest of the query is checked inside the chunk row, so words are never joined to words.
+
+    - A batch of measured size fit for broadcast reads the index in place.
+    - A larger batch meets the index in a shuffle join on the anchor (a frequent word is split by AQE), and only the
+      candidates fetch their text vector.
+    - With stored postings (`lines`, clustered by lexeme) neither reads the index: see `_from_postings`.
     """
-    leads = anchors(compile_queries(_query_columns(queries, scoped), dictionary), known)
+    leads = cut_lineage(anchors(compile_queries(_query_columns(queries, scoped), dictionary), known))
     small = fits_broadcast(leads) if small is None else small
+    on = ["anchor", "user_id"] if scoped else ["anchor"]
+    unused = [] if scoped else ["user_id"]
     words = F.concat(F.col("text_search_vector.lexeme"), F.array(F.lit(fulltext.EVERY_CHUNK)))
-    if small:
+    if lines is not None:
+        pairs = _from_postings(leads, lines.drop(*unused), on, small, keep)
+    elif small:
         exploded = index.select("id", "user_id", *keep, "text_search_vector", F.explode(words).alias("anchor"))
-        on = ["anchor", "user_id"] if scoped else ["anchor"]
-        if not scoped:
-            exploded = exploded.drop("user_id")
-        pairs = exploded.join(F.broadcast(leads), on)
+        pairs = exploded.drop(*unused).join(F.broadcast(leads), on)
     else:
-        lines = index.select("id", "user_id", F.explode(words).alias("anchor"))
-        on = ["anchor", "user_id"] if scoped else ["anchor"]
-        candidates = lines.drop(*([] if scoped else ["user_id"])).join(leads, on).drop("user_id")
+        held = index.select("id", "user_id", F.explode(words).alias("anchor")).drop(*unused)
+        candidates = held.join(leads, on).drop("user_id")
         pairs = candidates.join(index.select("id", *keep, "text_search_vector"), "id")
-    vector, query = F.col("text_search_vector"), F.col("query")
-    groups = fulltext.match_groups(vector, query, F.col("lexemes"))
     # a chunk may be reached through several groups; the first satisfied one reports it. The generator evaluates the match
     # once, where a filter and a projection would each do it
-    hits = F.filter(F.array(groups), lambda g: fulltext.first_match(g) == F.col("group_no"))
-    return pairs.select(
-        "query_id", "id", *keep, "text_search_vector", "required", F.explode_outer(hits).alias("groups")
-    ).filter(F.col("groups").isNotNull()).select(
-        "query_id",
-        "id",
-        *keep,
-        fulltext.cover_density(F.col("groups"), vector, F.col("required")).alias("relevance"),
+    hits = F.filter(F.array(fulltext.groups_column()), lambda g: fulltext.first_match(g) == F.col("group_no"))
+    return (
+        pairs.select("query_id", "id", *keep, "text_search_vector", "required", F.explode_outer(hits).alias("groups"))
+        .filter(F.col("groups").isNotNull())
+        .select("query_id", "id", *keep, fulltext.relevance_column().alias("relevance"))
+    )
+
+
+def _from_postings(leads: DataFrame, lines: DataFrame, on: list[str], small: bool, keep: Sequence[str]) -> DataFrame:
+    """Candidate pairs with a text vector of the query's own words, from postings alone.
+
+    The words of a small batch are pushed into the scan, so the postings of other words are skipped by their row-group
+    bounds. Candidates come from the anchor's postings; the other words' postings are matched to candidates by (word,
+    chunk). A candidate gathers at most as many rows as its query has words.
+    """
+    wanted = lines
+    if small:
+        # within the broadcast bound; a long list is left to the join
+        used = leads.select(F.explode(F.array_union("lexemes", F.array("anchor"))).alias("w")).distinct().limit(PUSHED_WORDS + 1)
+        used = used.toArrow()["w"].to_pylist()
+        if len(used) <= PUSHED_WORDS:
+            wanted = lines.filter(F.col("lexeme").isin(used))
+    side = F.broadcast(leads) if small else leads
+    candidates = cut_lineage(
+        wanted.drop("positions").withColumnRenamed("lexeme", "anchor").join(side, on).select(
+            "query_id", "group_no", "id", *keep, "query", "lexemes", "required"
+        )
+    )
+    asked = candidates.select("query_id", "group_no", "id", F.explode("lexemes").alias("lexeme"))
+    met = asked.join(wanted.select("lexeme", "id", "positions"), ["lexeme", "id"])
+    vectors = met.groupBy("query_id", "group_no", "id").agg(
+        F.collect_list(F.struct("lexeme", "positions")).alias("text_search_vector")
+    )
+    nothing = F.array().cast(fulltext.VECTOR_TYPE)
+    return candidates.join(vectors, ["query_id", "group_no", "id"], "left").withColumn(
+        "text_search_vector", F.coalesce("text_search_vector", nothing)
     )
 
 

@@ -50,7 +50,13 @@ def _side(corpus: Corpus, design: str) -> Corpus:
     if design == "denorm":
         return corpus
     documents = corpus.documents
-    return replace(corpus, text=owned(corpus.text, documents), vectors=owned(corpus.vectors, documents), user_buckets=None)
+    return replace(
+        corpus,
+        text=owned(corpus.text, documents),
+        vectors=owned(corpus.vectors, documents),
+        postings=None,
+        user_buckets=None,
+    )
 
 
 def vector_scenario(

@@ -416,6 +416,8 @@ q AS (SELECT query_id, user_id, w[1] || ' ' || w[2] || ' or "' || w[3] || ' ' ||
     negative = BENCH_QUERIES + r""",
 q AS (SELECT query_id, user_id, '-' || w[1] || ' -"' || w[2] || ' ' || w[3] || '"' AS query_text FROM bq)"""
     sql["keyword_only_negative"] = keyword(queries=negative)
+    sql["keyword_postings"] = sql["keyword_user"]
+    sql["keyword_negative_postings"] = sql["keyword_only_negative"]
     sql["keyword_json"] = keyword(scoped=False, condition="position = 'beginning' AND NOT has_math")
     sql["keyword_user_date"] = keyword(condition="created_at > TIMESTAMP '2024-01-01'")
     sql["keyword_join_none"] = keyword(scoped=False)

@@ -445,9 +445,16 @@ REGISTRY["keyword_or_not"] = _keyword(
         lambda w: F.concat(w[0], F.lit(" "), w[1], F.lit(' or "'), w[2], F.lit(" "), w[3], F.lit('" -'), w[4])
     )
 )
-REGISTRY["keyword_only_negative"] = _keyword(
-    _from_benchmark(lambda w: F.concat(F.lit("-"), w[0], F.lit(' -"'), w[1], F.lit(" "), w[2], F.lit('"')))
-)
+_negative = _from_benchmark(lambda w: F.concat(F.lit("-"), w[0], F.lit(' -"'), w[1], F.lit(" "), w[2], F.lit('"')))
+REGISTRY["keyword_only_negative"] = _keyword(_negative)
+
+
+@register
+def keyword_negative_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Exclusions without any required word, from postings."""
+    index = keyword.text_index(cp.chunks(spark, folder), "simple")
+    lines = cut_lineage(keyword.postings(index).unionByName(keyword.chunk_postings(index)))
+    return _found(keyword.keyword_topk(_negative(spark, folder), index, 10, dictionary="simple", lines=lines))
 
 
 @register
@@ -496,6 +503,16 @@ def hybrid_layout(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+
+@register
+def keyword_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyword search that reads stored postings only."""
+    place = scratch(spark)
+    layout.write_corpus(cp.documents(spark, folder), cp.chunks(spark, folder), place, "simple", buckets=8)
+    corpus = layout.read_corpus(spark, place, "simple", 8, use_postings=True)
+    return _found(fusion.text_pool(known_items(spark, folder), corpus, 10))
+
+
 REGISTRY["hybrid_chunk_filter"] = _fused(chunk_filter=CHUNK_FILTER)
 REGISTRY["hybrid_doc_filter"] = _fused(chunk_filter=CHUNK_FILTER, doc_filter=DOCUMENT_FILTER)
 REGISTRY["hybrid_capped"] = _fused(match_count=100)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinseek.operators.fusion import Corpus, user_bucket
-from twinseek.operators.keyword import postings, text_index, vocabulary
+from twinseek.operators.keyword import chunk_postings, postings, text_index, vocabulary
 
 USER_BUCKETS = 64
 # Metadata keys that filters use often, kept as typed columns.
@@ -33,11 +33,18 @@ def promote_hot_keys(chunks: DataFrame) -> DataFrame:
 
 
 def write_by_tenant(df: DataFrame, path: str, buckets: int = USER_BUCKETS, mode: str = "overwrite") -> None:
-    """One partition per tenant bucket. Range clustering cuts a large tenant into as many files as it needs."""
+    """One partition per tenant bucket, one shuffle.
+
+    The rebalance lets AQE cut the partition of a large tenant into files of the advised size and join up small ones.
+    """
+    _write_sorted(
+        df.withColumn("user_bucket", user_bucket(F.col("user_id"), buckets)).hint("rebalance", F.col("user_bucket")), path, mode
+    )
+
+
+def _write_sorted(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (
-        df.withColumn("user_bucket", user_bucket(F.col("user_id"), buckets))
-        .repartitionByRange("user_bucket", "user_id", "id")
-        .sortWithinPartitions("user_bucket", "user_id", "id")
+        df.sortWithinPartitions("user_bucket", "user_id", "id")
         .write.mode(mode)
         .partitionBy("user_bucket")
         .parquet(path)
@@ -52,7 +59,10 @@ def write_corpus(
     buckets: int = USER_BUCKETS,
     users: DataFrame | None = None,
 ) -> None:
-    """Write all tables of a searchable corpus. Later tables read the chunks back instead of deriving them again."""
+    """Write all tables of a searchable corpus.
+
+    The chunks are derived and shuffled once; the narrower tables read them back, already clustered, without a shuffle.
+    """
     spark = documents.sparkSession
     if users is not None:
         users.write.mode("overwrite").parquet(f"{folder}/users")
@@ -60,22 +70,27 @@ def write_corpus(
     write_by_tenant(promote_hot_keys(chunks), f"{folder}/all", buckets)
     rows = spark.read.parquet(f"{folder}/all")
     filters = ["user_document_id", "meta", "created_at", *HOT_KEYS]
-    write_by_tenant(rows.drop("embedding", "user_bucket"), f"{folder}/chunks", buckets)
-    write_by_tenant(
-        rows.filter(F.col("embedding").isNotNull()).select("id", "user_id", *filters, "embedding"),
+    _write_sorted(rows.drop("embedding"), f"{folder}/chunks")
+    _write_sorted(
+        rows.filter(F.col("embedding").isNotNull()).select("id", "user_id", *filters, "embedding", "user_bucket"),
         f"{folder}/vectors",
-        buckets,
     )
-    write_by_tenant(text_index(rows, dictionary, filters), f"{folder}/text", buckets)
+    _write_sorted(text_index(rows, dictionary, [*filters, "user_bucket"]), f"{folder}/text")
     index = spark.read.parquet(f"{folder}/text")
-    postings(index).repartitionByRange("lexeme", "id").sortWithinPartitions("lexeme", "id").write.mode(
-        "overwrite"
-    ).parquet(f"{folder}/postings")
+    lines = postings(index, ["user_document_id"]).unionByName(chunk_postings(index, ["user_document_id"]))
+    # range clustering splits a word that occurs everywhere over several files
+    lines.repartitionByRange("lexeme", "id").sortWithinPartitions("lexeme", "id").write.mode("overwrite").parquet(
+        f"{folder}/postings"
+    )
     vocabulary(index).write.mode("overwrite").parquet(f"{folder}/vocabulary")
 
 
 def read_corpus(
-    spark: SparkSession, folder: str, dictionary: str = "english", buckets: int = USER_BUCKETS
+    spark: SparkSession,
+    folder: str,
+    dictionary: str = "english",
+    buckets: int = USER_BUCKETS,
+    use_postings: bool = False,
 ) -> Corpus:
     return Corpus(
         chunks=spark.read.parquet(f"{folder}/chunks"),
@@ -84,6 +99,7 @@ def read_corpus(
         vectors=spark.read.parquet(f"{folder}/vectors"),
         dictionary=dictionary,
         vocabulary=spark.read.parquet(f"{folder}/vocabulary"),
+        postings=spark.read.parquet(f"{folder}/postings") if use_postings else None,
         user_buckets=buckets,
     )
 
