@@ -11,7 +11,7 @@ from twinseek.functions.json import json_contains
 from twinseek.functions.scores import reciprocal_rank, weighted
 from twinseek.operators.keyword import keyword_matches
 from twinseek.operators.ranking import top_k_per_query
-from twinseek.operators.sizing import BROADCAST_ROWS, count_up_to
+from twinseek.operators.sizing import BROADCAST_ROWS
 from twinseek.operators.vector import Scope, nearest_batch
 
 # Result cap, pool size as a multiple of it, and smoothing constant of the hybrid search.
@@ -66,21 +66,44 @@ def user_bucket(user_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(user_id.cast("long")), F.lit(buckets)).cast("int")
 
 
-def tenant_files(df: DataFrame, queries: DataFrame, corpus: Corpus) -> DataFrame:
-    """Only the partitions of the tenants that ask; at most `user_buckets` values come to the driver."""
-    if corpus.user_buckets is None or "user_bucket" not in df.columns:
+@dataclass(frozen=True)
+class Batch:
+    """What is known of a query table: its number of rows and, for tables in the tenant layout, the partitions it asks."""
+
+    n: int
+    buckets: list[int] | None
+
+
+def measure(queries: DataFrame, corpus: Corpus, scoped: bool = True) -> Batch:
+    """One small job; at most `user_buckets` numbers come to the driver."""
+    if corpus.user_buckets is None or not scoped:
+        return Batch(queries.count(), None)
+    row = queries.agg(
+        F.count("*").alias("n"), F.collect_set(user_bucket(F.col("user_id"), corpus.user_buckets)).alias("buckets")
+    ).first()
+    return Batch(row["n"], sorted(row["buckets"]))
+
+
+def tenant_files(df: DataFrame, batch: Batch) -> DataFrame:
+    """Only the partitions of the tenants that ask."""
+    if batch.buckets is None or "user_bucket" not in df.columns:
         return df
-    asked = queries.select(user_bucket(F.col("user_id"), corpus.user_buckets).alias("b")).distinct().toArrow()
-    return df.filter(F.col("user_bucket").isin([b for b in asked["b"].to_pylist() if b is not None]))
+    return df.filter(F.col("user_bucket").isin(batch.buckets))
 
 
 def text_pool(
-    queries: DataFrame, corpus: Corpus, pool: int, chunk_filter: Column | dict | None = None, scoped: bool = True
+    queries: DataFrame,
+    corpus: Corpus,
+    pool: int,
+    chunk_filter: Column | dict | None = None,
+    scoped: bool = True,
+    batch: Batch | None = None,
 ) -> DataFrame:
     """Best `pool` keyword matches per query: `query_id, id, user_document_id, relevance, rank`."""
+    batch = batch or measure(queries, corpus, scoped)
     matches = keyword_matches(
         queries,
-        _apply(tenant_files(corpus.text, queries, corpus) if scoped else corpus.text, chunk_filter),
+        _apply(tenant_files(corpus.text, batch), chunk_filter),
         corpus.dictionary,
         scoped,
         corpus.vocabulary,
@@ -91,12 +114,18 @@ def text_pool(
 
 
 def vector_pool(
-    queries: DataFrame, corpus: Corpus, pool: int, chunk_filter: Column | dict | None = None, scoped: bool = True
+    queries: DataFrame,
+    corpus: Corpus,
+    pool: int,
+    chunk_filter: Column | dict | None = None,
+    scoped: bool = True,
+    batch: Batch | None = None,
 ) -> DataFrame:
     """Nearest `pool` chunks per query: `query_id, id, user_document_id, distance, rank`."""
+    batch = batch or measure(queries, corpus, scoped)
     return nearest_batch(
         queries,
-        _apply(tenant_files(corpus.vectors, queries, corpus) if scoped else corpus.vectors, chunk_filter),
+        _apply(tenant_files(corpus.vectors, batch), chunk_filter),
         pool,
         scopes=[Scope("user_id", "user_id")] if scoped else [],
         keep=["user_document_id"],
@@ -162,7 +191,7 @@ def hybrid_ids(
     chunk_filter: Column | dict | None = None,
     doc_filter: Column | dict | None = None,
     max_results: int = MAX_RESULTS,
-    n_queries: int | None = None,
+    batch: Batch | None = None,
 ) -> DataFrame:
     """Ranked chunk ids: `query_id, id, text_rank, vector_rank, k_score, v_score, score, rank`.
 
@@ -179,10 +208,11 @@ def hybrid_ids(
     varied = "match_count" in queries.columns
     most = max_results if varied else min(match_count, max_results)
     pool = most * POOL_FACTOR
-    n = count_up_to(queries, BROADCAST_ROWS) if n_queries is None else n_queries
+    batch = batch or measure(queries, corpus)
+    n = batch.n
     legs = []
     for make in (text_pool, vector_pool):
-        rows = make(queries, corpus, pool, chunk_filter)
+        rows = make(queries, corpus, pool, chunk_filter, batch=batch)
         if varied:
             limits = own.select("query_id", (F.col("match_count") * POOL_FACTOR).alias("pool_k"))
             rows = rows.join(_side(limits, n), "query_id").filter(F.col("rank") <= F.col("pool_k")).drop("pool_k")
@@ -203,7 +233,7 @@ def hybrid_ids(
 
 
 def _side(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n < BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def _parameters(queries: DataFrame, **defaults: float) -> DataFrame:
@@ -214,10 +244,16 @@ def _parameters(queries: DataFrame, **defaults: float) -> DataFrame:
 
 
 def with_payload(
-    ranked: DataFrame, queries: DataFrame, corpus: Corpus, rows_per_query: int, scoped: bool = True, n_queries: int | None = None
+    ranked: DataFrame,
+    queries: DataFrame,
+    corpus: Corpus,
+    rows_per_query: int,
+    scoped: bool = True,
+    batch: Batch | None = None,
 ) -> DataFrame:
     """Late join of ranked ids to the chunk columns. The tenant is part of the join, so only its files are read."""
-    n = count_up_to(queries, BROADCAST_ROWS) if n_queries is None else n_queries
+    batch = batch or measure(queries, corpus, scoped)
+    n = batch.n
     on = ["id"]
     if scoped:
         ranked = ranked.join(_side(queries.select("query_id", "user_id"), n), "query_id")
@@ -226,23 +262,31 @@ def with_payload(
             ranked = ranked.withColumn("user_bucket", user_bucket(F.col("user_id"), corpus.user_buckets))
             on.append("user_bucket")
     side = F.broadcast(ranked) if n * rows_per_query <= BROADCAST_ROWS else ranked
-    return corpus.chunks.join(side, on)
+    return tenant_files(corpus.chunks, batch).join(side, on)
 
 
 def hybrid_search(queries: DataFrame, corpus: Corpus, **parameters) -> DataFrame:
     """The hybrid search with chunk payload: `query_id, rank, id, user_document_id, paragraph_id, text, meta, created_at,
     k_score, v_score, score`."""
-    n = count_up_to(queries, BROADCAST_ROWS)
-    ranked = hybrid_ids(queries, corpus, n_queries=n, **parameters)
-    return with_payload(ranked, queries, corpus, MAX_RESULTS, n_queries=n).select(
+    batch = measure(queries, corpus)
+    ranked = hybrid_ids(queries, corpus, batch=batch, **parameters)
+    return with_payload(ranked, queries, corpus, MAX_RESULTS, batch=batch).select(
         "query_id", "rank", "id", "user_document_id", "paragraph_id", "text", "meta", "created_at",
         "k_score", "v_score", "score",
     )
 
 
+def _fused_pools(queries: DataFrame, corpus: Corpus, pool: int, scoped: bool = True) -> DataFrame:
+    batch = measure(queries, corpus, scoped)
+    return fuse(
+        text_pool(queries, corpus, pool, scoped=scoped, batch=batch),
+        vector_pool(queries, corpus, pool, scoped=scoped, batch=batch),
+    )
+
+
 def hybrid_two_query(queries: DataFrame, corpus: Corpus, limit: int = 10) -> DataFrame:
     """Both legs at a fixed pool, a missing rank counting as a very high one."""
-    fused = fuse(text_pool(queries, corpus, TWO_QUERY_POOL), vector_pool(queries, corpus, TWO_QUERY_POOL))
+    fused = _fused_pools(queries, corpus, TWO_QUERY_POOL)
     scored = rrf_scores(fused, TWO_QUERY_RRF_K, missing_rank=MISSING_RANK)
     return top_k_per_query(scored, "score", limit, descending=True).select(
         "query_id", F.col("id").alias("chunk_id"), "vector_rank", "text_rank", F.col("score").alias("rrf_score"), "rank"
@@ -253,7 +297,7 @@ def hybrid_raw(
     queries: DataFrame, corpus: Corpus, vector_weight: float = 1.0, text_weight: float = 1.0, limit: int = 10
 ) -> DataFrame:
     """Weighted fusion that reports the raw relevance and the unweighted semantic part."""
-    fused = fuse(text_pool(queries, corpus, RAW_POOL), vector_pool(queries, corpus, RAW_POOL))
+    fused = _fused_pools(queries, corpus, RAW_POOL)
     semantic = F.coalesce(reciprocal_rank(F.col("vector_rank"), RAW_RRF_K), F.lit(0.0))
     keyword = F.coalesce(reciprocal_rank(F.col("text_rank"), RAW_RRF_K), F.lit(0.0))
     scored = fused.select(
@@ -279,9 +323,7 @@ def hybrid_plain(queries: DataFrame, corpus: Corpus, limit: int = 10, scope: str
             user_buckets=None,
         )
     scoped = scope != "none"
-    fused = fuse(
-        text_pool(queries, corpus, PLAIN_POOL, scoped=scoped), vector_pool(queries, corpus, PLAIN_POOL, scoped=scoped)
-    )
+    fused = _fused_pools(queries, corpus, PLAIN_POOL, scoped)
     return top_k_per_query(rrf_scores(fused, PLAIN_RRF_K), "score", limit, descending=True).select(
         "query_id", "id", "score", "rank"
     )
@@ -298,7 +340,7 @@ def weight_sweep(queries: DataFrame, corpus: Corpus, match_count: int = 10, sett
     settings = settings or WEIGHT_SETTINGS
     k = min(match_count, MAX_RESULTS)
     pool = k * POOL_FACTOR
-    fused = fuse(text_pool(queries, corpus, pool), vector_pool(queries, corpus, pool))
+    fused = _fused_pools(queries, corpus, pool)
     variants = F.array(
         *[
             F.struct(F.lit(name).alias("name"), F.lit(float(t)).alias("t"), F.lit(float(s)).alias("s"))

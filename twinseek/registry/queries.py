@@ -509,7 +509,7 @@ def keyword_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword search that reads stored postings only."""
     place = scratch(spark)
     layout.write_corpus(cp.documents(spark, folder), cp.chunks(spark, folder), place, "simple", buckets=8)
-    corpus = layout.read_corpus(spark, place, "simple", 8, use_postings=True)
+    corpus = layout.read_corpus(spark, place, "simple", 8, use_postings=True, use_vocabulary=True)
     return _found(fusion.text_pool(known_items(spark, folder), corpus, 10))
 
 

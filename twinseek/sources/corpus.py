@@ -51,7 +51,9 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    source = table(spark, folder, "documents").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")
+    source = spread(table(spark, folder, "documents"), "doc_id").join(
+        table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left"
+    )
     meta = F.to_json(
         F.struct(
             F.col("lang").alias("language"),

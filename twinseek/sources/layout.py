@@ -91,14 +91,16 @@ def read_corpus(
     dictionary: str = "english",
     buckets: int = USER_BUCKETS,
     use_postings: bool = False,
+    use_vocabulary: bool = False,
 ) -> Corpus:
+    """The stored tables. Postings pay off for small batches on large corpora, the vocabulary where common words are long."""
     return Corpus(
         chunks=spark.read.parquet(f"{folder}/chunks"),
         documents=spark.read.parquet(f"{folder}/documents"),
         text=spark.read.parquet(f"{folder}/text"),
         vectors=spark.read.parquet(f"{folder}/vectors"),
         dictionary=dictionary,
-        vocabulary=spark.read.parquet(f"{folder}/vocabulary"),
+        vocabulary=spark.read.parquet(f"{folder}/vocabulary") if use_vocabulary else None,
         postings=spark.read.parquet(f"{folder}/postings") if use_postings else None,
         user_buckets=buckets,
     )
