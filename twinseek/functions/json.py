@@ -56,6 +56,10 @@ def _type(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def _any_contains(items: Column, wanted: Any) -> Column:
+    return F.exists(items, lambda x: F.coalesce(_contains(x, wanted), F.lit(False)))
+
+
 def _contains(value: Column, wanted: Any) -> Column:
     if isinstance(wanted, dict):
         is_object = F.startswith(_type(value), F.lit("OBJECT"))
@@ -64,7 +68,7 @@ def _contains(value: Column, wanted: Any) -> Column:
     if isinstance(wanted, (list, tuple)):
         is_array = F.startswith(_type(value), F.lit("ARRAY"))
         items = F.try_variant_get(value, "$", "array<variant>")
-        parts = [F.exists(items, lambda x, w=w: F.coalesce(_contains(x, w), F.lit(False))) for w in wanted]
+        parts = [_any_contains(items, w) for w in wanted]
         return reduce(and_, parts, is_array)
     if wanted is None:
         return _type(value) == "VOID"
