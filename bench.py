@@ -27,7 +27,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 BUCKETS = 8
 
 
-def run(df) -> int:
+def run(df) -> None:
     """Execute completely without bringing rows to the driver."""
     df.write.format("noop").mode("overwrite").save()
 
@@ -62,8 +62,9 @@ def main() -> None:
         "hybrid_user": lambda q: fusion.hybrid_search(q, tables),
     }
     # let the JVM compile before anything is measured
-    for search in searches.values():
-        run(search(batches[1]))
+    for _ in range(2):
+        for search in searches.values():
+            run(search(batches[50]))
     per_query = {}
     for name, search in searches.items():
         for n, queries in batches.items():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +10,9 @@ from pyspark.sql import functions as F
 from twinseek.functions import text as tx
 from twinseek.functions.json import json_text
 from twinseek.operators import histograms
+
 from twinseek.operators.ranking import blocked_row_number, hash_order
+from twinseek.operators.sizing import BROADCAST_ROWS
 
 # Share and surplus of the block sample, text length a chunk must exceed, batch and queries per document.
 SAMPLE_SHARE = 0.02
@@ -70,26 +71,19 @@ def pick_json_filter(chunks: DataFrame, seed: int = 0) -> dict | None:
     return {key: json.loads(typed["j"])["v"]}
 
 
-def random_documents(
-    documents: DataFrame,
-    chunks: DataFrame,
-    n: int = 50,
-    seed: int = 0,
-    chunk_key: Column | None = None,
-    document_key: Column | None = None,
-) -> DataFrame:
-    """n random documents, each with one random chunk of more than 300 characters (the keys replace the random order).
+def one_chunk_per_document(documents: DataFrame, chunks: DataFrame, seed: int = 0, key: Column | None = None) -> DataFrame:
+    """`user_document_id, id`: one random chunk of more than 300 characters per document (`key` replaces the random order).
 
-    The chunk is chosen by a partial aggregate per document over ids alone; text and vectors are fetched for the n chosen.
+    A partial aggregate over ids alone; text and vectors are fetched for the chosen afterwards.
     """
-    key = random_key("id", seed) if chunk_key is None else chunk_key
+    key = random_key("id", seed) if key is None else key
     long = chunks.filter(F.length("text") > MIN_TEXT)
-    one = long.groupBy("user_document_id").agg(F.min_by("id", F.struct(key, "id")).alias("chunk_id"))
-    known = one.join(documents.select(F.col("id").alias("user_document_id")), "user_document_id", "left_semi")
-    place = random_key("user_document_id", seed + 1) if document_key is None else document_key
-    chosen = known.orderBy(place, "user_document_id").limit(n)
-    # n rows: small by definition
-    picked = F.broadcast(chosen.select(F.col("chunk_id").alias("id"), "user_document_id"))
+    one = long.groupBy("user_document_id").agg(F.min_by("id", F.struct(key, "id")).alias("id"))
+    return one.join(documents.select(F.col("id").alias("user_document_id")), "user_document_id", "left_semi")
+
+
+def with_chunks(picked: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Document and chunk columns of picked pairs."""
     rows = chunks.join(picked, ["id", "user_document_id"]).select(
         F.col("user_document_id").alias("document_id"),
         F.col("id").alias("chunk_id"),
@@ -99,7 +93,14 @@ def random_documents(
         "meta",
     )
     titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), "user_id")
-    return titles.join(F.broadcast(rows), "document_id")
+    return titles.join(rows, "document_id")
+
+
+def random_documents(documents: DataFrame, chunks: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
+    """n random documents, each with one random chunk of more than 300 characters."""
+    known = one_chunk_per_document(documents, chunks, seed)
+    chosen = known.orderBy(random_key("user_document_id", seed + 1), "user_document_id").limit(n)
+    return with_chunks(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, documents, chunks)
 
 
 def documents_needed(queries: int, per_document: int = QUERIES_PER_DOCUMENT) -> int:

@@ -129,6 +129,7 @@ def vector_pool(
         pool,
         scopes=[Scope("user_id", "user_id")] if scoped else [],
         keep=["user_document_id"],
+        n_queries=batch.n,
     )
 
 

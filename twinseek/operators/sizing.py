@@ -11,23 +11,9 @@ BROADCAST_BYTES = 64 << 20
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Counts at most `rows + 1` rows; the size is that of the rows written as JSON, an upper estimate."""
-    if not df.columns:
-        return False
-    row = (
-        df.limit(rows + 1)
-        .select(F.octet_length(F.to_json(F.struct("*"))).alias("n"))
-        .agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"))
-        .first()
+    """Row count and size (of the rows written as JSON, an upper estimate) in one distributed aggregate."""
+    found = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")
     )
+    row = found.first()
     return row["rows"] <= rows and row["bytes"] <= size
-
-
-def hint_if_small(df: DataFrame, **limits: int) -> DataFrame:
-    """The broadcast hint when the measured size allows it, otherwise the DataFrame as it is (shuffle join, AQE)."""
-    return F.broadcast(df) if fits_broadcast(df, **limits) else df
-
-
-def count_up_to(df: DataFrame, limit: int) -> int:
-    """Number of rows, counting no further than `limit`."""
-    return df.limit(limit).count()

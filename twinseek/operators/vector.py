@@ -58,6 +58,7 @@ def nearest_batch(
     scopes: Sequence[Scope] = (),
     ranges: Sequence[Range] = (),
     keep: Sequence[str] = (),
+    n_queries: int | None = None,
     pass_rows: int = PASS_ROWS,
     pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
@@ -66,7 +67,7 @@ def nearest_batch(
     Chunks are read where they lie and never shuffled: each task scores its Arrow batches against the query vectors with a
     block product and keeps k rows per query, so pairs are never written out and a tenant of any size spreads over all its
     splits. Query vectors travel to the executors in passes of bounded, measured size; a query table beyond one pass is cut
-    by hash into more passes over the chunks, with the same result.
+    by hash into more passes over the chunks, with the same result. `n_queries` is the number of queries when it is known.
     """
     wanted = queries.filter(F.col("query_embedding").isNotNull())
     for s in scopes:
@@ -80,14 +81,14 @@ def nearest_batch(
         *[F.col(s.query_column).alias(f"scope_{i}") for i, s in enumerate(scopes)],
     ]
     wanted = wanted.select(*columns)
-    # never more than one pass and one row come to the driver at a time
-    batch = wanted.limit(pass_rows + 1).toArrow()
-    if batch.num_rows <= pass_rows and batch.nbytes <= pass_bytes:
+    n = wanted.count() if n_queries is None else n_queries
+    batch = wanted.toArrow() if n <= pass_rows else None
+    if batch is not None and batch.nbytes <= pass_bytes:
         parts = [_one_pass(batch, chunks, k, scopes, ranges, keep)]
     else:
-        size = wanted.agg(F.count("*").alias("rows"), F.sum(F.size("query_embedding").cast("long")).alias("cells")).first()
+        cells = wanted.agg(F.sum(F.size("query_embedding").cast("long"))).first()[0]
         # hash classes are uneven: aim at half a pass
-        passes = 2 * max(-(-size["rows"] // pass_rows), -(-size["cells"] * 8 // pass_bytes))
+        passes = 2 * max(-(-n // pass_rows), -(-cells * 8 // pass_bytes))
         number = F.pmod(F.xxhash64("query_id"), F.lit(passes))
         parts = [
             _one_pass(wanted.filter(number == i).toArrow(), chunks, k, scopes, ranges, keep) for i in range(passes)

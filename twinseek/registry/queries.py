@@ -638,11 +638,8 @@ def random_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _one_chunk_each(spark: SparkSession, folder: str) -> DataFrame:
-    documents = cp.documents(spark, folder)
-    n = documents.count()
-    return evalset.random_documents(
-        documents, cp.chunks(spark, folder), n, chunk_key=F.col("id"), document_key=F.col("user_document_id")
-    )
+    documents, chunks = cp.documents(spark, folder), cp.chunks(spark, folder)
+    return evalset.with_chunks(evalset.one_chunk_per_document(documents, chunks, key=F.col("id")), documents, chunks)
 
 
 @register

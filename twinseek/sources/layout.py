@@ -6,6 +6,7 @@
     vectors/     the same: embeddings and filter columns
     postings/    range-clustered by (lexeme, id)
     vocabulary/  lexeme counts
+    staging/     the derived chunk rows the narrower tables are read from; may be dropped afterwards
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ def write_corpus(
     if users is not None:
         users.write.mode("overwrite").parquet(f"{folder}/users")
     write_by_tenant(documents, f"{folder}/documents", buckets)
-    write_by_tenant(promote_hot_keys(chunks), f"{folder}/all", buckets)
-    rows = spark.read.parquet(f"{folder}/all")
+    write_by_tenant(promote_hot_keys(chunks), f"{folder}/staging", buckets)
+    rows = spark.read.parquet(f"{folder}/staging")
     filters = ["user_document_id", "meta", "created_at", *HOT_KEYS]
     _write_sorted(rows.drop("embedding"), f"{folder}/chunks")
     _write_sorted(
