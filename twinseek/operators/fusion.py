@@ -12,7 +12,7 @@ from twinseek.functions.scores import reciprocal_rank, weighted
 from twinseek.operators.keyword import keyword_matches
 from twinseek.operators.ranking import top_k_per_query
 from twinseek.operators.sizing import BROADCAST_ROWS
-from twinseek.operators.vector import Scope, nearest_batch
+from twinseek.operators.vector import PUSHED_SCOPES, Scope, nearest_batch
 
 # Result cap, pool size as a multiple of it, and smoothing constant of the hybrid search.
 MAX_RESULTS = 30
@@ -68,27 +68,38 @@ def user_bucket(user_id: Column, buckets: int) -> Column:
 
 @dataclass(frozen=True)
 class Batch:
-    """What is known of a query table: its number of rows and, for tables in the tenant layout, the partitions it asks."""
+    """What is known of a query table: its number of rows and, when it asks few enough, its tenants and their partitions."""
 
     n: int
-    buckets: list[int] | None
+    users: list[int] | None = None
+    buckets: list[int] | None = None
 
 
 def measure(queries: DataFrame, corpus: Corpus, scoped: bool = True) -> Batch:
-    """One small job; at most `user_buckets` numbers come to the driver."""
-    if corpus.user_buckets is None or not scoped:
-        return Batch(queries.count(), None)
-    row = queries.agg(
-        F.count("*").alias("n"), F.collect_set(user_bucket(F.col("user_id"), corpus.user_buckets)).alias("buckets")
-    ).first()
-    return Batch(row["n"], sorted(row["buckets"]))
+    """One small job: rows per tenant, of which at most `PUSHED_SCOPES + 1` come to the driver."""
+    if not scoped:
+        return Batch(queries.count())
+    bucket = F.lit(None).cast("int")
+    if corpus.user_buckets is not None:
+        bucket = user_bucket(F.col("user_id"), corpus.user_buckets)
+    counted = queries.groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", "n", bucket.alias("bucket"))
+    rows = counted.limit(PUSHED_SCOPES + 1).collect()
+    if len(rows) > PUSHED_SCOPES:
+        total = counted.agg(F.sum("n").alias("n"), F.collect_set("bucket").alias("buckets")).first()
+        return Batch(total["n"], None, total["buckets"] or None)
+    known = [r for r in rows if r["user_id"] is not None]
+    return Batch(
+        sum(r["n"] for r in rows),
+        [r["user_id"] for r in known],
+        sorted({r["bucket"] for r in known}) if corpus.user_buckets is not None else None,
+    )
 
 
 def tenant_files(df: DataFrame, batch: Batch) -> DataFrame:
-    """Only the partitions of the tenants that ask."""
-    if batch.buckets is None or "user_bucket" not in df.columns:
-        return df
-    return df.filter(F.col("user_bucket").isin(batch.buckets))
+    """Only the partitions, and inside them the row groups, of the tenants that ask."""
+    if batch.buckets is not None and "user_bucket" in df.columns:
+        df = df.filter(F.col("user_bucket").isin(batch.buckets))
+    return df if batch.users is None else df.filter(F.col("user_id").isin(batch.users))
 
 
 def text_pool(
