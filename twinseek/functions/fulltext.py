@@ -26,6 +26,7 @@ ITEM_PATTERN = r'-?"[^"]*"|[^\s"]+'
 # Fixed value: weight of one matched word in the cover-density rank.
 WORD_WEIGHT = 0.1
 SCORE_DECIMALS = 9
+REMEMBERED_WORDS = 1 << 18
 # Lexeme that stands for "every chunk": anchors query groups made of negations only.
 EVERY_CHUNK = ""
 
@@ -44,9 +45,21 @@ def tokens(text: Column) -> Column:
 
 
 def _normaliser(dictionary: str) -> Callable[[str], str | None]:
+    """Word to lexeme, with a memory that lasts for a task: most words of a batch were seen in the one before."""
     if dictionary not in DICTIONARIES:
         raise ValueError(f"unknown dictionary {dictionary!r}, expected one of {DICTIONARIES}")
-    return normalise_english if dictionary == "english" else lambda word: word
+    if dictionary == "simple":
+        return lambda word: word
+    seen: dict[str, str | None] = {}
+
+    def normalise(word: str) -> str | None:
+        if word not in seen:
+            if len(seen) >= REMEMBERED_WORDS:
+                seen.clear()
+            seen[word] = normalise_english(word)
+        return seen[word]
+
+    return normalise
 
 
 def _group_positions(token_lists: pa.Array, normalise: Callable[[str], str | None]) -> pa.Array:

@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 # English stop words of the full-text configuration.
 STOP_WORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself
@@ -80,7 +78,6 @@ def _longest(word: str, suffixes) -> str | None:
     return max(found, key=len) if found else None
 
 
-@lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     if len(word) <= 2:
         return word
