@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import secrets, sharding
-from twinseek.llm.common import documents
+from twinseek.llm import bpe, mixing, secrets, sharding
+from twinseek.llm.common import bound_batches, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -21,6 +21,39 @@ def register(function: Query) -> Query:
     return function
 
 
+@register
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    return mixing.mix(documents(spark, folder, "doc_id", "source", "text")).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * (F.col("whole") + F.col("chosen"))).alias("taken"),
+        "source",
+    )
+
+
+def vocabulary_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    vocabulary = bpe.shipped(spark, vocabulary_file())
+    ids = documents(spark, folder, "doc_id", "text").select("doc_id", bpe.encoded(vocabulary, F.col("text")).alias("ids"))
+    texts = ids.withColumn("decoded", bpe.decoded(vocabulary, F.col("ids")))
+    return texts.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 @register
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     paths = documents(spark, folder, "doc_id", "text")
