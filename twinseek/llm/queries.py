@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, mixing, secrets, sharding
+from twinseek.llm import bpe, mixing, secrets, sharding, simhash
 from twinseek.llm.common import bound_batches, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    return simhash.grouped(documents(spark, folder, "doc_id", "text")).select(
+        "doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def vocabulary_file() -> str:
     import public_tokenizers
 
