@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, mixing, secrets, sharding, simhash
+from twinseek.llm import bpe, mixing, secrets, sharding, simhash, toxicity
 from twinseek.llm.common import bound_batches, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,20 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    docs = documents(spark, folder, "doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    found = toxicity.scored(docs, toxicity.train(docs, labels))
+    return found.select(
+        "row.doc_id",
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def vocabulary_file() -> str:
     import public_tokenizers
 
