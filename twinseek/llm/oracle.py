@@ -1,8 +1,5 @@
 """SQL that must agree with the registered queries of the training-data operators, where SQL can express them."""
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
-
-
 def _matches(kind: str, number: int, pattern: str, group: int, least: int) -> str:
     """Matches of one rule with start and end: the text between matches and the matches give running sums."""
     return f"""
@@ -19,6 +16,17 @@ _ASSIGN = (
     r"(?i)(password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 )
 STATEMENTS = {
+    "op3_topk": """
+    WITH part AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+      WHERE embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    whole AS (SELECT vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM part),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+      FROM whole q JOIN whole c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+    ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+      FROM scored)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
     "op9_secrets": f"""
     WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     found AS ({_matches("assign", 0, _ASSIGN, 2, 6)}

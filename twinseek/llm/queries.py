@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, mixing, secrets, sharding, simhash, toxicity
+from twinseek.llm import bpe, mixing, secrets, sharding, simhash, topk, toxicity
 from twinseek.llm.common import bound_batches, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 SHARDS = 8
+TOP, QUERY_EVERY = 10, 100
 
 
 def register(function: Query) -> Query:
@@ -34,6 +35,13 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % QUERY_EVERY == 0, TOP)
+
+
 @register
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     bound_batches(spark)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinseek.llm.common import whole_text
+from twinseek.llm.common import stored, whole_text
 
 
 @dataclass(frozen=True)
@@ -125,9 +125,11 @@ def report(versions: DataFrame, ledger: DataFrame, rules=RULES, text: str = "tex
             .alias("spans")
         )
     )
+    # stored, so that the join below reads two plain exchanges and a text with very many paths can be split at run time
+    known = stored(known.filter(F.size("spans") > 0).withColumnRenamed("spans", "__spans"), "findings")
     return (
         addressed(versions, text)
-        .join(known.withColumnRenamed("spans", "__spans"), "__blob", "left")
+        .join(known, "__blob", "left")
         .withColumn("__spans", F.coalesce("__spans", F.array().cast(FOUND)))
         .drop("__blob")
     )
