@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, mixing, secrets, sharding, simhash, topk, toxicity
+from twinseek.llm import bpe, mixing, secrets, sharding, simhash, substring_dedup, suffix_dedup, topk, toxicity
 from twinseek.llm.common import bound_batches, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def register(function: Query) -> Query:
     return function
 
 
+@register
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    return substring_dedup.dedup(documents(spark, folder, "doc_id", "text"))
+
+
 @register
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     bound_batches(spark)
@@ -64,6 +70,12 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    return suffix_dedup.dedup(documents(spark, folder, "doc_id", "text"))
+
+
 def vocabulary_file() -> str:
     import public_tokenizers
 
