@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, mixing, secrets, sharding, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from twinseek.llm import bpe, mixing, secrets, sharding, simhash, spotsigs, substring_dedup, suffix_dedup, topk, toxicity
 from twinseek.llm.common import bound_batches, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,12 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, folder, "doc_id", "text"))
 
 
+@register
+def op7_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    return spotsigs.compared_with_edits(documents(spark, folder, "doc_id", "text"))
+
+
 def vocabulary_file() -> str:
     import public_tokenizers
 
