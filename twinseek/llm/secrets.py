@@ -169,3 +169,20 @@ def redacted(text: Column, rules=RULES) -> Column:
         joined = F.array_join(F.zip_with(gaps, masked, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
         text = F.when(text.rlike(rule.pattern), joined).otherwise(text)
     return text
+
+
+def redacted_rows(docs: DataFrame, rules=RULES) -> DataFrame:
+    """All rows and columns; texts with findings have them masked, and `n_chars`, if there is such a column, follows."""
+    other = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns if c != "text"]).alias("__row")
+    versions = docs.select(other, "text")
+    ledger = stored(scan(versions, rules=rules), "ledger")
+    found = report(versions, ledger, rules)
+    text = F.when(F.size("__spans") > 0, redacted(F.col("text"), rules)).otherwise(F.col("text"))
+    masked = found.select("__row", text.alias("text"), (F.size("__spans") > 0).alias("__hit"))
+    columns = []
+    for c in docs.columns:
+        value = F.col("text") if c == "text" else F.col("__row").getField(c)
+        if c == "n_chars":
+            value = F.when(F.col("__hit"), F.length("text").cast(docs.schema[c].dataType)).otherwise(value)
+        columns.append(value.alias(c))
+    return masked.select(*columns)

@@ -26,9 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from twinseek.llm import components
-from twinseek.llm.common import stored
+from twinseek.llm.common import stored, whole_text
 
 SHINGLE = 3
 SEED = 42
@@ -248,14 +249,37 @@ def links(codes: DataFrame, distance: int = DISTANCE, cut_above: int = CUT_ABOVE
     )
 
 
+def rooted(hashed: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """For rows with a `code` the table (code, root) of the distinct codes; codes of one group have one root."""
+    codes = stored(hashed.select("code").distinct(), "codes")
+    roots = components.roots(links(codes, distance))
+    return codes.join(roots, F.col("code") == F.col("u"), "left").select("code", F.coalesce("root", "code").alias("root"))
+
+
 def grouped(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, code (signed) and component_id, the smallest id that the document reaches by links, of each row of (doc_id, text)."""
     hashed = stored(docs.select("doc_id", fingerprints(F.col("text")).alias("code")), "fingerprints")
-    codes = stored(hashed.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
-    roots = components.roots(links(codes.select("code"), distance))
-    rooted = codes.join(roots, F.col("code") == F.col("u"), "left").select(
-        "code", "least", F.coalesce("root", "code").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = stored(rooted.join(smallest, "root").select("code", "component_id"), "members")
+    least = hashed.groupBy("code").agg(F.min("doc_id").alias("least"))
+    known = stored(rooted(hashed, distance).join(least, "code"), "rooted")
+    smallest = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    members = stored(known.join(smallest, "root").select("code", "component_id"), "members")
     return hashed.join(members, "code").select("doc_id", "code", "component_id")
+
+
+def kept_rows(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row of each group with all its columns: that of the smallest id (null last), then of the smallest digest."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(whole_text()).alias("digest"), "code")
+    coded = docs.select(F.struct("*").alias("__row"), "doc_id", "text", fingerprints(F.col("text")).alias("code"))
+    hashed = stored(coded.select(key.alias("__key"), "code"), "fingerprints")
+    least = hashed.groupBy("code").agg(F.min("__key").alias("least"))
+    best = rooted(hashed, distance).join(least, "code").groupBy("root").agg(F.min("least").alias("__key"))
+    best = stored(best.select("__key"), "best")
+    # rows that agree in id and text are alike: the first of them is taken
+    order = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    return (
+        coded.select("__row", key.alias("__key"))
+        .join(best, "__key", "left_semi")
+        .withColumn("__place", order)
+        .filter(F.col("__place") == 1)
+        .select("__row.*")
+    )
