@@ -5,8 +5,8 @@ may follow another only if merging their joined bytes would leave them apart (th
 table of pairs seen so far). Where no prefix of the longest token fits, the last token is taken back and shortened. Every byte
 is left at most once, so the time is linear, and the result is exactly that of merging by rank.
 
-Texts are cut as the vocabulary's byte-level pre-tokeniser cuts them. Runs between white space are encoded independently, so
-their ids are kept in a bounded table per task.
+Texts are cut as the vocabulary's byte-level pre-tokeniser cuts them. Pieces are encoded independently, so their ids are kept in
+a bounded table per worker.
 
 Defined cases: a null text is the empty text and has no ids; strings of special tokens become their id, as the library does.
 Decoding is exact for any ids in the vocabulary; bytes that are not UTF-8 become replacement characters.
@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -27,15 +28,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# The cut of byte-level vocabularies of this family, and white space as that cut understands it.
+# The cut of byte-level vocabularies of this family.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WHITE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-# Kept ids of runs, per task: number of runs, and the longest run kept.
-KEPT_RUNS, KEPT_LENGTH = 200_000, 48
-KEPT_PAIRS = 500_000
+# Characters below this one are cut by a plain pattern with the same classes spelled out, which is faster.
+PLAIN = 0x250
+# Kept ids of pieces, per worker: number of pieces, and the longest kept.
+KEPT_PIECES, KEPT_LENGTH = 800_000, 40
+KEPT_PAIRS = 600_000
 
 
-@dataclass(frozen=True)
+@dataclass
 class Vocabulary:
     """Token bytes by id, merge order by id (-1: a single byte), parts of merged tokens, special strings."""
 
@@ -43,6 +45,18 @@ class Vocabulary:
     order: tuple[int, ...]
     parts: tuple[tuple[int, int], ...]
     special: dict[str, int]
+    made: dict[str, object] = field(default_factory=dict)
+
+    def encoder(self) -> Encoder:
+        """The encoder of this worker; a broadcast value stays in the worker, and so do the tables, from task to task."""
+        if "encoder" not in self.made:
+            self.made["encoder"] = Encoder(self)
+        return self.made["encoder"]
+
+    def decoder(self) -> Decoder:
+        if "decoder" not in self.made:
+            self.made["decoder"] = Decoder(self)
+        return self.made["decoder"]
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,6 +88,20 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(tuple(tokens), tuple(order), tuple(parts), special)
 
 
+def plain_cut() -> str:
+    """The cut for texts of characters below PLAIN, with the classes for letters, numbers and white space spelled out."""
+    kinds = {"L": "", "N": "", "Z": r"\t-\r\x85"}
+    for c in map(chr, range(PLAIN)):
+        kind = unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind] += re.escape(c)
+    marks = f"[^{kinds['Z']}{kinds['L']}{kinds['N']}]+"
+    pieces = CUT.replace(r"[^\s\p{L}\p{N}]+", marks)
+    for name, letters in ((r"\p{L}", kinds["L"]), (r"\p{N}", kinds["N"]), (r"\s", kinds["Z"])):
+        pieces = pieces.replace(name, f"[{letters}]")
+    return pieces.replace(r"\S", f"[^{kinds['Z']}]")
+
+
 class Encoder:
     """Encodes texts with one vocabulary. Built once per task."""
 
@@ -85,7 +113,7 @@ class Encoder:
         for number, token in enumerate(vocabulary.tokens):
             if token and number not in special:
                 self.plain[token] = number
-                self.automaton.add_word(token.decode("latin-1"), (len(token), number))
+                self.automaton.add_word(token.decode("latin-1"), number)
         self.automaton.make_automaton()
         self.joins = {
             pair: order
@@ -94,9 +122,11 @@ class Encoder:
         }
         self.shorter: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.runs: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.sizes = list(map(len, vocabulary.tokens))
         self.cut = regex.compile(CUT).findall
-        self.split = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+        self.plain_cut = re.compile(plain_cut()).findall
+        self.foreign = re.compile(f"[^\\0-{chr(PLAIN - 1)}]").search
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
@@ -138,56 +168,59 @@ class Encoder:
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece of the cut."""
-        whole = self.plain.get(data)
-        if whole is not None and self.v.order[whole] < 0:
-            return [whole]
+        text = data.decode("latin-1")
+        longest: dict[int, int] = {}
+        sizes, apart, pairs = self.sizes, self.apart, self.pairs.get
+
+        def ahead(at: int) -> int:
+            """The longest token at a byte; the automaton runs on from there until it meets bytes already known."""
+            if at not in longest:
+                for end, number in self.automaton.iter_long(text, at):
+                    begin = end + 1 - sizes[number]
+                    if begin in longest:
+                        break
+                    longest[begin] = number
+            return longest[at]
+
         n = len(data)
-        longest = [0] * n
-        width = [0] * n
-        for end, (length, number) in self.automaton.iter(data.decode("latin-1")):
-            at = end - length + 1
-            if length > width[at]:
-                width[at], longest[at] = length, number
-        tokens, sizes = self.v.tokens, []
         out: list[int] = []
-        open_ = bytearray(b"\1") * (n + 1)
+        closed: set[int] = set()
         at = 0
-        token = longest[0]
+        token = ahead(0) if n else -1
         while at < n:
             last = out[-1] if out else -1
             while True:
-                end = at + len(tokens[token])
-                if open_[end] and (last < 0 or self.apart(last, token)):
+                end = at + sizes[token]
+                if end not in closed and (last < 0 or (pairs((last, token)) or apart(last, token))):
                     out.append(token)
-                    sizes.append(end - at)
                     at = end
-                    token = longest[at] if at < n else -1
+                    token = ahead(at) if at < n else -1
                     break
                 token = self.prefix(token)
                 if token < 0:
-                    open_[at] = 0
+                    closed.add(at)
                     token = out.pop()
-                    at -= sizes.pop()
+                    at -= sizes[token]
                     break
         return out
 
-    def run(self, text: str) -> bytes:
-        found = self.runs.get(text)
-        if found is None:
-            ids = array("I", [i for piece in self.cut(text) for i in self.piece(piece.encode())])
-            found = ids.tobytes()
-            if len(text) <= KEPT_LENGTH:
-                if len(self.runs) >= KEPT_RUNS:
-                    self.runs.clear()
-                self.runs[text] = found
+    def kept_piece(self, text: str) -> bytes:
+        found = array("I", self.piece(text.encode())).tobytes()
+        if len(text) <= KEPT_LENGTH:
+            if len(self.pieces) >= KEPT_PIECES:
+                self.pieces.clear()
+            self.pieces[text] = found
         return found
 
+    def part(self, text: str) -> bytes:
+        cut = self.cut if self.foreign(text) else self.plain_cut
+        return b"".join([self.pieces.get(p) or self.kept_piece(p) for p in cut(text)])
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         parts = self.special.split(text) if self.special else [text]
         return b"".join(
-            array("I", [self.v.special[part]]).tobytes() if i % 2 else b"".join(map(self.run, self.split(part)))
-            for i, part in enumerate(parts)
+            array("I", [self.v.special[part]]).tobytes() if i % 2 else self.part(part) for i, part in enumerate(parts)
         )
 
 
@@ -213,24 +246,20 @@ def shipped(spark: SparkSession, path: str) -> Broadcast:
 
 def encoded(vocabulary: Broadcast, text: Column) -> Column:
     """Ids of a text as binary: little-endian unsigned 32-bit numbers."""
-    held: list[Encoder] = []
 
     def encode(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Encoder(vocabulary.value))
-        return pa.array([held[0].encode(t or "") for t in texts.to_pylist()], pa.binary())
+        encoder = vocabulary.value.encoder()
+        return pa.array([encoder.encode(t or "") for t in texts.to_pylist()], pa.binary())
 
     return F.arrow_udf(encode, "binary")(text)
 
 
 def decoded(vocabulary: Broadcast, ids: Column) -> Column:
     """The text of ids given as binary."""
-    held: list[Decoder] = []
 
     def decode(column: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Decoder(vocabulary.value))
-        return pa.array([held[0].decode(i or b"").decode("utf-8", "replace") for i in column.to_pylist()], pa.string())
+        decoder = vocabulary.value.decoder()
+        return pa.array([decoder.decode(i or b"").decode("utf-8", "replace") for i in column.to_pylist()], pa.string())
 
     return F.arrow_udf(decode, "string")(ids)
 
