@@ -16,6 +16,36 @@ _ASSIGN = (
     r"(?i)(password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 )
 STATEMENTS = {
+    "op1_substring_dedup": r"""
+    WITH texts AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+      FROM documents),
+    begins AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts),
+    windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM begins),
+    firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (k) WHERE least < doc_id),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM texts),
+    kept AS (SELECT doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS rest
+      FROM words w LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)
+    """,
+    "op6_suffix_dedup": """
+    WITH texts AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+    cuts AS (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 199) // 200)) AS c FROM texts),
+    parts AS (SELECT doc_id, c, substr(h, 400 * c + 1, 400 + 98) AS part FROM cuts),
+    places AS (SELECT doc_id, c, part, unnest(range(0, least(200, len(part) // 2))) AS j FROM parts),
+    bytes AS (SELECT doc_id, 200 * c + j AS p, substr(part, 2 * j + 1, 2) AS b, substr(part, 2 * j + 1, 100) AS k FROM places),
+    firsts AS (SELECT k, min(doc_id) AS least FROM bytes WHERE len(k) = 100 GROUP BY k),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM bytes JOIN firsts USING (k) WHERE least < doc_id),
+    marked AS (SELECT doc_id, p, b, g.p IS NOT NULL AS removed FROM bytes LEFT JOIN gone g USING (doc_id, p)),
+    runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins
+      FROM marked),
+    kept AS (SELECT doc_id, count(*) FILTER (removed) AS n_removed, count(*) FILTER (begins) AS n_spans,
+      string_agg(b, '' ORDER BY p) FILTER (NOT removed) AS rest FROM runs GROUP BY doc_id)
+    SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)
+    """,
     "op3_topk": """
     WITH part AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
       WHERE embedding IS NOT NULL
