@@ -193,7 +193,11 @@ def test_parent_guard(spark):
 def test_layout_round_trip(spark, tmp_path):
     corpus = small_corpus(spark)
     layout.write_corpus(corpus.documents, corpus.chunks, str(tmp_path), "simple", buckets=4)
-    stored = layout.read_corpus(spark, str(tmp_path), "simple", 4, use_postings=True, use_vocabulary=True)
+    stored = layout.read_corpus(spark, str(tmp_path), use_postings=True, use_vocabulary=True)
+    assert stored.user_buckets == 4 and stored.dictionary == "simple"
+    for other in ({"buckets": 8}, {"dictionary": "english"}):
+        with pytest.raises(ValueError, match="was written with"):
+            layout.read_corpus(spark, str(tmp_path), **other)
     a = search.Searcher(spark, corpus).hybrid_search(1, [1.0, 0.0], "cat").collect()
     b = search.Searcher(spark, stored).hybrid_search(1, [1.0, 0.0], "cat").collect()
     assert [(r["chunk_id"], r["score"]) for r in a] == [(r["chunk_id"], r["score"]) for r in b]
@@ -316,6 +320,60 @@ def test_embedding_batches(spark):
     assert embed.embed_queries(df.limit(0), make).count() == 0
 
 
+def test_stored_clusters(spark, tmp_path):
+    table, _, _ = vectors_table(spark, 200)
+    clusters = ann.train(table, 4, seed=1)
+    ann.write_clusters(table, clusters, str(tmp_path))
+    stored, again = ann.read_clusters(spark, str(tmp_path))
+    assert stored.count() == table.count() and (again.centers == clusters.centers).all() and again.bound == clusters.bound
+    plan = stored.filter("cluster = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cluster" in plan
+
+
+def test_stream_keys(spark, tmp_path):
+    from twinseek.streaming import ingest as stream
+
+    def batch(*rows):
+        return stream.features(spark.createDataFrame([(*r, 0, 1, "text", [1.0]) for r in rows], stream.ARRIVING))
+
+    path = str(tmp_path / "chunks")
+    one = batch((1, 7, 0), (1, 5, 0), (2, 5, 0), (2, 5, 0), (None, 5, 0), (3, None, 0), (3, 5, None))
+    for _ in range(2):
+        stream.append_new(one, path, 4)
+    stream.append_new(batch((1, 7, 0), (1, 5, 0), (4, 9, 1)), path, 4, 1)
+    rows = sorted(map(tuple, spark.read.parquet(path).select("user_document_id", "user_id", "paragraph_id").collect()))
+    assert rows == [(1, 5, 0), (2, 5, 0), (4, 9, 1)]
+    rejects = spark.read.parquet(f"{path}_rejects").groupBy("batch", "reason").count().collect()
+    assert {(r["batch"], r["reason"]): r["count"] for r in rejects} == {
+        (0, "no key or tenant"): 3, (0, "key of another tenant"): 1, (1, "key of another tenant"): 1,
+    }
+
+
+def test_known_items_do_not_depend_on_partitions(spark):
+    chunks = spark.range(3000).select(
+        "id", F.lit(1).alias("user_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit("a b").alias("text"),
+        F.lit("{}").alias("meta"), F.col("id").alias("user_document_id"),
+    )
+    drawn = [sorted(r["id"] for r in evalset.known_items(chunks.repartition(n), 10).collect()) for n in (2, 7)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 10
+
+
+@pytest.mark.parametrize(
+    ("literal", "json"),
+    [
+        ("""{'a': 'say "hi"', 'n': 2}""", '{"a": "say \\"hi\\"", "n": 2}'),
+        ("{'a': (1, 2), 'b': (3,)}", '{"a": [1, 2], "b": [3]}'),
+        ("{'a': True, 'b': None, 'c': 'None (x,)'}", '{"a": true, "b": null, "c": "None (x,)"}'),
+        ("""{"a": "it's"}""", """{"a": "it's"}"""),
+        ("not a dict", "{}"),
+        (None, "{}"),
+    ],
+)
+def test_python_literals_become_json(spark, literal, json):
+    found = spark.createDataFrame([(literal,)], "m string").select(evalfiles.meta_json(F.col("m"))).first()[0]
+    assert found == json
+
+
 def test_ann_recall_grows_to_one(spark):
     table, _, _ = vectors_table(spark, 400)
     queries = table.filter("id % 11 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))

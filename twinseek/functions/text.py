@@ -84,10 +84,6 @@ def keyword_query_text(text: Column, min_line: int = 20, words: int = 10) -> Col
     return F.array_join(F.slice(F.regexp_extract_all(source, F.lit(r"(?U)\S+"), F.lit(0)), 1, words), " ")
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
-
-
 def title_label(label: Column) -> Column:
     """`user_only` becomes `User Only`."""
     return F.initcap(F.replace(label, F.lit("_"), F.lit(" ")))

@@ -12,14 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinseek.operators.vector import Scope, nearest_batch
 
-# Training reads about this many vectors; every vector is assigned afterwards.
-TRAINING_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Clusters:
@@ -37,13 +34,10 @@ def _augmented(vector: Column, bound: float) -> Column:
 
 
 def train(vectors: DataFrame, n_clusters: int, seed: int = 0, max_iterations: int = 10) -> Clusters:
-    """Cluster centres of the augmented vectors."""
+    """Cluster centres of all augmented vectors."""
     known = vectors.filter(F.col("embedding").isNotNull())
-    stats = known.agg(F.max(F.sqrt(squared_norm(F.col("embedding")))).alias("m"), F.count("*").alias("n")).first()
-    bound = float(stats["m"])
+    bound = float(known.agg(F.max(F.sqrt(squared_norm(F.col("embedding"))))).first()[0])
     rows = known.select(array_to_vector(_augmented(F.col("embedding"), bound)).alias("features"))
-    if stats["n"] > TRAINING_ROWS:
-        rows = rows.sample(fraction=TRAINING_ROWS / stats["n"], seed=seed)
     model = KMeans(k=n_clusters, seed=seed, maxIter=max_iterations).fit(rows)
     return Clusters(np.stack(model.clusterCenters()), bound)
 
@@ -71,6 +65,23 @@ def assign(vectors: DataFrame, clusters: Clusters) -> DataFrame:
     return known.withColumn("cluster", F.element_at(_closest(clusters, 1, True)("embedding"), 1))
 
 
+def write_clusters(vectors: DataFrame, clusters: Clusters, folder: str) -> None:
+    """Store the vectors partitioned by cluster, and the centres beside them."""
+    spark = vectors.sparkSession
+    assigned = assign(vectors, clusters)
+    assigned.hint("rebalance", F.col("cluster")).write.mode("overwrite").partitionBy("cluster").parquet(f"{folder}/vectors")
+    rows = [(i, c.tolist(), clusters.bound) for i, c in enumerate(clusters.centers)]
+    spark.createDataFrame(rows, "cluster int, center array<double>, bound double").coalesce(1).write.mode("overwrite").parquet(
+        f"{folder}/centers"
+    )
+
+
+def read_clusters(spark: SparkSession, folder: str) -> tuple[DataFrame, Clusters]:
+    """Stored vectors and their centres. A filter on `cluster` reads only the folders it names."""
+    centers = spark.read.parquet(f"{folder}/centers").orderBy("cluster").collect()
+    return spark.read.parquet(f"{folder}/vectors"), Clusters(np.array([r["center"] for r in centers]), centers[0]["bound"])
+
+
 def search(
     queries: DataFrame, assigned: DataFrame, clusters: Clusters, k: int, probes: int, scoped: bool = False
 ) -> DataFrame:

@@ -19,6 +19,8 @@ SAMPLE_SHARE = 0.02
 SAMPLE_SURPLUS = 3
 MIN_TEXT = 300
 GENERATION_BATCH = 10
+# A share is drawn in steps of one millionth, by hash of the id, so it does not depend on how rows are partitioned.
+SHARE_STEPS = 1_000_000
 QUERIES_PER_DOCUMENT = 2
 # Queries are numbered in blocks of this many generation batches.
 BATCH_BLOCK = 10_000
@@ -38,7 +40,9 @@ def known_items(chunks: DataFrame, n: int, seed: int = 0, share: float | None =
 
     A share of the rows is drawn, then three times n of them, then n with metadata; `share=None` skips the first draw.
     """
-    drawn = chunks.sample(fraction=share, seed=seed) if share is not None else chunks
+    drawn = chunks
+    if share is not None:
+        drawn = chunks.filter(F.pmod(random_key("id", seed + 2), F.lit(SHARE_STEPS)) < int(share * SHARE_STEPS))
     few = random_rows(drawn, SAMPLE_SURPLUS * n, seed=seed)
     chosen = random_rows(few.filter(F.col("meta").isNotNull()), n, seed=seed + 1)
     return as_known_items(chosen)

@@ -14,6 +14,8 @@ from twinseek.session import cut_lineage
 
 # Words of a batch up to this many are pushed into the postings scan.
 PUSHED_WORDS = 2_000
+# Anchors that the in-place form lists in its plan at most; more meet the index in a join.
+LISTED_ANCHORS = 10_000
 
 
 def text_index(chunks: DataFrame, dictionary: str = "english", keep: Sequence[str] = ()) -> DataFrame:
@@ -94,8 +96,8 @@ def keyword_matches(
     `queries` has `query_id, query_text` and, when scoped, `user_id`. Only chunks that hold a group's anchor word are
     looked at; the rest of the query is checked inside the chunk row, so words are never joined to words.
 
-    - A batch of measured size fit for broadcast reads the index in place.
-    - A larger batch meets the index in a shuffle join on the anchor (a frequent word is split by AQE), and only the
+    - A batch of measured size fit for broadcast with few anchors reads the index in place.
+    - Any other batch meets the index in a shuffle join on the anchor (a frequent word is split by AQE), and only the
       candidates fetch their text vector.
     - With stored postings (`lines`, clustered by lexeme) neither reads the index: see `_from_postings`.
     """
@@ -106,8 +108,10 @@ def keyword_matches(
     words = F.concat(F.col("text_search_vector.lexeme"), F.array(F.lit(fulltext.EVERY_CHUNK)))
     if lines is not None:
         pairs = _from_postings(leads, lines.drop(*unused), on, small, keep)
-    elif small:
-        exploded = index.select("id", "user_id", *keep, "text_search_vector", F.explode(words).alias("anchor"))
+    elif small and (used := _few_anchors(leads)) is not None:
+        # a vector is carried along for the words that a query is anchored at, not for each of its words
+        met = F.filter(words, lambda word: word.isin(used))
+        exploded = index.select("id", "user_id", *keep, "text_search_vector", F.explode(met).alias("anchor"))
         pairs = exploded.drop(*unused).join(F.broadcast(leads), on)
     else:
         held = index.select("id", "user_id", F.explode(words).alias("anchor")).drop(*unused)
@@ -123,6 +127,12 @@ def keyword_matches(
     )
 
 
+def _few_anchors(leads: DataFrame) -> list[str] | None:
+    """The distinct anchors, or None if there are more than a list in the plan should hold."""
+    anchors_ = leads.select("anchor").distinct().limit(LISTED_ANCHORS + 1).toArrow()["anchor"].to_pylist()
+    return anchors_ if len(anchors_) <= LISTED_ANCHORS else None
+
+
 def _from_postings(leads: DataFrame, lines: DataFrame, on: list[str], small: bool, keep: Sequence[str]) -> DataFrame:
     """Candidate pairs with a text vector of the query's own words, from postings alone.
 

