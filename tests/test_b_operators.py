@@ -158,7 +158,7 @@ def test_searcher(spark):
     assert [r["chunk_id"] for r in only] == [1, 5]
     assert [r["chunk_id"] for r in s.hybrid_search(1, [0.0, 1.0], "  ").collect()] == [3, 2, 1]
     assert s.hybrid_search(1, None, "").count() == 0
-    with pytest.raises(ValueError, match="user_id"):
+    with pytest.raises(ValueError, match="tenant"):
         s.vector_search(0, [1.0, 0.0])
 
 

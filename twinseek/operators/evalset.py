@@ -27,8 +27,8 @@ BATCH_BLOCK = 10_000
 
 
 def random_key(column: str, seed: int = 0) -> Column:
-    """A repeatable random sort key."""
-    return F.xxhash64(F.col(column), F.lit(seed))
+    """A repeatable random sort key, which other engines can repeat too."""
+    return F.md5(F.concat(F.col(column).cast("string"), F.lit(f":{seed}")))
 
 
 def random_rows(df: DataFrame, n: int, key: str = "id", seed: int = 0) -> DataFrame:
@@ -42,7 +42,8 @@ def known_items(chunks: DataFrame, n: int, seed: int = 0, share: float | None =
     """
     drawn = chunks
     if share is not None:
-        drawn = chunks.filter(F.pmod(random_key("id", seed + 2), F.lit(SHARE_STEPS)) < int(share * SHARE_STEPS))
+        number = F.conv(F.substring(random_key("id", seed + 2), 1, 8), 16, 10).cast("long")
+        drawn = chunks.filter(number % SHARE_STEPS < int(share * SHARE_STEPS))
     few = random_rows(drawn, SAMPLE_SURPLUS * n, seed=seed)
     chosen = random_rows(few.filter(F.col("meta").isNotNull()), n, seed=seed + 1)
     return as_known_items(chosen)

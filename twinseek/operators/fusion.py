@@ -282,7 +282,8 @@ def hybrid_search(queries: DataFrame, corpus: Corpus, **parameters) -> DataFrame
     k_score, v_score, score`."""
     batch = measure(queries, corpus)
     ranked = hybrid_ids(queries, corpus, batch=batch, **parameters)
-    return with_payload(ranked, queries, corpus, MAX_RESULTS, batch=batch).select(
+    most = parameters.get("max_results", MAX_RESULTS)
+    return with_payload(ranked, queries, corpus, most, batch=batch).select(
         "query_id", "rank", "id", "user_document_id", "paragraph_id", "text", "meta", "created_at",
         "k_score", "v_score", "score",
     )

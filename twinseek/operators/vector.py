@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from twinseek.functions import vectors
 from twinseek.operators.ranking import top_k, top_k_per_query
+from twinseek.session import cut_lineage
 
 # Bound on what one pass sends to every executor: query rows, and bytes of query vectors.
 PASS_ROWS = 20_000
@@ -66,8 +67,8 @@ def nearest_batch(
 
     Chunks are read where they lie and never shuffled: each task scores its Arrow batches against the query vectors with a
     block product and keeps k rows per query, so pairs are never written out and a tenant of any size spreads over all its
-    splits. Query vectors travel to the executors in passes of bounded, measured size; a query table beyond one pass is cut
-    by hash into more passes over the chunks, with the same result. `n_queries` is the number of queries when it is known.
+    splits. Query vectors travel to the executors in passes of bounded, measured size, one after another; a query table beyond
+    one pass is cut by hash into more passes over the chunks, with the same result. `n_queries` is the number of queries when it is known.
     """
     wanted = queries.filter(F.col("query_embedding").isNotNull())
     for s in scopes:
@@ -84,19 +85,19 @@ def nearest_batch(
     n = wanted.count() if n_queries is None else n_queries
     batch = wanted.toArrow() if n <= pass_rows else None
     if batch is not None and batch.nbytes <= pass_bytes:
-        parts = [_one_pass(batch, chunks, k, scopes, ranges, keep)]
-    else:
-        cells = wanted.agg(F.sum(F.size("query_embedding").cast("long"))).first()[0]
-        # hash classes are uneven: aim at half a pass
-        passes = 2 * max(-(-n // pass_rows), -(-cells * 8 // pass_bytes))
-        number = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-        parts = [
-            _one_pass(wanted.filter(number == i).toArrow(), chunks, k, scopes, ranges, keep) for i in range(passes)
-        ]
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
-    return top_k_per_query(best, "distance", k)
+        return top_k_per_query(_one_pass(batch, chunks, k, scopes, ranges, keep), "distance", k)
+    del batch
+    cells = wanted.agg(F.sum(F.size("query_embedding").cast("long"))).first()[0]
+    # hash classes are uneven: aim at half a pass
+    passes = 2 * max(-(-n // pass_rows), -(-cells * 8 // pass_bytes))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    best = None
+    for i in range(passes):
+        # a pass is finished and stored before the next one's vectors reach the driver; a query is in one pass only
+        held = _one_pass(wanted.filter(number == i).toArrow(), chunks, k, scopes, ranges, keep)
+        part = cut_lineage(top_k_per_query(held, "distance", k))
+        best = part if best is None else best.unionByName(part)
+    return best
 
 
 def _scope_key(columns: list[Column]) -> Column:

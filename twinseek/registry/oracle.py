@@ -385,6 +385,20 @@ SELECT key, count(*) AS count FROM present GROUP BY key ORDER BY count DESC, key
     sql["vector_join_json"] = nearest(scoped=False, condition="e.position = 'beginning' AND NOT e.has_math")
     sql["ann_all_probes"] = nearest(scoped=False)
     sql["ann_recall_curve"] = "SELECT 5 AS efforts, true AS never_falls, 1.0 AS all_probes"
+    sql["known_item_sample"] = base(CHUNKS) + r"""
+, drawn AS (SELECT * FROM c WHERE CAST('0x' || substr(md5(id || ':2'), 1, 8) AS BIGINT) % 1000000 < 20000),
+few AS (SELECT * FROM drawn ORDER BY md5(id || ':0'), id LIMIT 90),
+chosen AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS stripped FROM few ORDER BY md5(id || ':1'), id LIMIT 30)
+SELECT id, user_id, user_document_id, array_to_string(regexp_extract_all(
+  CASE WHEN length(stripped) > 20 THEN stripped ELSE text END, '\S+')[1:10], ' ') AS search_text FROM chosen"""
+    sql["random_documents"] = base(CHUNKS) + """
+, one AS (SELECT user_document_id, user_id, arg_min(id, md5(id || ':0')) AS chunk_id FROM c WHERE length(text) > 300 GROUP BY ALL)
+SELECT user_document_id AS document_id, chunk_id, user_id FROM one
+ORDER BY md5(user_document_id || ':1'), user_document_id LIMIT 50"""
+    sql["sample_parameters"] = base(CHUNKS, VECTORS) + """
+, u AS (SELECT user_id FROM c GROUP BY user_id HAVING count(*) > 100 ORDER BY md5(user_id || ':0'), user_id LIMIT 1)
+SELECT user_id, (SELECT len(arg_min(embedding, id)) FROM e WHERE e.user_id = u.user_id) AS n,
+  (SELECT arg_min(position, id) FROM c WHERE c.user_id = u.user_id) AS position FROM u"""
     sql["layout_manifest"] = base(CHUNKS) + "SELECT user_id, count(*) AS n_chunks FROM c GROUP BY user_id"
 
     # ---- keyword search

@@ -718,7 +718,9 @@ def evaluation_tenants(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def sample_parameters(spark: SparkSession, folder: str) -> DataFrame:
-    return evalset.sample_parameters(cp.chunks(spark, folder)).select("user_id", F.size("embedding").alias("n"), "meta")
+    return evalset.sample_parameters(cp.chunks(spark, folder)).select(
+        "user_id", F.size("embedding").alias("n"), js.json_text(F.col("meta"), "position").alias("position")
+    )
 
 
 # ---- metrics
