@@ -235,8 +235,14 @@ def gone_places(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     id_type = texts.schema["least"].dataType.simpleString()
     schema = f"one long, two long, d long, e long, least {id_type}, place long"
     windows = stored(texts.mapInArrow(_windows(window), schema), "windows")
-    first = windows.groupBy("one", "two").agg(F.min("least").alias("first"))
-    later = F.col("first").isNotNull() & (F.col("least").isNull() | (F.col("least") > F.col("first")))
+    # only windows that a later document has too; stored, so that the join reads two plain exchanges and a window that very many
+    # documents have can be split at run time
+    first = windows.groupBy("one", "two").agg(
+        F.min("least").alias("first"), F.max("least").alias("last"), F.bool_or(F.col("least").isNull()).alias("unnumbered")
+    )
+    first = first.filter((F.col("last") > F.col("first")) | (F.col("unnumbered") & F.col("first").isNotNull()))
+    first = stored(first.select("one", "two", "first"), "first-windows")
+    later = F.col("least").isNull() | (F.col("least") > F.col("first"))
     gone = windows.join(first, ["one", "two"]).filter(later)
     return gone.groupBy("d", "e").agg(F.collect_list("place").alias("places"))
 
