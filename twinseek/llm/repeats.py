@@ -56,7 +56,7 @@ def _made(batches: Iterator[pa.RecordBatch], keys_of: Keys) -> Iterator[tuple[np
 
 
 def _ranges(keys_of: Keys):
-    """For each key the least and greatest digest that a task saw it in."""
+    """For each key the least and greatest digest that a task saw it in, and in how many texts."""
 
     def flushed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         d, key = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -66,8 +66,8 @@ def _ranges(keys_of: Keys):
         last = np.r_[first[1:], len(key)] - 1
         for i in range(0, len(first), 1 << 16):
             a, b = first[i : i + (1 << 16)], last[i : i + (1 << 16)]
-            columns = [pa.array(key[a].view(np.int64)), pa.array(d[a]), pa.array(d[b])]
-            yield pa.record_batch(columns, ["key", "low", "high"])
+            columns = [pa.array(key[a].view(np.int64)), pa.array(d[a]), pa.array(d[b]), pa.array(b - a + 1)]
+            yield pa.record_batch(columns, ["key", "low", "high", "n"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -137,29 +137,39 @@ def shared_keys(keys: pa.Array, text: np.ndarray, key: np.ndarray) -> np.ndarray
     return keep
 
 
+def shared(texts: DataFrame, keys_of: Keys) -> DataFrame:
+    """key, n: the keys that two different texts of (d, text) have, and how many rows have them."""
+    ranges = texts.select("d", "text").mapInArrow(_ranges(keys_of), "key long, low long, high long, n long")
+    total = ranges.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    return stored(total.filter(F.col("low") != F.col("high")).select("key", "n"), "shared-keys")
+
+
 def sharing_texts(docs: DataFrame, keys_of: Keys) -> DataFrame:
     """d, e, least, text, keys: every text that has a key which another text has too, once, with all such keys of it."""
     texts = docs.select(*digests(), whole_text().alias("text"))
-    ranges = texts.select("d", "text").mapInArrow(_ranges(keys_of), "key long, low long, high long")
-    total = ranges.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    shared = stored(total.filter(F.col("low") != F.col("high")).select("key"), "shared-keys")
-    asked = texts.select("d", "text").mapInArrow(_asked(keys_of, bit_table(shared, "key")), "key long, d long")
-    found = stored(asked.join(shared, "key").select("d", "key").distinct(), "found-keys")
+    common = shared(texts, keys_of)
+    asked = texts.select("d", "text").mapInArrow(_asked(keys_of, bit_table(common, "key")), "key long, d long")
+    found = stored(asked.join(common.select("key"), "key").select("d", "key").distinct(), "found-keys")
     near = texts.mapInArrow(_with_digest(bit_table(found, "d")), "d long, e long, text string").dropDuplicates(["d", "e"])
     keys = found.groupBy("d").agg(F.collect_list("key").alias("keys"))
-    return stored(near.join(keys, "d").join(classes(docs), ["d", "e"]), "sharing-texts")
+    # the small sides are joined first, so that the texts are dealt out once
+    known = keys.join(classes(docs), "d")
+    return stored(near.join(known, ["d", "e"]).select("d", "e", "least", "text", "keys"), "sharing-texts")
 
 
 def settled(
-    docs: DataFrame, texts: DataFrame, gone: DataFrame, measured: Callable[[Column, Column], Column], has_window: Column
+    docs: DataFrame, gone: DataFrame, measured: Callable[[Column, Column], Column], has_window: Column
 ) -> DataFrame:
     """doc_id, whole, changed, emptied of each row of (doc_id, text).
 
     `measured` describes a text from which the windows at some places are taken; `whole` is that without any, `changed` that with the
     places in `gone` (null where none), `emptied` says that the row is a copy of a text with a smaller id and has a window.
     """
+    gone = stored(gone, "gone-places")
+    texts = docs.select(*digests(), whole_text().alias("text"))
+    near = texts.mapInArrow(_with_digest(bit_table(gone, "d")), "d long, e long, text string").dropDuplicates(["d", "e"])
     changed = stored(
-        texts.join(gone, ["d", "e"]).select("d", "e", measured(F.col("text"), F.col("places")).alias("changed")), "changed"
+        near.join(gone, ["d", "e"]).select("d", "e", measured(F.col("text"), F.col("places")).alias("changed")), "changed"
     )
     none = F.array().cast("array<long>")
     rows = stored(docs.select("doc_id", *digests(), measured(F.col("text"), none).alias("whole")), "rows")

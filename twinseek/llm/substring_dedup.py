@@ -255,7 +255,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return kept_words(text, places, window)
 
     whole = F.col("whole.n_words")
-    return repeats.settled(docs, texts, gone_places(texts, window), measured, whole >= window).select(
+    return repeats.settled(docs, gone_places(texts, window), measured, whole >= window).select(
         "doc_id",
         whole.alias("n_words"),
         F.when(F.col("emptied"), whole).otherwise(F.coalesce("changed.n_removed", F.lit(0))).alias("n_removed"),

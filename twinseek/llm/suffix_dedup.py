@@ -1,14 +1,14 @@
 """Removal of repeated byte strings by merging Burrows-Wheeler transforms of shards.
 
 Only windows whose least 16-byte gram (by hash) also is the least of a window of another text can repeat (`repeats`). Such windows are cut out as
-short reads, one per run of windows with the same gram; equal reads are one entry with the smallest id. Reads are gathered by gram,
-so equal windows meet. A task splits its reads into shards, sorts the suffixes of each shard alone and keeps its transform. The
+short reads, one per run of windows with the same gram, and gathered by gram, so equal windows meet. In a task equal reads are one
+entry with the smallest id. It splits its reads into shards, sorts the suffixes of each shard alone and keeps its transform. The
 transforms are merged without sorting suffixes again: an interleave says which shard each place of the merged order takes its
 next suffix from. Each refinement reads the merged transform in the present order and deals it out by symbol, stably, which orders
 the interleave by one more symbol; where two neighbours part first is their common prefix. After as many refinements as a window
 has bytes, places not parted are the intervals of repeated windows, and the smallest id of an interval decides.
 
-A gram with very many different reads is not gathered in one task: its windows are grouped one by one, which says the same.
+A gram that very many texts have is not gathered in one task: its windows are grouped one by one, which says the same.
 
 Copies of a whole text are one text: what is not the smallest id of its text loses every byte if it has a whole window.
 
@@ -19,22 +19,22 @@ the same id, remove nothing; a null id counts as larger than any other and remov
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinseek.llm import repeats
-from twinseek.llm.common import joined_bytes, mixed, pieces, stored
+from twinseek.llm.common import joined_bytes, mixed, pieces, stored, whole_text
 from twinseek.llm.substring_dedup import BASE, Rolling, covered
 
 WINDOW, GRAM = 50, 16
 # Bytes of reads merged at once in a task, and bytes of one shard of them.
 MERGED_BYTES, SHARD_BYTES = 1 << 20, 1 << 16
-# Different reads of one gram above which its windows are grouped one by one.
+# Texts with one gram above which its windows are grouped one by one.
 CROWDED = 20_000
 # A byte that no UTF-8 text holds ends a read.
 END = 0xFF
@@ -76,35 +76,61 @@ def _keys_of(window: int):
     return keys
 
 
-def _reads(window: int):
-    """Runs of windows with one shared gram: key, text, place of the first window, bytes."""
+def _cut(batches: Iterator[pa.RecordBatch], window: int, wanted: Callable[[np.ndarray], np.ndarray]):
+    """Of each piece its columns, joined bytes, and the wanted windows: text, first byte, gram."""
+    for batch in batches:
+        for part in pieces(batch, "text", repeats.PIECE):
+            buffer, offsets = joined_bytes(part.column("text"))
+            of, starts, key = window_grams(buffer, offsets, window)
+            keep = wanted(key)
+            if keep.any():
+                yield part, buffer, offsets, of[keep], starts[keep], key[keep]
+
+
+def _reads(window: int, shared: Broadcast, crowded: Broadcast):
+    """Runs of windows with one shared gram: gram, text, id, place of the first window, bytes."""
     most = window - min(GRAM, window) + 1
 
+    def wanted(key: np.ndarray) -> np.ndarray:
+        return repeats.maybe_in(shared.value, key) & ~repeats.maybe_in(crowded.value, key)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text", repeats.PIECE):
-                buffer, offsets = joined_bytes(part.column("text"))
-                of, starts, key = window_grams(buffer, offsets, window)
-                keep = repeats.shared_keys(part.column("keys"), of, key)
-                of, starts, key = of[keep], starts[keep], key[keep]
-                if not len(of):
-                    continue
-                new = np.r_[True, (key[1:] != key[:-1]) | (starts[1:] != starts[:-1] + 1) | (of[1:] != of[:-1])]
-                run = np.flatnonzero(new)[np.cumsum(new) - 1]
-                heads = np.flatnonzero((np.arange(len(of)) - run) % most == 0)
-                tails = np.r_[heads[1:], len(of)] - 1
-                data = buffer.tobytes()
-                spans = zip(starts[heads].tolist(), (starts[tails] + window).tolist(), strict=True)
-                own = [part.column(c).take(pa.array(of[heads])) for c in ("d", "e", "least")]
-                yield pa.record_batch(
-                    [
-                        pa.array(key[heads].view(np.int64)),
-                        *own,
-                        pa.array(starts[heads] - offsets[:-1][of[heads]]),
-                        pa.array([data[a:b] for a, b in spans], pa.binary()),
-                    ],
-                    ["key", "d", "e", "least", "place", "read"],
-                )
+        for part, buffer, offsets, of, starts, key in _cut(batches, window, wanted):
+            new = np.r_[True, (key[1:] != key[:-1]) | (starts[1:] != starts[:-1] + 1) | (of[1:] != of[:-1])]
+            run = np.flatnonzero(new)[np.cumsum(new) - 1]
+            heads = np.flatnonzero((np.arange(len(of)) - run) % most == 0)
+            tails = np.r_[heads[1:], len(of)] - 1
+            data = buffer.tobytes()
+            spans = zip(starts[heads].tolist(), (starts[tails] + window).tolist(), strict=True)
+            yield pa.record_batch(
+                [
+                    pa.array(key[heads].view(np.int64)),
+                    *[part.column(c).take(pa.array(of[heads])) for c in ("d", "e", "doc_id")],
+                    pa.array(starts[heads] - offsets[:-1][of[heads]]),
+                    pa.array([data[a:b] for a, b in spans], pa.binary()),
+                ],
+                ["key", "d", "e", "doc_id", "place", "read"],
+            )
+
+    return cut
+
+
+def _single(window: int, crowded: Broadcast):
+    """Windows with a crowded gram, one by one: 128-bit name, text, id, place."""
+
+    def wanted(key: np.ndarray) -> np.ndarray:
+        return repeats.maybe_in(crowded.value, key)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buffer, offsets, of, starts, _ in _cut(batches, window, wanted):
+            names = []
+            for base in BASE:
+                letters = mixed(np.arange(1, 257, dtype=np.uint64) * base)[buffer]
+                names.append(pa.array(Rolling(letters, base).of(starts, starts + window).view(np.int64)))
+            own = [part.column(c).take(pa.array(of)) for c in ("d", "e", "doc_id")]
+            yield pa.record_batch(
+                [*names, *own, pa.array(starts - offsets[:-1][of])], ["one", "two", "d", "e", "doc_id", "place"]
+            )
 
     return cut
 
@@ -177,26 +203,39 @@ def repeated(reads: list[bytes], least: np.ndarray, window: int, shard_bytes: in
 
 
 def _judged(window: int):
+    """Places of each read whose window a smaller id holds too. Reads come in the order of their grams."""
+
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, last = 0, None
 
         def flushed() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            first = table.column("first")
-            ids = first.cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            gone = repeated(table.column("read").to_pylist(), ids, window)
-            columns = [table.column(c).combine_chunks() for c in ("key", "read", "first")]
-            return pa.record_batch([*columns, pa.array(gone, pa.list_(pa.int32()))], ["key", "read", "first", "gone"])
+            coded = table.column("read").combine_chunks().dictionary_encode()
+            reads, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            ids = table.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
+            least = np.full(len(reads), NO_ID)
+            np.minimum.at(least, of, ids)
+            gone = repeated(reads, least, window)
+            rows, places = [], []
+            for i, (r, place, later) in enumerate(
+                zip(of.tolist(), table.column("place").to_pylist(), (ids > least[of]).tolist(), strict=True)
+            ):
+                at = range(len(reads[r]) - window + 1) if later else gone[r]
+                if at:
+                    rows.append(i)
+                    places.append([place + x for x in at])
+            own = [table.column(c).combine_chunks().take(pa.array(rows, pa.int64())) for c in ("d", "e", "doc_id")]
+            return pa.record_batch([*own, pa.array(places, pa.list_(pa.int64()))], ["d", "e", "doc_id", "places"])
 
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False)
-            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-            if len(key):
-                new[0] = key[0] != last
-                last = key[-1]
-            begin = 0
+            if not len(key):
+                continue
+            new = np.r_[key[0] != last, key[1:] != key[:-1]]
+            last = key[-1]
             ends = np.cumsum([len(r) for r in batch.column("read").to_pylist()])
+            begin = 0
             for at in np.flatnonzero(new).tolist():
                 # flush where a new gram begins, so that no gram is parted
                 done = int(ends[at - 1] if at else 0) - int(ends[begin - 1] if begin else 0)
@@ -205,47 +244,37 @@ def _judged(window: int):
                     yield flushed()
                     held, size, begin = [], 0, at
             held.append(batch.slice(begin))
-            size += int(ends[-1] if len(ends) else 0) - int(ends[begin - 1] if begin else 0)
+            size += int(ends[-1]) - int(ends[begin - 1] if begin else 0)
         if size:
             yield flushed()
 
     return judged
 
 
-def verdicts(pool: DataFrame, window: int, crowded: int = CROWDED) -> DataFrame:
-    """key, read, first, gone: for each different read the smallest id, and the places that a read with a smaller id holds too."""
-    schema = pool.select("key", "read", "first").schema.add("gone", T.ArrayType(T.IntegerType()))
-    heavy = pool.groupBy("key").count().filter(F.col("count") > crowded).select("key")
-    heavy = stored(heavy, "crowded")  # fewer keys than reads / crowded
-    usual = pool.join(heavy, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    judged = usual.select("key", "read", "first").mapInArrow(_judged(window), schema)
-    rest = pool.join(heavy, "key", "left_semi")
-    offsets = F.explode(F.sequence(F.lit(0), F.octet_length("read") - window)).alias("at")
-    single = rest.select("key", "read", "first", offsets).withColumn(
-        "string", F.col("read").substr(F.col("at") + 1, F.lit(window))
-    )
-    least = single.groupBy("string").agg(F.min("first").alias("least"))
-    later = F.col("least").isNotNull() & (F.col("first").isNull() | (F.col("first") > F.col("least")))
-    each = single.join(least, "string").groupBy("key", "read", "first").agg(
-        F.collect_list(F.when(later, F.col("at"))).alias("gone")
-    )
-    return judged.unionByName(each)
-
-
-def gone_places(texts: DataFrame, window: int = WINDOW, crowded: int = CROWDED) -> DataFrame:
-    """d, e, places: begins of the windows of a sharing text that a document with a smaller id than the text's has too."""
-    id_type = texts.schema["least"].dataType.simpleString()
-    schema = f"key long, d long, e long, least {id_type}, place long, read binary"
-    reads = stored(texts.mapInArrow(_reads(window), schema), "reads")
-    pool = stored(reads.groupBy("key", "read").agg(F.min("least").alias("first")), "pool")
-    known = stored(verdicts(pool, window, crowded), "verdicts")
-    later = F.col("first").isNotNull() & (F.col("least").isNull() | (F.col("least") > F.col("first")))
-    every = F.sequence(F.lit(0), F.octet_length("read") - window)
-    gone = F.when(later, every).otherwise(F.col("gone"))
-    found = reads.join(known, ["key", "read"]).select(
-        "d", "e", F.transform(gone, lambda at: at + F.col("place")).alias("places")
+def gone_places(docs: DataFrame, window: int = WINDOW, crowded: int = CROWDED) -> DataFrame:
+    """d, e, places: begins of the windows of a text that a document with a smaller id than the text's has too."""
+    texts = docs.select("doc_id", *repeats.digests(), whole_text().alias("text"))
+    shared = repeats.shared(texts, _keys_of(window))
+    heavy = shared.filter(F.col("n") > crowded)
+    usual_table, heavy_table = repeats.bit_table(shared, "key"), repeats.bit_table(heavy, "key")
+    own = f"d long, e long, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    reads = texts.mapInArrow(_reads(window, usual_table, heavy_table), f"key long, {own}, place long, read binary")
+    gone = reads.repartition("key").sortWithinPartitions("key").mapInArrow(_judged(window), f"{own}, places array<long>")
+    if not heavy.isEmpty():
+        single = texts.mapInArrow(_single(window, heavy_table), f"one long, two long, {own}, place long")
+        single = stored(single, "crowded-windows")
+        least = stored(single.groupBy("one", "two").agg(F.min("doc_id").alias("least")), "least-ids")
+        later = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
+        more = single.join(least, ["one", "two"]).filter(later).select("d", "e", "doc_id", F.array("place").alias("places"))
+        gone = gone.unionByName(more)
+    # of the copies of a text only the smallest id is judged by its windows; the others lose everything
+    return (
+        gone.groupBy("d", "e", "doc_id")
+        .agg(F.flatten(F.collect_list("places")).alias("places"))
+        .join(repeats.classes(docs), ["d", "e"])
+        .filter(F.col("doc_id").eqNullSafe(F.col("least")))
+        .select("d", "e", "places")
     )
-    return found.filter(F.size("places") > 0).groupBy("d", "e").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def _kept_bytes(window: int):
@@ -271,13 +300,12 @@ def kept_bytes(text: Column, places: Column, window: int = WINDOW) -> Column:
 
 def dedup(docs: DataFrame, window: int = WINDOW, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of (doc_id, text)."""
-    texts = repeats.sharing_texts(docs, _keys_of(window))
 
     def measured(text: Column, places: Column) -> Column:
         return kept_bytes(text, places, window)
 
     whole, emptied = F.col("whole.n_bytes"), F.col("emptied")
-    return repeats.settled(docs, texts, gone_places(texts, window, crowded), measured, whole >= window).select(
+    return repeats.settled(docs, gone_places(docs, window, crowded), measured, whole >= window).select(
         "doc_id",
         whole.alias("n_bytes"),
         F.when(emptied, whole).otherwise(F.coalesce("changed.n_removed", F.lit(0))).alias("n_removed"),
