@@ -42,10 +42,13 @@ def main() -> None:
         work()
         seconds[name] = round(time.perf_counter() - start, 3)
 
-    documents, chunks = cp.documents(spark, FOLDER), cp.chunks(spark, FOLDER)
+    # a corpus is stored in many files; the given tables are single ones, which one core would read alone
+    for name in ("documents", "embeddings", "labels"):
+        cp.table(spark, FOLDER, name).repartition(int(CPUS)).write.parquet(f"{place}/tables/{name}.parquet")
+    documents, chunks = cp.documents(spark, f"{place}/tables"), cp.chunks(spark, f"{place}/tables")
     clock("ingest", lambda: layout.write_corpus(documents, chunks, f"{place}/corpus", "english", BUCKETS))
-    tables = layout.read_corpus(spark, f"{place}/corpus", "english", BUCKETS)
-    cp.known_item_queries(spark, FOLDER).write.parquet(f"{place}/queries")
+    tables = layout.read_corpus(spark, f"{place}/corpus")
+    cp.known_item_queries(spark, f"{place}/tables").write.parquet(f"{place}/queries")
     everything = spark.read.parquet(f"{place}/queries")
     n_all = everything.count()
     batches = {}
