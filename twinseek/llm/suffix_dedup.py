@@ -3,10 +3,11 @@
 Only windows whose least 16-byte gram (by hash) also is the least of a window of another text can repeat (`repeats`). Such windows are cut out as
 short reads, one per run of windows with the same gram, and gathered by gram, so equal windows meet. In a task equal reads are one
 entry with the smallest id. It splits its reads into shards, sorts the suffixes of each shard alone and keeps its transform. The
-transforms are merged without sorting suffixes again: an interleave says which shard each place of the merged order takes its
-next suffix from. Each refinement reads the merged transform in the present order and deals it out by symbol, stably, which orders
-the interleave by one more symbol; where two neighbours part first is their common prefix. After as many refinements as a window
-has bytes, places not parted are the intervals of repeated windows, and the smallest id of an interval decides.
+transforms are merged without sorting suffixes again: an interleave of the rows of all shards is refined step by step. A refinement reads the
+symbols that the transforms hold at the rows in the present order, deals the rows out by symbol, stably, and follows the transforms to
+the rows in front, which orders the interleave by two more symbols. Only rows of suffixes that begin a whole window are kept in it.
+After as many refinements as a window has symbols, neighbours that share a prefix of a whole window are the intervals of
+repeated windows, and the smallest id of an interval decides.
 
 A gram that very many texts have is not gathered in one task: its windows are grouped one by one, which says the same.
 
@@ -135,44 +136,63 @@ def _single(window: int, crowded: Broadcast):
     return cut
 
 
+def packed(text: np.ndarray, n: int) -> np.ndarray:
+    """Eight bytes from each of the first n places on as one number that orders like them; the text is read as a ring."""
+    ring = np.resize(text, n + 7).astype(np.uint64)
+    two = ring[:-1] << np.uint64(8) | ring[1:]
+    four = two[:-2] << np.uint64(16) | two[2:]
+    return four[:-4] << np.uint64(32) | four[4:]
+
+
 def suffix_order(text: np.ndarray, window: int) -> np.ndarray:
     """Suffixes of a shard (read as a ring) by their first `window` bytes."""
     n = len(text)
-    ring = np.resize(text, n + window + 8).astype(np.uint64)
-    two = ring[:-1] << np.uint64(8) | ring[1:]
-    four = two[:-2] << np.uint64(16) | two[2:]
-    eight = four[:-4] << np.uint64(32) | four[4:]
+    eight = packed(text, n + window)
     columns = [eight[i : i + n] for i in range(0, window - 7, 8)]
     if window % 8:
         columns.append(eight[window - window % 8 :][:n] >> np.uint64(64 - 8 * (window % 8)))
     return np.lexsort(columns[::-1])
 
 
-def merge(shards: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of all shards in merged order (as places in the joined shards), and their common prefix with the one before, up to
-    `window`."""
-    orders = [suffix_order(s, window) for s in shards]
-    transforms = np.concatenate([s[o - 1] for s, o in zip(shards, orders, strict=True)])
+def merge(shards: list[np.ndarray], window: int, starts: np.ndarray) -> np.ndarray:
+    """The windows at `starts` (places in the joined shards) in merged order.
+
+    A window stands at the row behind its last byte at first. A refinement reads, for all windows in the present order, the two symbols
+    that the transform of their shard has at their rows, deals the windows out by them, stably, and steps to the rows of the
+    suffixes that begin there (the last-to-first mapping). An odd window takes one step of one symbol first.
+    """
     sizes = np.array([len(s) for s in shards])
-    interleave = np.repeat(np.arange(len(shards)), sizes).astype(np.uint16)
-    n = len(interleave)
-    prefix = np.full(n, window)
-    prefix[:1] = 0
-    part = np.zeros(n, np.int32)
-    symbols = np.empty(n, np.uint8)
-    for length in range(window):
-        symbols[np.argsort(interleave, kind="stable")] = transforms
-        order = np.argsort(symbols, kind="stable")
-        interleave, dealt, part = interleave[order], symbols[order], part[order]
-        parted = (dealt[1:] != dealt[:-1]) | (part[1:] != part[:-1])
-        np.minimum(prefix[1:], np.where(parted, length, window), out=prefix[1:])
-        part[0] = 0
-        np.cumsum(parted, out=part[1:])
-    places = np.empty(n, np.int64)
-    places[np.argsort(interleave, kind="stable")] = np.concatenate(
-        [o + b for o, b in zip(orders, np.cumsum(sizes) - sizes, strict=True)]
-    )
-    return places, prefix
+    bases = np.cumsum(sizes) - sizes
+    places = np.concatenate([suffix_order(s, window) + b for s, b in zip(shards, bases, strict=True)])
+    text = np.concatenate(shards).astype(np.uint16)
+    n = len(text)
+    row = np.empty(n, np.int32)
+    row[places] = np.arange(n, dtype=np.int32)
+    before = np.arange(n) - 1
+    before[bases] = bases + sizes - 1
+    # by row: symbols in front of the suffix, and the row of the suffix that begins with them
+    one, one_back = text[before[places]], row[before[places]]
+    second = before[before[places]]
+    two, two_back = text[second] << np.uint16(8) | one, row[second]
+    rows = row[starts + window]
+    for symbols, back in [(one, one_back)] * (window % 2) + [(two, two_back)] * (window // 2):
+        rows = rows[np.argsort(symbols[rows], kind="stable")]
+        rows = back[rows]
+    return places[rows]
+
+
+def common_prefixes(text: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """Bytes, up to `window`, that each of the ordered windows shares with the one before; 0 for the first."""
+    eight = packed(text, len(text))
+    prefix = np.zeros(len(places), np.int64)
+    alike = np.ones(max(len(places) - 1, 0), bool)
+    for i in range(0, window, 8):
+        column = eight[np.minimum(places + i, len(text) - 1)]
+        apart = column[1:] ^ column[:-1]
+        for byte in range(min(8, window - i)):
+            alike &= apart >> np.uint64(56 - 8 * byte) == 0
+            prefix[1:] += alike
+    return prefix
 
 
 def repeated(reads: list[bytes], least: np.ndarray, window: int, shard_bytes: int = SHARD_BYTES) -> list[list[int]]:
@@ -186,18 +206,19 @@ def repeated(reads: list[bytes], least: np.ndarray, window: int, shard_bytes: in
             held, size = [], 0
     if held:
         shards.append(np.frombuffer(b"".join(held), np.uint8))
-    places, prefix = merge(shards, window)
     lengths = np.array([len(r) + 1 for r in reads])
     begins = np.cumsum(lengths) - lengths
-    read = np.repeat(np.arange(len(reads)), lengths)[places]
-    place = places - begins[read]
-    inside = place + window < lengths[read]
-    ids = np.where(inside, least[read], NO_ID)
-    intervals = np.flatnonzero(prefix < window)
+    windows = lengths - window
+    of = np.repeat(np.arange(len(reads)), windows)
+    starts = np.arange(len(of)) - (np.cumsum(windows) - windows)[of] + begins[of]
+    places = merge(shards, window, starts)
+    intervals = np.flatnonzero(common_prefixes(np.concatenate(shards), places, window) < window)
+    read = np.searchsorted(begins, places, "right") - 1
+    ids = least[read]
     smallest = np.repeat(np.minimum.reduceat(ids, intervals), np.diff(np.r_[intervals, len(ids)]))
-    gone = np.flatnonzero(inside & (smallest < ids))
+    gone = np.flatnonzero(smallest < ids)
     out: list[list[int]] = [[] for _ in reads]
-    for i, at in zip(read[gone].tolist(), place[gone].tolist(), strict=True):
+    for i, at in zip(read[gone].tolist(), (places[gone] - begins[read[gone]]).tolist(), strict=True):
         out[i].append(at)
     return out
 
