@@ -123,11 +123,12 @@ EDITED = (
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document with the one behind it; a partition holds ranges in order, and each range ends with the next one's first row."""
-    before = None
+    before, codec = None, pa.Codec("zstd")
     for batch in batches:
         out = []
-        columns = (batch.column(c).to_pylist() for c in ("part", "doc_id", "text", "extra"))
-        for part, doc_id, text, extra in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("part", "doc_id", "packed", "bytes", "extra"))
+        for part, doc_id, packed, size, extra in zip(*columns, strict=True):
+            text = codec.decompress(packed, size, asbytes=True).decode() if size else ""
             own = signatures(text)
             if before is not None and before[0] == part:
                 _, id_, first, mine = before
@@ -168,12 +169,21 @@ def compared_with_edits(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> Data
             out.append([part, (part - 1) % len(begins)] if key == begins[part] else [part])
         return pa.array(out, pa.list_(pa.int32()))
 
-    dealt = rows.withColumn("parts", F.arrow_udf(placed, "array<int>")(*order)).select(
-        "doc_id", "text", *order, F.posexplode("parts").alias("extra", "part")
-    )
+    def shrunk(texts: pa.Array) -> pa.Array:
+        codec = pa.Codec("zstd")
+        return pa.array([codec.compress(t.encode(), asbytes=True) for t in texts.to_pylist()], pa.binary())
+
+    # texts travel compressed one by one: the shuffle's own compression sees only short stretches of them
+    dealt = rows.select(
+        "doc_id",
+        F.arrow_udf(shrunk, "binary")("text").alias("packed"),
+        F.octet_length("text").alias("bytes"),
+        *order,
+        F.arrow_udf(placed, "array<int>")(*order).alias("parts"),
+    ).select("doc_id", "packed", "bytes", *order, F.posexplode("parts").alias("extra", "part"))
     laid = dealt.repartition("part").sortWithinPartitions("part", "extra", *order)
     schema = EDITED.format(id=docs.schema["doc_id"].dataType.simpleString())
-    return laid.select("part", "doc_id", "text", "extra").mapInArrow(_compared, schema)
+    return laid.select("part", "doc_id", "packed", "bytes", "extra").mapInArrow(_compared, schema)
 
 
 def _agreeing(threshold: float):
