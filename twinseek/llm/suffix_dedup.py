@@ -242,10 +242,11 @@ def _judged(window: int):
             for i, (r, place, later) in enumerate(
                 zip(of.tolist(), table.column("place").to_pylist(), (ids > least[of]).tolist(), strict=True)
             ):
-                at = range(len(reads[r]) - window + 1) if later else gone[r]
+                at = {*range(len(reads[r]) - window + 1)} if later else {*gone[r]}
                 if at:
                     rows.append(i)
-                    places.append([place + x for x in at])
+                    # the first and last of a row of windows cover the same bytes, as a read has fewer windows than a window bytes
+                    places.append([place + x for x in sorted(at) if x - 1 not in at or x + 1 not in at])
             own = [table.column(c).combine_chunks().take(pa.array(rows, pa.int64())) for c in ("d", "e", "doc_id")]
             return pa.record_batch([*own, pa.array(places, pa.list_(pa.int64()))], ["d", "e", "doc_id", "places"])
 
