@@ -74,8 +74,10 @@ def edit_map(placed: Mapping[int, int], loads: Loads, shards: int, tolerance: fl
         weight[to] += loads.get(slot, 0)
         heapq.heappush(members[to], (-loads.get(slot, 0), slot))
     mean = sum(weight) / shards
+    # shards that are new take what the others give; between old ones nothing moves then
+    takers = sorted({*range(shards)} - {*edited.values()}) or range(shards)
     while True:
-        heavy, light = max(range(shards), key=lambda s: weight[s]), min(range(shards), key=lambda s: weight[s])
+        heavy, light = max(range(shards), key=lambda s: weight[s]), min(takers, key=lambda s: weight[s])
         gap = weight[heavy] - weight[light]
         fitting = [x for x in members[heavy] if 0 < -x[0] < gap]
         if weight[heavy] <= mean * (1 + tolerance) or not fitting:
