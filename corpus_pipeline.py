@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, mixing, secrets, simhash, toxicity
+from twinseek.llm import bpe, mixing, near_copies, secrets, toxicity
 from twinseek.llm.common import bound_batches, stored
 from twinseek.llm.queries import vocabulary_file
 
@@ -27,9 +27,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
+    """Keep one document of each group of near-duplicates: texts that share 0.8 or more of their five-word shingles."""
     bound_batches(spark)
-    return simhash.kept_rows(docs)
+    return near_copies.kept_rows(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

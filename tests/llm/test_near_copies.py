@@ -1,0 +1,80 @@
+"""The near-copy stage of the pipeline against brute force over all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from twinseek.llm import near_copies
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_kept(rows):
+    """Ids that stay: the least of each group of texts that share 0.8 or more of their shingles."""
+    sets = [plain_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                parent[top(i)] = top(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), doc_id), doc_id)
+    return sorted(least.values())
+
+
+def edited_rows():
+    """Copies with 0 to 8 changed words, chains of edits, a line all share, short and empty texts."""
+    random.seed(8)
+    words = ["".join(random.choices("abcdefghij", k=random.randint(2, 8))) for _ in range(400)]
+    line = " ".join(random.choices(words, k=40))
+    texts = [None, "", "one", "ONE", "a b c d e", "a b c d e f"]
+    for length in (9, 30, 100, 300):
+        for _ in range(4):
+            base = random.choices(words, k=length)
+            texts.append(" ".join(base))
+            chain = list(base)
+            for edits in range(9):
+                near = list(base)
+                for place in random.sample(range(length), edits):
+                    near[place] = random.choice(words)
+                chain[random.randrange(length)] = random.choice(words)
+                texts += [" ".join(near), " ".join(chain), line + " " + " ".join(near)]
+    numbers = list(range(len(texts)))
+    random.shuffle(numbers)
+    return list(zip(numbers, texts, strict=True))
+
+
+@pytest.mark.parametrize("first_stage", [True, False])
+def test_edited_copies(spark, monkeypatch, first_stage):
+    rows = edited_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if not first_stage:  # the second stage alone must find all
+        monkeypatch.setattr(near_copies, "near_by_key", lambda sets: sets.selectExpr("id as u", "id as v").limit(0))
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect())
+    assert kept == plain_kept(rows)
+    assert len(kept) < len(rows) - 100
+
+
+def test_pairs_that_meet_in_blocks(monkeypatch):
+    generator = np.random.default_rng(2)
+    id_ = np.arange(50)
+    n = generator.integers(20, 40, 50).astype(np.int32)
+    place = np.zeros(50, np.int32)
+    want = {(a, b) for a in id_ for b in id_ if a < b and 9 * min(n[a], n[b]) >= 4 * (n[a] + n[b]) and 5 * min(n[a], n[b]) >= 4 * max(n[a], n[b])}
+    for tried in (1, 7, 1 << 20):
+        monkeypatch.setattr(near_copies, "TRIED", tried)
+        found = [p for u, v in near_copies.meeting(id_, id_, n, place) for p in zip(u.tolist(), v.tolist(), strict=True)]
+        assert len(found) == len(want) and set(found) == want

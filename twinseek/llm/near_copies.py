@@ -1,0 +1,233 @@
+"""Near copies by exact Jaccard similarity of five-word shingles: every pair of 0.8 or more is found, and one row of each group stays.
+
+Texts with equal shingle sets are one entry. Two stages find the links between entries. The first is cheap and only saves work:
+neighbours by fingerprint (the index of `simhash`) and entries with equal minima under some hashes are compared, each with one other
+entry a key. The second misses none: in one common order of all shingles, two sets of similarity 0.8 share one of the first n - 0.8 n + 1
+of each; entries meet at those shingles unless the first stage has joined them, and lengths and places drop pairs that cannot reach 0.8.
+Every link of both stages is confirmed on whole sets. The common order puts frequent shingles last, judged by a sample: it decides how
+many pairs meet, not which are found.
+
+Defined cases: words as in `simhash`; a text of fewer words is one shingle, texts without words (or null) are one entry.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from twinseek.llm import components, simhash
+from twinseek.llm.common import mixed, stored, whole_text
+
+SHINGLE = 5
+# Least similarity, as a fraction, so that no rounding decides.
+PARTS, WHOLE = 4, 5
+# Keys of two minima each that bring entries together in the first stage.
+KEYS = 4
+# Entries in the sample of frequent shingles, the least count there, and the most shingles sent to tasks.
+SAMPLE, FREQUENT, MOST = 50_000, 8, 1 << 17
+# Pairs tried at once in one task.
+TRIED = 1 << 20
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct shingles of a text as sorted 64-bit hashes."""
+    words = (text or "").encode().lower().split()
+    line = b" ".join(words)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)] or [0]
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    width = min(SHINGLE, len(ends))
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(line[a:b]) for a, b in zip(starts, ends[width - 1 :], strict=False)]
+    return np.unique(np.array(hashes, np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a similarity of at least PARTS / WHOLE."""
+    if WHOLE * min(len(a), len(b)) < PARTS * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return WHOLE * common >= PARTS * (len(a) + len(b) - common)
+
+
+def _named(texts: pa.Array) -> pa.Array:
+    """Name of a shingle set, and a second name that tells sets of equal first name apart."""
+    sets = [shingles(t).tobytes() for t in texts.to_pylist()]
+    names = [np.array([xxhash.xxh3_64_intdigest(s, seed) for s in sets], np.uint64).view(np.int64) for seed in (0, 1)]
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()) for n in names], ["id", "other"])
+
+
+def _described(texts: pa.Array) -> pa.Array:
+    """Keys of the first stage: the fingerprint and pairs of minima."""
+    salts = mixed(np.arange(1, 2 * KEYS + 1, dtype=np.uint64))
+    out = []
+    for text in texts.to_pylist():
+        own = shingles(text)
+        least = np.array([mixed(own ^ s).min() for s in salts])
+        pairs = mixed(least[::2]) ^ least[1::2]
+        out.append([np.uint64(simhash.fingerprint_of(text)), *pairs])
+    return pa.array(np.array(out, np.uint64).reshape(-1, 1 + KEYS).view(np.int64).tolist(), pa.list_(pa.int64()))
+
+
+def _all_shingles(texts: pa.Array) -> pa.Array:
+    return pa.array([shingles(t).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+
+def first_of(coded: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row for each key of `keys`; rows that agree in the key are alike."""
+    order = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    return coded.join(keys, "__key").withColumn("__place", order).filter(F.col("__place") == 1).drop("__place")
+
+
+def near_by_key(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the first stage: each entry with the least that shares a key, and neighbours by fingerprint."""
+    keyed = sets.select("id", F.posexplode("keys").alias("kind", "key"))
+    least = keyed.groupBy("kind", "key").agg(F.min("id").alias("u"), F.count("*").alias("n"))
+    stars = keyed.join(least.filter(F.col("n") > 1), ["kind", "key"]).select("u", F.col("id").alias("v"))
+    coded = stored(sets.groupBy(F.get("keys", F.lit(0)).alias("code")).agg(F.min("id").alias("id")), "codes")
+    ends = [coded.select(F.col("code").alias(x), F.col("id").alias(f"id_{x}")) for x in "uv"]
+    neighbours = simhash.links(coded.select("code")).join(ends[0], "u").join(ends[1], "v").select("id_u", "id_v")
+    return stars.unionAll(neighbours).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are alike."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[int, np.ndarray] = {}
+            keep = []
+            for row in batch.to_pylist():
+                for end in "uv":
+                    if row[end] not in known:
+                        known[row[end]] = shingles(row[f"text_{end}"])
+                keep.append(alike(known[row["u"]], known[row["v"]]))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    for end in "uv":
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
+
+
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """Frequent shingles of a sample, most frequent last."""
+    every = max(1, sets.count() // SAMPLE)
+    sample = sets.filter(F.pmod("id", F.lit(every)) == 0)
+    found = sample.select(F.explode(F.arrow_udf(_all_shingles, "array<long>")("text")).alias("shingle")).groupBy("shingle").count()
+    top = found.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(MOST).toArrow()
+    return top.column("shingle").to_numpy().astype(np.int64).view(np.uint64)[::-1]
+
+
+def _heads(frequent: np.ndarray):
+    by_value = np.argsort(frequent)
+    values = frequent[by_value]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, sizes = [], []
+            for text in batch.column("text").to_pylist():
+                own = shingles(text)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                    late = values[at] == own
+                    own = np.r_[own[~late], frequent[np.sort(by_value[at[late]])]]
+                sizes.append(len(own))
+                lists.append(own[: len(own) - -(-PARTS * len(own) // WHOLE) + 1])
+            counts = np.array([len(x) for x in lists], np.int64)
+            if not len(counts):
+                continue
+            of = np.repeat(np.arange(len(lists)), counts)
+            places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False)[of] for c in ("id", "root")]
+            columns = [np.concatenate(lists).view(np.int64), *columns, np.array(sizes, np.int32)[of], places.astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], ["shingle", "id", "root", "n", "place"])
+
+    return heads
+
+
+def meeting(id_: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the entries at one shingle that may be alike and are not joined yet."""
+    order = np.argsort(n, kind="stable")
+    id_, root, n, place = id_[order], root[order], n[order].astype(np.int64), place[order].astype(np.int64)
+    last = np.searchsorted(n, WHOLE * n // PARTS, side="right")
+    counts = last - np.arange(len(n)) - 1
+    total = np.cumsum(counts)
+    begin = 0
+    while begin < len(n):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + TRIED, side="right")))
+        i = np.repeat(np.arange(begin, end), counts[begin:end])
+        first = np.cumsum(counts[begin:end]) - counts[begin:end]
+        j = i + 1 + np.arange(len(i)) - np.repeat(first, counts[begin:end])
+        common = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        keep = (root[i] != root[j]) & ((PARTS + WHOLE) * common >= PARTS * (n[i] + n[j]))
+        i, j = i[keep], j[keep]
+        yield np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])
+        begin = end
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shingle, *rest = columns
+        edges = np.r_[0, np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, len(shingle)]
+        edges = edges[:-1][np.diff(edges) > 1], edges[1:][np.diff(edges) > 1]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(*edges, strict=True):
+            if (rest[1][a:b] != rest[1][a]).any():
+                for found in meeting(*[c[a:b] for c in rest]):
+                    out.append(found)
+                    if sum(len(x) for x, _ in out[-64:]) > TRIED:
+                        yield as_batch(out)
+                        out = []
+        if out:
+            yield as_batch(out)
+
+    def as_batch(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
+        return pa.record_batch([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["u", "v"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "id", "root", "n", "place")]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        # the last shingle of a batch may go on in the next
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut:
+            yield from pairs([c[:cut] for c in columns])
+        held = [c[cut:] for c in columns]
+    if held is not None:
+        yield from pairs(held)
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies with all its columns: that of the smallest id (null last), then of the smallest digest."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(whole_text()).alias("digest"))
+    coded = docs.select(key.alias("__key"), F.struct("*").alias("__row"))
+    named = docs.select(key.alias("__key"), F.arrow_udf(_named, "id long, other long")("text").alias("of"))
+    named = stored(named.select("__key", "of.*"), "named")
+    least = named.groupBy("id").agg(F.min("__key").alias("__key"), F.min("other").alias("a"), F.max("other").alias("b"))
+    clash = F.when(F.col("a") != F.col("b"), F.raise_error(F.lit("two shingle sets have one name")).cast("long"))
+    least = stored(least.select("__key", F.coalesce(clash, "id").alias("id")), "entries")
+
+    texts = first_of(docs.select(key.alias("__key"), "text"), least).select("id", "text")
+    keys = F.arrow_udf(_described, "array<long>")("text")
+    sets = stored(texts.withColumn("keys", keys), "sets")
+    early = stored(confirmed(near_by_key(sets), sets), "early")
+    roots = components.roots(early).withColumnRenamed("u", "id")
+    rooted = sets.select("id", "text").join(roots, "id", "left").select("id", "text", F.coalesce("root", "id").alias("root"))
+    heads = rooted.mapInArrow(_heads(frequent_shingles(sets)), "shingle long, id long, root long, n int, place int")
+    met = heads.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meet, "u long, v long").distinct()
+    late = confirmed(stored(met, "met"), sets)
+
+    roots = components.roots(early.unionByName(late)).withColumnRenamed("u", "id")
+    grouped = least.join(roots, "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min("__key").alias("__key"))
+    return first_of(coded, stored(grouped.select("__key"), "best")).select("__row.*")
