@@ -299,6 +299,10 @@ SELECT doc_id, length(text)::DOUBLE AS x0, len(regexp_extract_all(text, 'e'))::D
         "SELECT user_document_id, paragraph_id, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(*) > 1"
     )
     sql["orphan_rows"] = base(USERS) + "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT id FROM users)"
+    sql["vectors_without_text"] = """
+SELECT m.vec_id, m.label, len(m.embedding) AS dimensions,
+       CASE WHEN EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = m.vec_id) THEN 'no text' ELSE 'no document' END AS reason
+FROM embeddings m WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = m.vec_id AND d.text IS NOT NULL)"""
     sql["cascade_delete"] = base(CHUNKS) + r""",
 english AS (SELECT 1 + doc_id % 20 AS user_id, count(*) FILTER (WHERE lang = 'en') AS n FROM documents GROUP BY 1),
 gone AS (SELECT user_id FROM english WHERE n < (SELECT avg(n) FROM english))

@@ -167,6 +167,12 @@ def orphan_rows(spark: SparkSession, folder: str) -> DataFrame:
     return quality.orphans(cp.table(spark, folder, "events"), cp.users(spark, folder), "user_id").select("event_id", "user_id")
 
 
+@register
+def vectors_without_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The embeddings that searches over embedded chunks leave out, each with its reason."""
+    return cp.vectors_without_text(spark, folder).select("vec_id", "label", F.size("embedding").alias("dimensions"), "reason")
+
+
 @register
 def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     """Users with fewer English documents than the average go, with everything they own."""

@@ -112,6 +112,20 @@ def chunks(spark: SparkSession, folder: str, embedded_only: bool = False) -> Dat
     return featured.withColumn("meta", chunk_meta(["language_detected", "complexity_score"]))
 
 
+def vectors_without_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings that `chunks(embedded_only=True)` has no line for, and whether the document or only its text is missing."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").isNotNull().alias("has_text"))
+    known = documents.groupBy("vec_id").agg(F.max("has_text").alias("has_text"))
+    reason = F.when(F.col("has_text").isNull(), "no document").otherwise("no text")
+    return (
+        table(spark, folder, "embeddings")
+        .join(known, "vec_id", "left")
+        .filter(~F.coalesce("has_text", F.lit(False)))
+        .withColumn("reason", reason)
+        .drop("has_text")
+    )
+
+
 def corpus(spark: SparkSession, folder: str, dictionary: str = "simple") -> Corpus:
     rows = chunks(spark, folder)
     keep = ["user_document_id", "meta", "created_at", "position", "has_code", "language_detected", "complexity_score"]
