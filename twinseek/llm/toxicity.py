@@ -6,7 +6,7 @@ Features of training rows use the lexicon of the other fold, so that the trees d
 fitted on most of the sample and calibrated on the rest. A score is the calibrated probability with a small share of the raw one, which
 keeps the order inside a step of the calibration.
 
-Training reads a bounded sample, SAMPLE labelled rows per class, drawn by hash of the id and weighted back to the labels'
+The lexicon counts terms over all labelled rows that may be learned; the trees read a bounded sample, SAMPLE labelled rows per class, drawn by hash of the id and weighted back to the labels'
 shares; scoring reads every document whole. Only the text enters a score.
 
 Defined cases: a null or empty text has all features 0 and gets the score that goes with them; null labels are ignored, of
@@ -179,6 +179,13 @@ def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     )
 
 
+def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of all labelled rows that may be learned: toxic, fold, text."""
+    known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id")
+    known = known.agg(F.max("toxic").cast("double").alias("toxic")).filter(F.col("toxic").isin(0.0, 1.0))
+    return docs.select("doc_id", "text").join(known, "doc_id").select("toxic", _part(2, 11).alias("fold"), "text")
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: list[Counter[str]] = [Counter() for _ in range(4)]
     for batch in batches:
@@ -239,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = rows.sparkSession
     if len(classes) < 2:
         return Model(spark.sparkContext.broadcast([{}, {}, {}]), None, None, max(classes, default=0.0))
-    lexica = spark.sparkContext.broadcast(lexicons(rows))
+    lexica = spark.sparkContext.broadcast(lexicons(learnable(docs, labels)))
     other = (F.lit(1) - F.col("fold")).cast("int")
     table = stored(rows.select("toxic", "weight", "part", vectors(F.col("text"), lexica, other).alias("x")), "features")
     table = table.withColumn("features", array_to_vector("x"))
