@@ -70,4 +70,19 @@ STATEMENTS = {
       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
     FROM documents LEFT JOIN listed USING (doc_id)
     """,
+    "op11_hard_negatives": """
+    WITH part AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, unnest(embedding) AS x,
+      generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    whole AS (SELECT vec_id, label, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM part),
+    scored AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS alike, CAST(sum(q.x * c.x) AS BIGINT) AS score
+      FROM whole q JOIN whole c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id AS negative_id, positive_score,
+      score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 10
+    """,
 }

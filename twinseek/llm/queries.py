@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, mixing, secrets, sharding, simhash, spotsigs, substring_dedup, suffix_dedup, topk, toxicity
+from twinseek.llm import bpe, hard_negatives, mixing, secrets, sharding, simhash, spotsigs, substring_dedup, suffix_dedup, topk, toxicity
 from twinseek.llm.common import bound_batches, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,11 @@ def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(documents(spark, folder, "doc_id", "text"), SHARDS)
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % QUERY_EVERY == 0)
