@@ -12,6 +12,55 @@ def _matches(kind: str, number: int, pattern: str, group: int, least: int) -> st
     ) WHERE length(part) >= {least}"""
 
 
+
+def _cheaper(*options: str) -> str:
+    """The least (cost, audit) of some states of the walk over a conversation's turns; each with its text so far."""
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _step(state: str, cost: str, edit: str, said: str | None = None) -> str:
+    text = f"{state}.o" if said is None else f"{state}.o || chr(10) || {said}"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {edit}, 'o': {text}}}"
+
+
+def _role(initial: str, role: str) -> tuple[str, str, str]:
+    return f"CASE WHEN x = '{initial}' THEN 0 ELSE 2 END + cut", f"CASE WHEN x = '{initial}' THEN 'K' ELSE 'R' END", (
+        f"CASE WHEN x = '{initial}' THEN role ELSE '{role}' END || ':' || text"
+    )
+
+
+_FAR = "{'c': 1000000000, 'a': '', 'o': ''}"
+
+
+def _deleted(state: str) -> str:
+    return _step(state, "3", "'D'")
+
+
+def _either(kept: str, state: str) -> str:
+    return f"CASE WHEN gone THEN {_deleted(state)} ELSE {kept} END"
+
+
+def _walk() -> str:
+    """One turn further: s at the start, u and a where these come next, f behind the s."""
+    to_a = [_step(k, *_role("u", "user")) for k in ("s", "u", "f")]
+    to_u = _step("a", *_role("a", "assistant"))
+    kept_s = _step("s", "cut", "'K'", "role || ':' || text")
+    to_f = f"CASE WHEN x = 's' THEN {kept_s} ELSE {_FAR} END"
+    return f"""
+      SELECT conv_id, i, {_deleted('s')} AS s,
+        {_either(_cheaper(_deleted('u'), to_u), 'u')} AS u,
+        {_either(_cheaper(_deleted('a'), *to_a), 'a')} AS a,
+        {_either(_cheaper(_deleted('f'), to_f), 'f')} AS f"""
+
+
+def _inserted(state: str, role: str) -> str:
+    return _step(state, "2", "'I'", f"'{role}:'")
+
+
+_TO_A = _cheaper("a", *[_inserted(k, "user") for k in ("s", "u", "f")])
+_TO_U = _cheaper("u", _inserted("n", "assistant"))
+_CRC_TABLE = """[list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR n IN range(0, 256)]"""
 _ASSIGN = (
     r"(?i)(password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 )
@@ -85,4 +134,48 @@ STATEMENTS = {
     WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
     WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 10
     """,
+    "op12_conversation_repair": f"""
+    WITH RECURSIVE steps AS (SELECT {_CRC_TABLE} AS t),
+    named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    numbered AS (SELECT conv_id, turn, role, text,
+      xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST(ord(x) AS BIGINT) FOR x IN string_split(k, '')]),
+        lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS d FROM named, steps),
+    damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+      CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(range(0, CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM numbered),
+    trimmed AS (SELECT *, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS rest,
+      md5(CAST(length(role) AS VARCHAR) || ':' || role || ':' || text) AS name FROM damaged),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name, copy) AS i,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+      substr(role, 1, 1) AS x FROM trimmed),
+    judged AS (SELECT *, rest = '' AS is_blank, rest <> '' AND again AS is_again, rest = '' OR again AS gone,
+      CAST(right(rest, 1) NOT IN ('.', '!', '?') AS INTEGER) AS cut,
+      lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS met FROM placed),
+    walk AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 'o': ''}} AS s, {_FAR} AS u, {_FAR} AS a,
+        {_FAR} AS f FROM judged
+      UNION ALL {_walk()}
+      FROM (SELECT b.conv_id, j.i, s, {_TO_U} AS u, n AS a, f, x, gone, cut, role, text
+        FROM (SELECT *, {_TO_A} AS n FROM walk) b
+        JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i + 1)),
+    counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+      count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_again) AS duplicate,
+      count(*) FILTER (NOT gone AND cut = 1) AS truncated, count(*) FILTER (met NOT IN ('su', 'ua', 'au')) AS illegal,
+      max(i) AS i FROM judged GROUP BY conv_id),
+    ended AS (SELECT c.*, CASE WHEN w.s <= w.e THEN w.s ELSE w.e END AS best FROM counted c
+      JOIN (SELECT *, {_TO_U} AS e FROM (SELECT *, {_TO_A} AS n FROM walk)) w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.i)
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+      coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.o, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN ended e ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
+    "op13_warc": """
+    WITH payloads AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+      sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    placed AS (SELECT *, payload_bytes >= 100 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1
+      AS again, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM payloads)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN again THEN least END AS refers_to
+    FROM placed
+    """,
 }

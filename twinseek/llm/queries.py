@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, hard_negatives, mixing, secrets, sharding, simhash, spotsigs, substring_dedup, suffix_dedup, topk, toxicity
-from twinseek.llm.common import bound_batches, documents
+from twinseek.llm import bpe, conversation_repair, hard_negatives, mixing, secrets, sharding, simhash, spotsigs, substring_dedup, suffix_dedup, topk, toxicity, warc
+from twinseek.llm.common import bound_batches, documents, shared, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -123,3 +124,18 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversation_repair.with_all(conversation_repair.report(conversation_repair.damaged(rows)), rows)
+
+
+@register
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
+    place = f"{shared(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html"), place)
+    return warc.resolved(stored(warc.read(spark, place), "records"))
