@@ -31,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinseek.llm.common import stored
+from twinseek.llm.repeats import bit_table, maybe_in
 
 # Labelled rows per class that training reads at most, and terms of a lexicon.
 SAMPLE, TERMS = 10_000, 600
 # A term must be in so many documents of label 1 and raise the odds by this logarithm.
 LEAST_DOCUMENTS, LEAST_ODDS = 3, 1.5
 BEGINNINGS = (4, 5, 6)
+# Columns of term counts: clean and toxic texts of fold 0 and of fold 1; a task hands on that many terms at a time.
+COUNTED, HELD_TERMS = ["term", "c0", "t0", "c1", "t1"], 1 << 18
 TREES, DEPTH, STEP = 30, 4, 0.2
 # One row in CALIBRATED is kept from the trees for calibration; RAW is the share of the uncalibrated score.
 CALIBRATED, RAW = 4, 0.02
@@ -152,15 +155,15 @@ def _part(n: int, seed: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n)).cast("int")
 
 
-def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def learnable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic (0 or 1), once for each id whose label may be learned."""
+    known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id")
+    return stored(known.agg(F.max("toxic").cast("double").alias("toxic")).filter(F.col("toxic").isin(0.0, 1.0)), "labels")
+
+
+def examples(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Texts of a bounded sample of the labelled rows that may be learned: doc_id, toxic, weight, fold, part, text."""
-    known = (
-        labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").cast("double").alias("toxic"))
-    )
-    known = stored(known, "labels")
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] in (0, 1)}
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = None
     for label, n in sorted(sizes.items()):
         of = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)
@@ -179,31 +182,49 @@ def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     )
 
 
-def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of all labelled rows that may be learned: toxic, fold, text."""
-    known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id")
-    known = known.agg(F.max("toxic").cast("double").alias("toxic")).filter(F.col("toxic").isin(0.0, 1.0))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("toxic", _part(2, 11).alias("fold"), "text")
+def learnable(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Texts of all labelled rows that may be learned: toxic, fold, text.
+
+    Both sides are shuffled at every size; a bit table of the labelled ids keeps most other texts out of the shuffle.
+    """
+    table = bit_table(known, "doc_id")
+
+    def labelled(ids: pa.Array) -> pa.Array:
+        return pa.array(maybe_in(table.value, ids.to_numpy(zero_copy_only=False)))
+
+    own = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    own = own.filter(F.arrow_udf(labelled, "boolean")(F.col("doc_id").cast("long")))
+    return own.join(known.hint("merge"), "doc_id").select("toxic", _part(2, 11).alias("fold"), "text")
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: list[Counter[str]] = [Counter() for _ in range(4)]
+    """Terms and in how many texts of each fold and label they are; handed on in parts, which Spark adds up."""
+    counts: dict[str, list[int]] = {}
+
+    def handed() -> pa.RecordBatch:
+        columns = list(zip(*counts.values(), strict=True))
+        return pa.record_batch([pa.array(list(counts), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], COUNTED)
+
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("text", "fold", "toxic"))
         for text, fold, toxic in zip(*columns, strict=True):
-            counts[2 * fold + int(toxic)].update(terms_of(set(plain_words(text or ""))))
-    # terms that no document of label 1 has cannot enter a lexicon
-    terms = sorted(counts[1].keys() | counts[3].keys())
-    columns = [pa.array(terms, pa.string())]
-    columns += [pa.array([c[t] for t in terms], pa.int64()) for c in counts]
-    yield pa.record_batch(columns, ["term", "c0", "t0", "c1", "t1"])
+            place = 2 * fold + int(toxic)
+            for term in terms_of(set(plain_words(text or ""))):
+                counts.setdefault(term, [0, 0, 0, 0])[place] += 1
+            if len(counts) >= HELD_TERMS:
+                yield handed()
+                counts = {}
+    if counts:
+        yield handed()
 
 
 def lexicons(rows: DataFrame) -> list[dict[str, float]]:
     """Lexicon of fold 0, of fold 1 and of both: term to log odds. TERMS entries at most reach the driver for each."""
-    schema = "term string, c0 long, t0 long, c1 long, t1 long"
+    schema = f"{COUNTED[0]} string, " + ", ".join(f"{c} long" for c in COUNTED[1:])
     own = rows.select("text", "fold", "toxic").mapInArrow(_count_terms, schema)
-    counted = stored(own.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")]), "terms")
+    summed = own.groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTED[1:]])
+    # only sums over all tasks tell which terms are too rare
+    counted = stored(summed.filter(F.col("t0") + F.col("t1") >= LEAST_DOCUMENTS), "terms")
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     found = []
     for folds in ((0,), (1,), (0, 1)):
@@ -241,12 +262,13 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = examples(docs, labels, sample)
+    known = learnable_labels(labels)
+    rows = examples(docs, known, sample)
     classes = {r[0] for r in rows.select("toxic").distinct().collect()}
     spark = rows.sparkSession
     if len(classes) < 2:
         return Model(spark.sparkContext.broadcast([{}, {}, {}]), None, None, max(classes, default=0.0))
-    lexica = spark.sparkContext.broadcast(lexicons(learnable(docs, labels)))
+    lexica = spark.sparkContext.broadcast(lexicons(learnable(docs, known)))
     other = (F.lit(1) - F.col("fold")).cast("int")
     table = stored(rows.select("toxic", "weight", "part", vectors(F.col("text"), lexica, other).alias("x")), "features")
     table = table.withColumn("features", array_to_vector("x"))
