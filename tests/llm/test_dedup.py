@@ -4,9 +4,12 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from xxhash import xxh3_128_digest
 
 from twinseek.llm import substring_dedup, suffix_dedup
+from twinseek.llm.common import joined_bytes, word_bounds
 
 BIG = float("inf")
 
@@ -90,3 +93,24 @@ def test_window_keys_depend_on_the_window_alone():
     first = {s - 60: k for o, s, k in zip(of, starts, key, strict=True) if o == 0}
     second = {s - len(one): k for o, s, k in zip(of, starts, key, strict=True) if o == 1}
     assert all(first[i] == second[i] for i in range(len(inner) - 19))
+
+
+def test_words_that_rolling_hashes_confuse(spark):
+    """Polynomials modulo 2^64 give this word and its complement one name, whatever the base."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}")], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(docs).collect()}
+    assert found == {1: 0, 2: 0, 3: 50}
+
+
+def test_word_names_are_digests_of_the_words():
+    texts = pa.array(["one  two", "", "two", "x" * 5000 + "\ttwo", "é"])
+    buffer, offsets = joined_bytes(texts)
+    starts, ends, _ = word_bounds(buffer, offsets)
+    one, two = substring_dedup.word_names(buffer, starts, ends)
+    words = [w for t in texts.to_pylist() for w in t.encode().split()]
+    assert [a.tobytes() + b.tobytes() for a, b in zip(one, two, strict=True)] == [xxh3_128_digest(w) for w in words]

@@ -6,8 +6,8 @@ what they stand for, so all tasks give equal runs and pairs the same name in eve
 symbol's surroundings decide only where it begins and ends; each symbol carries the range of words that decided it. If
 this range lies inside a window of words, every equal window in the corpus holds the same symbol at the same place.
 
-Each window takes, of the symbols of the highest round it holds with their ranges, the one with the least key, where the key names
-all words of the range; a window without any is its own key. Keys that two texts share reveal the windows that may
+Words are named by 128 bits of their bytes. Each window takes, of the symbols of the highest round it holds with their ranges, the one
+of the least name, and the symbol's name is its key; a window without any is its own key. Keys that two texts share reveal the windows that may
 repeat (`repeats`); these are verified by a 128-bit name of all their words, grouped for the smallest id.
 
 Copies of a whole text are one text: what is not the smallest id of its text loses every word if it has a whole window.
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from twinseek.llm import repeats
 from twinseek.llm.common import joined_bytes, mixed, pieces, stored, word_bounds
@@ -62,9 +63,19 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
 
-def word_names(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    letters = mixed(np.arange(1, 257, dtype=np.uint64) * base)[buffer]
-    return Rolling(letters, base).of(starts, ends)
+def word_names(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each word by its bytes, as two numbers; a word is hashed once for all its places."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    inside = np.zeros(len(buffer) + 1, np.int8)
+    inside[starts] = 1
+    inside[ends] -= 1
+    letters = buffer[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    kept = [pa.py_buffer(x) for x in (offsets, letters)]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, *kept]).dictionary_encode()
+    digests = b"".join([xxh3_128_digest(w) for w in words.dictionary.to_pylist()])
+    names = np.frombuffer(digests, np.uint64).reshape(-1, 2)[words.indices.to_numpy()]
+    return np.ascontiguousarray(names[:, 0]), np.ascontiguousarray(names[:, 1])
 
 
 class Symbols:
@@ -141,16 +152,14 @@ def window_keys(
     for round_ in range(rounds):
         symbols.join_runs()
         symbols.join_pairs(round_)
-        levels.append((symbols.low, symbols.high))
+        levels.append((symbols.low, symbols.high, symbols.name))
     keys = np.zeros(len(starts), np.uint64)
     open_ = np.arange(len(starts))
     for level in range(rounds - 1, -1, -1):
-        low, high = levels[level]
+        low, high, name = levels[level]
         inside = high - low <= window
         low, high = low[inside], high[inside]
-        known = (low >= 0) & (high <= len(names))
-        value = np.full(len(low), ~np.uint64(0))
-        value[known] = mixed(rolling.of(low[known], high[known]) + np.uint64(level))
+        value = mixed(name[inside] + np.uint64(level))
         begin = np.searchsorted(low, starts[open_], "left")
         stop = np.searchsorted(high, starts[open_] + window, "right")
         some = stop > begin
@@ -162,15 +171,16 @@ def window_keys(
     return of, starts, keys
 
 
-def _named(texts: pa.Array, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def _named(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buffer, offsets = joined_bytes(texts)
     starts, ends, counts = word_bounds(buffer, offsets)
-    return word_names(buffer, starts, ends, base), counts
+    return *word_names(buffer, starts, ends), counts
 
 
 def _keys_of(window: int):
     def keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        of, _, key = window_keys(*_named(texts, BASE[0]), window)
+        names, _, counts = _named(texts)
+        of, _, key = window_keys(names, counts, window)
         change = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])] if len(key) else np.zeros(0, bool)
         return of[change], key[change]
 
@@ -183,11 +193,10 @@ def _windows(window: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", repeats.PIECE):
-                names, counts = _named(part.column("text"), BASE[0])
+                names, other, counts = _named(part.column("text"))
                 of, starts, key = window_keys(names, counts, window)
                 keep = repeats.shared_keys(part.column("keys"), of, key)
                 of, starts = of[keep], starts[keep]
-                other, _ = _named(part.column("text"), BASE[1])
                 ends = starts + window
                 one, two = (Rolling(n, b).of(starts, ends) for n, b in zip((names, other), BASE, strict=True))
                 place = starts - (np.cumsum(counts) - counts)[of]
