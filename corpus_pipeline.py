@@ -2,7 +2,11 @@
 
 Every stage takes all rows its predecessor kept and returns the columns of documents; the last one returns ids. Documents scored toxic
 go, one document of each near-duplicate group stays, secrets are masked in the text, and the mix repeats or leaves out documents
-so that sources come near their target shares. Null texts are empty texts; empty tables pass through every stage.
+so that sources come near their target shares.
+
+Defined cases: null texts are empty texts; of rows that tie as the one to keep, that of the smallest id, then of the smallest digest
+stays, and of rows alike in both the first; repeated rows are one group; texts of any length are read whole; empty tables pass through
+every stage, and extra columns are carried along to the last one.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinseek.llm import bpe, mixing, near_copies, secrets, toxicity
+from twinseek.llm import bpe, mixing, secrets, simhash, toxicity
 from twinseek.llm.common import bound_batches, stored
 from twinseek.llm.queries import vocabulary_file
 
@@ -27,9 +31,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: texts that share 0.8 or more of their five-word shingles."""
+    """Keep one document of each group of near-duplicates: texts whose fingerprints link at two or fewer differing bits."""
     bound_batches(spark)
-    return near_copies.kept_rows(docs)
+    return simhash.kept_rows(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
