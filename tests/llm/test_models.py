@@ -219,4 +219,4 @@ def test_pipeline_on_an_empty_table(spark, table_folder, empty):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in REGISTRY)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
