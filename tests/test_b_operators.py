@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,41 @@ def test_nearest_batch_with_ranges_and_nulls(spark):
     assert empty.columns == ["query_id", "id", "distance", "rank"] and empty.count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(5, 400), (3, 1 << 20), (1000, 600)])
+def test_blocks_and_shards_lose_nothing(spark, sizes):
+    """Equal distances, a tenant with a third of the rows, ranges, and queries that come twice, over many shards."""
+    table, x, owner = vectors_table(spark)
+    queries = table.filter("id % 7 = 0").select(
+        F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("query_embedding"),
+        (F.col("score") - 2).alias("low"), (F.col("score") + 2).alias("high"),
+    )
+    queries = queries.unionByName(queries.filter("query_id = 7").withColumn("query_embedding", F.lit(None).cast("array<float>")))
+    scope, near = [vector.Scope("user_id", "user_id")], [vector.Range("score", "low", "high")]
+    how = {"block_rows": sizes[0], "shard_bytes": sizes[1]}
+    for scopes, ranges in (([], []), (scope, []), (scope, near), ([], near)):
+        found = vector.nearest_shuffled(queries, table, 6, scopes, ranges, ["user_document_id"], **how)
+        expected = vector.nearest_batch(queries, table, 6, scopes, ranges, ["user_document_id"])
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert vector.nearest_shuffled(queries.limit(0), table, 6, **how).columns == ["query_id", "id", "distance", "rank"]
+    assert vector.nearest_shuffled(queries, table.limit(0), 6, **how).count() == 0
+
+
+def test_a_bound_spares_rows():
+    """With the k-th distance of another shard known, a shard hands on only what can still be among the k nearest."""
+    asked = {"query_id": [1], "query_embedding": [[1.0, 0.0]], "scope": [""], "low": [[]], "high": [[]], "bound": [-5.0]}
+    kinds = pa.schema(
+        [("query_id", pa.int64()), ("query_embedding", pa.list_(pa.float32())), ("scope", pa.string()),
+         ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("bound", pa.float64())]
+    )
+    shard = pa.table(
+        {"id": pa.array(range(10), pa.int64()), "scope": [""] * 10, "ranges": pa.array([[]] * 10, pa.list_(pa.float64())),
+         "embedding": pa.array([[float(i), 1.0] for i in range(10)], pa.list_(pa.float32()))}
+    )
+    search = vector._block_search(8, ["id"], 0)
+    assert sorted(search((), pa.table(asked, kinds), shard)["id"].to_pylist()) == [5, 6, 7, 8, 9]
+    assert search((), pa.table({**asked, "bound": [float("inf")]}, kinds), shard).num_rows == 8
+
+
 def test_single_query_agrees_with_batch(spark):
     table, x, _ = vectors_table(spark)
     single = [r["id"] for r in vector.nearest(table, [float(v) for v in x[7]], 8).collect()]

@@ -14,9 +14,14 @@ from twinseek.functions import vectors
 from twinseek.operators.ranking import top_k, top_k_per_query
 from twinseek.session import cut_lineage
 
-# Bound on what one pass sends to every executor: query rows, and bytes of query vectors.
+# Bound on a batch that is sent to every executor, and on a block of a larger one: query rows, and bytes of query vectors.
 PASS_ROWS = 20_000
 PASS_BYTES = 64 << 20
+# Bytes of chunk vectors that meet a block of queries at once, and classes that scopes are dealt by.
+SHARD_BYTES = 64 << 20
+SCOPE_BUCKETS = 64
+# Chunks of a shard that are scored at once.
+SHARD_BATCH = 8192
 # Query columns scored at once against one Arrow batch.
 SCORE_BLOCK = 256
 # Scopes up to this many distinct values are also pushed into the chunk scan.
@@ -65,39 +70,94 @@ def nearest_batch(
 ) -> DataFrame:
     """For every query its k nearest chunks: `query_id, id, *keep, distance, rank` (`keep`: non-null integer columns).
 
-    Chunks are read where they lie and never shuffled: each task scores its Arrow batches against the query vectors with a
-    block product and keeps k rows per query, so pairs are never written out and a tenant of any size spreads over all its
-    splits. Query vectors travel to the executors in passes of bounded, measured size, one after another; a query table beyond
-    one pass is cut by hash into more passes over the chunks, with the same result. `n_queries` is the number of queries when it is known.
+    Up to a measured size the query vectors travel to the executors. Chunks are then read where they lie and never shuffled: each task
+    scores its Arrow batches against the query vectors with a block product and keeps k rows per query, so pairs are never written
+    out and a tenant of any size spreads over all its splits. A larger batch meets the chunks by shuffle (`nearest_shuffled`), with
+    the same result. `n_queries` is the number of queries when it is known.
     """
+    wanted = _wanted(queries, scopes, ranges)
+    n = wanted.count() if n_queries is None else n_queries
+    batch = wanted.toArrow() if n <= pass_rows else None
+    if batch is not None and batch.nbytes <= pass_bytes:
+        return top_k_per_query(_one_pass(batch, chunks, k, scopes, ranges, keep), "distance", k)
+    del batch
+    return nearest_shuffled(queries, chunks, k, scopes, ranges, keep, pass_rows, pass_bytes)
+
+
+def nearest_shuffled(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    scopes: Sequence[Scope] = (),
+    ranges: Sequence[Range] = (),
+    keep: Sequence[str] = (),
+    block_rows: int = PASS_ROWS,
+    block_bytes: int = PASS_BYTES,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
+    """The same for any number of queries; no query vector passes the driver.
+
+    Queries are dealt into blocks, chunks into shards, both by hash and both by class of their scope, and every block meets every shard of
+    its class in one group. Shard 0 of each class goes first: the distance of a query's k-th row there bounds what the other
+    shards need to hand on, so they add few rows to it. A chunk is shuffled once for every block of its class.
+    """
+    spark = chunks.sparkSession
+    bucket = F.pmod(F.xxhash64("scope"), F.lit(SCOPE_BUCKETS)).cast("int").alias("bucket")
+    asked = cut_lineage(_wanted(queries, scopes, ranges).select("*", bucket))
+    # at most SCOPE_BUCKETS rows
+    counted = asked.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.size("query_embedding")).alias("d")).collect()
+    schema = ", ".join(["query_id long", *[f"{c} long" for c in ["id", *keep]], "distance double"])
+    if not counted:
+        return top_k_per_query(spark.createDataFrame([], schema), "distance", k)
+    dimension = max(r["d"] for r in counted)
+    per_block = max(1, min(block_rows, block_bytes // (4 * dimension)))
+    blocks = max(-(-r["n"] // per_block) for r in counted)
+    rows = _scored_columns(chunks, scopes, ranges, keep).select("*", bucket)
+    rows = rows.filter(F.col("bucket").isin([r["bucket"] for r in counted]))
+    shards = max(1, -(-rows.count() * 4 * dimension // shard_bytes))
+    shard = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int")
+    block = F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int")
+    keys = ["bucket", "block", "shard"]
+
+    def met(asking: DataFrame, first: int, last: int) -> DataFrame:
+        """Blocks against the shards from `first` to `last`."""
+        left = asking.select("*", block.alias("block"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"))
+        right = rows.select("*", shard.alias("shard")).filter(F.col("shard").between(first, last))
+        right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_search(k, ["id", *keep], len(ranges)), schema)
+
+    found = top_k_per_query(met(asked.withColumn("bound", F.lit(float("inf"))), 0, 0), "distance", k)
+    if shards == 1:
+        return found
+    found = cut_lineage(found)
+    kth = found.filter(F.col("rank") == k).select("query_id", F.col("distance").alias("kth"))
+    bounded = asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce("kth", F.lit(float("inf")))).drop("kth")
+    return top_k_per_query(found.drop("rank").unionByName(met(bounded, 1, shards - 1)), "distance", k)
+
+
+def _wanted(queries: DataFrame, scopes: Sequence[Scope], ranges: Sequence[Range]) -> DataFrame:
+    """Queries that can find anything, in the columns that scoring needs."""
     wanted = queries.filter(F.col("query_embedding").isNotNull())
     for s in scopes:
         wanted = wanted.filter(F.col(s.query_column).isNotNull())
-    columns = [
+    return wanted.select(
         F.col("query_id").cast("long").alias("query_id"),
         F.col("query_embedding").cast("array<float>").alias("query_embedding"),
         _scope_key([F.col(s.query_column) for s in scopes]).alias("scope"),
         F.array(*[F.col(r.low).cast("double") for r in ranges]).cast("array<double>").alias("low"),
         F.array(*[F.col(r.high).cast("double") for r in ranges]).cast("array<double>").alias("high"),
         *[F.col(s.query_column).alias(f"scope_{i}") for i, s in enumerate(scopes)],
-    ]
-    wanted = wanted.select(*columns)
-    n = wanted.count() if n_queries is None else n_queries
-    batch = wanted.toArrow() if n <= pass_rows else None
-    if batch is not None and batch.nbytes <= pass_bytes:
-        return top_k_per_query(_one_pass(batch, chunks, k, scopes, ranges, keep), "distance", k)
-    del batch
-    cells = wanted.agg(F.sum(F.size("query_embedding").cast("long"))).first()[0]
-    # hash classes are uneven: aim at half a pass
-    passes = 2 * max(-(-n // pass_rows), -(-cells * 8 // pass_bytes))
-    number = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    best = None
-    for i in range(passes):
-        # a pass is finished and stored before the next one's vectors reach the driver; a query is in one pass only
-        held = _one_pass(wanted.filter(number == i).toArrow(), chunks, k, scopes, ranges, keep)
-        part = cut_lineage(top_k_per_query(held, "distance", k))
-        best = part if best is None else best.unionByName(part)
-    return best
+    )
+
+
+def _scored_columns(chunks: DataFrame, scopes: Sequence[Scope], ranges: Sequence[Range], keep: Sequence[str]) -> DataFrame:
+    """Chunks with an embedding, in the columns that scoring needs."""
+    return chunks.filter(F.col("embedding").isNotNull()).select(
+        *[F.col(c).cast("long").alias(c) for c in ["id", *keep]],
+        _scope_key([F.col(s.column) for s in scopes]).alias("scope"),
+        F.array(*[F.col(r.column).cast("double") for r in ranges]).cast("array<double>").alias("ranges"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
+    )
 
 
 def _scope_key(columns: list[Column]) -> Column:
@@ -108,6 +168,37 @@ def _scope_key(columns: list[Column]) -> Column:
     return F.concat(*parts)
 
 
+class _Asked:
+    """Query vectors of a pass or block, ready to score Arrow columns of chunks."""
+
+    def __init__(self, batch: pa.Table, carried: Sequence[str], n_ranges: int):
+        self.carried, self.n_ranges = carried, n_ranges
+        self.ids = np.asarray(batch["query_id"].combine_chunks())
+        self.dimension, self.matrix = _matrix(batch["query_embedding"].combine_chunks(), None)
+        self.low = _bounds(batch["low"], n_ranges)
+        self.high = _bounds(batch["high"], n_ranges)
+        self.members = _members(np.array(batch["scope"].to_pylist(), dtype=object))
+
+    def score(self, chunks: pa.RecordBatch, best: _Best) -> None:
+        """Add the chunks of one Arrow batch to what is best so far."""
+        chunk = np.stack([np.asarray(chunks[c]) for c in self.carried])
+        _, vectors_ = _matrix(chunks["embedding"], self.dimension)
+        values = _bounds(chunks["ranges"], self.n_ranges)
+        for key, rows_ in _members(np.array(chunks["scope"].to_pylist(), dtype=object)).items():
+            who = self.members.get(key)
+            if who is None:
+                continue
+            x = vectors_[rows_]
+            for start in range(0, len(who), SCORE_BLOCK):
+                block = who[start : start + SCORE_BLOCK]
+                distance = -(x @ self.matrix[block].T)
+                for r in range(self.n_ranges):
+                    v = values[rows_, r][:, None]
+                    distance[~((v >= self.low[block, r]) & (v <= self.high[block, r]))] = np.inf
+                best.add(distance, chunk[:, rows_], block, x, self.matrix)
+        best.shrink()
+
+
 def _one_pass(
     batch: pa.Table,
     chunks: DataFrame,
@@ -121,50 +212,36 @@ def _one_pass(
     schema = ", ".join(["query_id long", *[f"{c} long" for c in carried], "distance double"])
     if batch.num_rows == 0:
         return spark.createDataFrame([], schema)
-
-    ids = np.asarray(batch["query_id"].combine_chunks())
-    dimension, matrix = _matrix(batch["query_embedding"].combine_chunks(), None)
-    low = _bounds(batch["low"], len(ranges))
-    high = _bounds(batch["high"], len(ranges))
-    keys = np.array(batch["scope"].to_pylist(), dtype=object)
-    members = _members(keys)
-
-    rows = chunks.filter(F.col("embedding").isNotNull())
+    asked = _Asked(batch, carried, len(ranges))
+    rows = chunks
     for i, s in enumerate(scopes):
         values = batch[f"scope_{i}"].unique().to_pylist()
         if len(values) <= PUSHED_SCOPES:
             rows = rows.filter(F.col(s.column).isin(values))
-    rows = rows.select(
-        *[F.col(c).cast("long").alias(c) for c in carried],
-        _scope_key([F.col(s.column) for s in scopes]).alias("scope"),
-        F.array(*[F.col(r.column).cast("double") for r in ranges]).cast("array<double>").alias("ranges"),
-        F.col("embedding").cast("array<float>").alias("embedding"),
-    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(ids, k, carried)
+        best = _Best(asked.ids, k, carried)
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            chunk = np.stack([np.asarray(b[c]) for c in carried])
-            _, vectors_ = _matrix(b["embedding"], dimension)
-            values = _bounds(b["ranges"], len(ranges))
-            for key, rows_ in _members(np.array(b["scope"].to_pylist(), dtype=object)).items():
-                who = members.get(key)
-                if who is None:
-                    continue
-                x = vectors_[rows_]
-                for start in range(0, len(who), SCORE_BLOCK):
-                    block = who[start : start + SCORE_BLOCK]
-                    distance = -(x @ matrix[block].T)
-                    for r in range(len(ranges)):
-                        v = values[rows_, r][:, None]
-                        distance[~((v >= low[block, r]) & (v <= high[block, r]))] = np.inf
-                    best.add(distance, chunk[:, rows_], block, x, matrix)
-            best.shrink()
+            if b.num_rows:
+                asked.score(b, best)
         yield best.batch()
 
-    return rows.mapInArrow(score, schema)
+    return _scored_columns(rows, scopes, ranges, keep).mapInArrow(score, schema)
+
+
+def _block_search(k: int, carried: Sequence[str], n_ranges: int):
+    """One block of queries against one shard, from which only rows within a query's bound are handed on."""
+
+    def search(key: tuple, block: pa.Table, shard: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return pa.Table.from_batches([_Best(np.array([], dtype=np.int64), k, carried).batch()])
+        asked = _Asked(block, carried, n_ranges)
+        best = _Best(asked.ids, k, carried, np.asarray(block["bound"].combine_chunks()))
+        for batch in shard.combine_chunks().to_batches(SHARD_BATCH):
+            asked.score(batch, best)
+        return pa.Table.from_batches([best.batch()])
+
+    return search
 
 
 def _members(keys: np.ndarray) -> dict:
@@ -194,9 +271,10 @@ def _bounds(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 class _Best:
     """Running k nearest per query inside one task. `carried` names the chunk columns, the id first."""
 
-    def __init__(self, query_ids: np.ndarray, k: int, carried: Sequence[str]):
+    def __init__(self, query_ids: np.ndarray, k: int, carried: Sequence[str], bound: np.ndarray | None = None):
         self.query_ids, self.k, self.carried = query_ids, k, carried
-        self.kth = np.full(len(query_ids), np.inf)
+        # no distance above it can be among the k nearest
+        self.kth = np.full(len(query_ids), np.inf) if bound is None else bound.copy()
         self.query = [np.array([], dtype=np.int64)]
         self.chunk = [np.empty((len(carried), 0), dtype=np.int64)]
         self.distance = [np.array([])]
@@ -221,7 +299,7 @@ class _Best:
         place = place - np.maximum.accumulate(np.where(first, place, 0)) if len(query) else place
         kept = place < self.k
         last = place == self.k - 1
-        self.kth[query[last]] = distance[last]
+        self.kth[query[last]] = np.minimum(self.kth[query[last]], distance[last])
         self.query, self.chunk, self.distance = [query[kept]], [chunk[:, kept]], [distance[kept]]
 
     def batch(self) -> pa.RecordBatch:

@@ -377,6 +377,8 @@ SELECT key, count(*) AS count FROM present GROUP BY key ORDER BY count DESC, key
 
     sql["vector_batch_user"] = nearest()
     sql["vector_batch_all"] = nearest(scoped=False)
+    sql["vector_batch_shuffled"] = sql["vector_batch_all"]
+    sql["vector_user_shuffled"] = sql["vector_batch_user"]
     sql["vector_user_json"] = nearest(condition="e.position = q.meta_position AND e.has_code = q.has_code")
     sql["vector_user_json_range"] = nearest(
         condition="e.language_detected = 'en' AND e.complexity_score BETWEEN greatest(0, q.complexity_score - 2) "

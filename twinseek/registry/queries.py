@@ -26,6 +26,8 @@ REGISTRY: dict[str, Query] = {}
 # Parameters of single registered queries.
 CHUNK_FILTER = {"position": "beginning", "has_math": False}
 DOCUMENT_FILTER = {"language": "en"}
+# Bytes of vectors of a shard in the registered shuffled searches: a bound passes to other shards on small tables too.
+SMALL_SHARD = 1 << 20
 SHORT_QUERIES = ["the", "of", "and", "de", "la", "the and", "  ", "zzzz"]
 
 
@@ -355,6 +357,19 @@ def vector_batch_all(spark: SparkSession, folder: str) -> DataFrame:
     return _ranked(vec.nearest_batch(known_items(spark, folder), _embedded(spark, folder), 10))
 
 
+@register
+def vector_batch_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries and chunks meet by shuffle, as they do in batches too large to be sent to every executor."""
+    return _ranked(vec.nearest_shuffled(known_items(spark, folder), _embedded(spark, folder), 10, shard_bytes=SMALL_SHARD))
+
+
+@register
+def vector_user_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same inside each query's tenant."""
+    scope = [vec.Scope("user_id", "user_id")]
+    return _ranked(vec.nearest_shuffled(known_items(spark, folder), _embedded(spark, folder), 10, scope, shard_bytes=SMALL_SHARD))
+
+
 @register
 def vector_user_json(spark: SparkSession, folder: str) -> DataFrame:
     return _ranked(suite.simple_json_search(known_items(spark, folder), _embedded(spark, folder)))
