@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinseek.functions.json import json_contains
 from twinseek.functions.scores import reciprocal_rank, weighted
+from twinseek.operators.blockmax import block_topk
 from twinseek.operators.keyword import keyword_matches
 from twinseek.operators.ranking import top_k_per_query
 from twinseek.operators.sizing import BROADCAST_ROWS
@@ -42,7 +43,8 @@ class Corpus:
     `text` holds `id, user_id, user_document_id, text_search_vector` and the columns filters use; `vectors` holds the same
     with `embedding`; `chunks` holds the payload; `documents` the parents. One wide table may serve as several of them.
     `user_buckets` is the number of tenant partitions when the tables are laid out by `sources.layout`. With `postings` a
-    keyword search without chunk filter reads them instead of `text`: the choice for small batches on large corpora.
+    keyword search without chunk filter reads them instead of `text`: the choice for small batches on large corpora. With `blocks`
+    besides, it reads the blocks that can hold the best matches.
     """
 
     chunks: DataFrame
@@ -52,6 +54,7 @@ class Corpus:
     dictionary: str = "english"
     vocabulary: DataFrame | None = None
     postings: DataFrame | None = None
+    blocks: DataFrame | None = None
     user_buckets: int | None = None
 
 
@@ -112,6 +115,9 @@ def text_pool(
 ) -> DataFrame:
     """Best `pool` keyword matches per query: `query_id, id, user_document_id, relevance, rank`."""
     batch = batch or measure(queries, corpus, scoped)
+    if corpus.blocks is not None and corpus.postings is not None and chunk_filter is None:
+        keep = ["user_document_id"]
+        return block_topk(queries, corpus.blocks, corpus.postings, pool, corpus.dictionary, scoped, corpus.vocabulary, keep)[0]
     matches = keyword_matches(
         queries,
         _apply(tenant_files(corpus.text, batch), chunk_filter),
@@ -333,6 +339,7 @@ def hybrid_plain(queries: DataFrame, corpus: Corpus, limit: int = 10, scope: str
             text=owned(corpus.text, corpus.documents),
             vectors=owned(corpus.vectors, corpus.documents),
             postings=None,
+            blocks=None,
             user_buckets=None,
         )
     scoped = scope != "none"

@@ -117,6 +117,11 @@ def keyword_matches(
         held = index.select("id", "user_id", F.explode(words).alias("anchor")).drop(*unused)
         candidates = held.join(leads, on).drop("user_id")
         pairs = candidates.join(index.select("id", *keep, "text_search_vector"), "id")
+    return matched(pairs, keep)
+
+
+def matched(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Candidate pairs that match, with their relevance; `text_search_vector` has the words of the query at least."""
     # a chunk may be reached through several groups; the first satisfied one reports it. The generator evaluates the match
     # once, where a filter and a projection would each do it
     hits = F.filter(F.array(fulltext.groups_column()), lambda g: fulltext.first_match(g) == F.col("group_no"))

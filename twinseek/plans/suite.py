@@ -55,6 +55,7 @@ def _side(corpus: Corpus, design: str) -> Corpus:
         text=owned(corpus.text, documents),
         vectors=owned(corpus.vectors, documents),
         postings=None,
+        blocks=None,
         user_buckets=None,
     )
 

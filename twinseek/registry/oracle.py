@@ -440,6 +440,14 @@ q AS (SELECT query_id, user_id, '-' || w[1] || ' -"' || w[2] || ' ' || w[3] || '
     sql["keyword_only_negative"] = keyword(queries=negative)
     sql["keyword_postings"] = sql["keyword_user"]
     sql["keyword_negative_postings"] = sql["keyword_only_negative"]
+    sql["keyword_block_user"] = sql["keyword_user"]
+    sql["keyword_block_short"] = sql["keyword_short"]
+    sql["keyword_block_phrase"] = sql["keyword_phrase"]
+    sql["keyword_block_or_not"] = sql["keyword_or_not"]
+    sql["keyword_block_negative"] = sql["keyword_only_negative"]
+    sql["keyword_blocks_read"] = base(CHUNKS, POSITIONS) + """
+      SELECT lexeme, count(DISTINCT id) AS postings, true AS falls FROM v GROUP BY lexeme
+      ORDER BY postings DESC, lexeme LIMIT 30"""
     sql["keyword_json"] = keyword(scoped=False, condition="position = 'beginning' AND NOT has_math")
     sql["keyword_user_date"] = keyword(condition="created_at > TIMESTAMP '2024-01-01'")
     sql["keyword_join_none"] = keyword(scoped=False)

@@ -8,11 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from twinseek.functions import json as js
 from twinseek.functions import text as tx
 from twinseek.functions import vectors as vx
-from twinseek.operators import ann, embed, enrich, evalset, fusion, histograms, ingest, keyword, metrics, quality
+from twinseek.operators import ann, blockmax, embed, enrich, evalset, fusion, histograms, ingest, keyword, metrics, quality
 from twinseek.operators import vector as vec
 from twinseek.plans import search, suite
 from twinseek.session import cut_lineage, shared_folder
@@ -28,6 +29,8 @@ CHUNK_FILTER = {"position": "beginning", "has_math": False}
 DOCUMENT_FILTER = {"language": "en"}
 # Bytes of vectors of a shard in the registered shuffled searches: a bound passes to other shards on small tables too.
 SMALL_SHARD = 1 << 20
+# Sizes of result whose readings are compared.
+READ_AT = [1, 10, 100]
 SHORT_QUERIES = ["the", "of", "and", "de", "la", "the and", "  ", "zzzz"]
 
 
@@ -488,14 +491,12 @@ REGISTRY["keyword_all"] = _keyword(known_items, scoped=False)
 REGISTRY["keyword_short"] = _keyword(_short, k=100, scoped=False)
 REGISTRY["keyword_shuffle_join"] = _keyword(known_items, small=False)
 REGISTRY["keyword_english"] = _keyword(known_items, dictionary="english")
-REGISTRY["keyword_phrase"] = _keyword(
-    _from_benchmark(lambda w: F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" '), w[2])), scoped=False
-)
-REGISTRY["keyword_or_not"] = _keyword(
-    _from_benchmark(
-        lambda w: F.concat(w[0], F.lit(" "), w[1], F.lit(' or "'), w[2], F.lit(" "), w[3], F.lit('" -'), w[4])
-    )
+_phrase = _from_benchmark(lambda w: F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" '), w[2]))
+_or_not = _from_benchmark(
+    lambda w: F.concat(w[0], F.lit(" "), w[1], F.lit(' or "'), w[2], F.lit(" "), w[3], F.lit('" -'), w[4])
 )
+REGISTRY["keyword_phrase"] = _keyword(_phrase, scoped=False)
+REGISTRY["keyword_or_not"] = _keyword(_or_not)
 _negative = _from_benchmark(lambda w: F.concat(F.lit("-"), w[0], F.lit(' -"'), w[1], F.lit(" "), w[2], F.lit('"')))
 REGISTRY["keyword_only_negative"] = _keyword(_negative)
 
@@ -516,6 +517,48 @@ def keyword_vocabulary_anchor(spark: SparkSession, folder: str) -> DataFrame:
     return _found(keyword.keyword_topk(queries, index, 10, dictionary="simple", known=keyword.vocabulary(index)))
 
 
+def _stored_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Block postings, postings and vocabulary of the chunks, as a corpus stores them."""
+    place = scratch(spark)
+    layout.write_corpus(cp.documents(spark, folder), cp.chunks(spark, folder), place, "simple", buckets=8, blocks=True)
+    corpus = layout.read_corpus(spark, place, use_blocks=True, use_vocabulary=True)
+    return corpus.blocks, corpus.postings, corpus.vocabulary
+
+
+def _keyword_blocks(queries: Callable[[SparkSession, str], DataFrame], k: int = 10, scoped: bool = True) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        blocks, lines, known = _stored_blocks(spark, folder)
+        asked = cut_lineage(queries(spark, folder))
+        return _found(blockmax.block_topk(asked, blocks, lines, k, "simple", scoped, known)[0])
+
+    return query
+
+
+REGISTRY["keyword_block_user"] = _keyword_blocks(known_items)
+REGISTRY["keyword_block_short"] = _keyword_blocks(_short, 100, scoped=False)
+REGISTRY["keyword_block_phrase"] = _keyword_blocks(_phrase, scoped=False)
+REGISTRY["keyword_block_or_not"] = _keyword_blocks(_or_not)
+REGISTRY["keyword_block_negative"] = _keyword_blocks(_negative)
+
+
+@register
+def keyword_blocks_read(spark: SparkSession, folder: str) -> DataFrame:
+    """For the most frequent words: postings in all, whether fewer are read for smaller k, and whether ten need all of them."""
+    blocks, lines, known = _stored_blocks(spark, folder)
+    words = known.orderBy(F.desc("n_chunks"), "lexeme").limit(30)
+    number = F.row_number().over(Window.orderBy(F.desc("n_chunks"), "lexeme")).cast("long")
+    queries = cut_lineage(words.select(number.alias("query_id"), F.col("lexeme").alias("query_text")))
+    result = queries
+    for k in READ_AT:
+        read = blockmax.block_topk(queries, blocks, lines, k, "simple", False, known)[1]
+        result = result.join(read.select("query_id", "postings", F.col("postings_read").alias(f"read_{k}")), "query_id")
+        result = result.drop("postings") if k != READ_AT[-1] else result
+    falls = F.lit(True)
+    for low, high in itertools.pairwise([f"read_{k}" for k in READ_AT] + ["postings"]):
+        falls &= F.col(low) <= F.col(high)
+    return result.select(F.col("query_text").alias("lexeme"), "postings", falls.alias("falls"))
+
+
 REGISTRY["keyword_json"] = _scenario(suite.text_scenario, "jsonb", json_filter=CHUNK_FILTER)
 REGISTRY["keyword_user_date"] = _scenario(suite.text_scenario, "composite")
 REGISTRY["keyword_join_none"] = _scenario(suite.text_scenario, "no_filter", "join")

@@ -5,6 +5,7 @@
     text/        the same: text vectors and filter columns, no text, no embeddings
     vectors/     the same: embeddings and filter columns
     postings/    range-clustered by (lexeme, id)
+    blocks/      on request: block postings, range-clustered by (lexeme, user_id, weight)
     vocabulary/  lexeme counts
     manifest/    one row: tenant buckets, dictionary, dimension of the embeddings
     staging/     the derived chunk rows the narrower tables are read from; may be dropped afterwards
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from twinseek.operators.blockmax import block_postings
 from twinseek.operators.fusion import Corpus, user_bucket
 from twinseek.operators.keyword import chunk_postings, postings, text_index, vocabulary
 
@@ -61,8 +63,9 @@ def write_corpus(
     dictionary: str = "english",
     buckets: int = USER_BUCKETS,
     users: DataFrame | None = None,
+    blocks: bool = False,
 ) -> None:
-    """Write all tables of a searchable corpus.
+    """Write all tables of a searchable corpus; block postings, for ranked searches that stop early, where `blocks` asks for them.
 
     The chunks are derived and shuffled once; the narrower tables read them back, already clustered, without a shuffle.
     """
@@ -85,6 +88,8 @@ def write_corpus(
     lines.repartitionByRange("lexeme", "id").sortWithinPartitions("lexeme", "id").write.mode("overwrite").parquet(
         f"{folder}/postings"
     )
+    if blocks:
+        block_postings(index, ["user_document_id"]).write.mode("overwrite").parquet(f"{folder}/blocks")
     vocabulary(index).write.mode("overwrite").parquet(f"{folder}/vocabulary")
     sizes = spark.read.parquet(f"{folder}/vectors").agg(
         F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("dimension")
@@ -112,6 +117,7 @@ def read_corpus(
     buckets: int | None = None,
     use_postings: bool = False,
     use_vocabulary: bool = False,
+    use_blocks: bool = False,
 ) -> Corpus:
     """The stored tables. Bucket count and dictionary come from the manifest; others than those are refused. Postings pay off for small batches on large corpora, the vocabulary where common words are long."""
     written = read_manifest(spark, folder)
@@ -125,7 +131,8 @@ def read_corpus(
         vectors=spark.read.parquet(f"{folder}/vectors"),
         dictionary=written["dictionary"],
         vocabulary=spark.read.parquet(f"{folder}/vocabulary") if use_vocabulary else None,
-        postings=spark.read.parquet(f"{folder}/postings") if use_postings else None,
+        postings=spark.read.parquet(f"{folder}/postings") if use_postings or use_blocks else None,
+        blocks=spark.read.parquet(f"{folder}/blocks") if use_blocks else None,
         user_buckets=written["buckets"],
     )
 
