@@ -82,16 +82,21 @@ def read_clusters(spark: SparkSession, folder: str) -> tuple[DataFrame, Clusters
     return spark.read.parquet(f"{folder}/vectors"), Clusters(np.array([r["center"] for r in centers]), centers[0]["bound"])
 
 
-def search(
-    queries: DataFrame, assigned: DataFrame, clusters: Clusters, k: int, probes: int, scoped: bool = False
-) -> DataFrame:
-    """k nearest among the chunks of the `probes` best clusters of each query: `query_id, id, distance, rank`."""
-    probe = (
+def probed(queries: DataFrame, clusters: Clusters, probes: int) -> DataFrame:
+    """One row per query and each of its `probes` best clusters."""
+    return (
         queries.filter(F.col("query_embedding").isNotNull())
         .withColumn("probes", _closest(clusters, min(probes, len(clusters.centers)), False)("query_embedding"))
         .withColumn("cluster", F.explode("probes"))
         .drop("probes")
     )
+
+
+def search(
+    queries: DataFrame, assigned: DataFrame, clusters: Clusters, k: int, probes: int, scoped: bool = False
+) -> DataFrame:
+    """k nearest among the chunks of the `probes` best clusters of each query: `query_id, id, distance, rank`."""
+    probe = probed(queries, clusters, probes)
     scopes = [Scope("cluster", "cluster")] + ([Scope("user_id", "user_id")] if scoped else [])
     # a query has one row per probe; clusters share no chunk, so its lists merge by rank alone
     return nearest_batch(probe, assigned, k, scopes)

@@ -27,7 +27,7 @@ from twinseek.operators.ranking import top_k_per_query
 from twinseek.operators.sizing import fits_broadcast
 from twinseek.session import cut_lineage
 
-# Postings of a block; blocks that a query looks at first, and postings after which it takes no more of them.
+# Postings of a block; blocks that a query looks at first, and postings after which it takes no more of them (k if that is more).
 BLOCK, FIRST_BLOCKS, FIRST_POSTINGS = 256, 64, 1024
 
 
@@ -155,8 +155,9 @@ def block_topk(
     heads = cut_lineage(heads)
     order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "first_id", "lexeme", "user_id", "group_no")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = heads.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= FIRST_BLOCKS)
-    first = cut_lineage(first.withColumn("before", before).filter(F.col("before") < FIRST_POSTINGS).drop("place", "before"))
+    # fewer postings than k could not bound anything
+    first = heads.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(FIRST_BLOCKS, k))
+    first = cut_lineage(first.withColumn("before", before).filter(F.col("before") < max(FIRST_POSTINGS, k)).drop("place", "before"))
     found = cut_lineage(top_k_per_query(_scored(first, leads, blocks, lines, keep), "relevance", k, descending=True))
     kth = found.filter(F.col("rank") == k).select("query_id", F.col("relevance").alias("kth"), F.col("id").alias("kth_id"))
     key = ["query_id", "group_no", "lexeme", "user_id", "first_id"]

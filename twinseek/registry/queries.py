@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from twinseek.functions import json as js
 from twinseek.functions import text as tx
 from twinseek.functions import vectors as vx
-from twinseek.operators import ann, blockmax, embed, enrich, evalset, fusion, histograms, ingest, keyword, metrics, quality
+from twinseek.operators import ann, blockmax, embed, enrich, evalset, fusion, histograms, ingest, keyword, metrics, pq, quality
 from twinseek.operators import vector as vec
 from twinseek.plans import search, suite
 from twinseek.session import cut_lineage, shared_folder
@@ -434,6 +434,42 @@ def ann_recall_curve(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _stored_codes(spark: SparkSession, folder: str, n: int) -> pq.Coded:
+    rows = cut_lineage(_embedded(spark, folder).select("id", "user_id", "embedding"))
+    place = scratch(spark)
+    pq.write_codes(rows, ann.train(rows, n), place)
+    return pq.read_codes(spark, place)
+
+
+@register
+def ann_codes_whole_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Search over codes whose pool holds every vector is exact."""
+    index = _stored_codes(spark, folder, 8)
+    return _ranked(pq.search(known_items(spark, folder), index, 10, 8, index.vectors.count()))
+
+
+@register
+def ann_codes_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Search over codes with a pool of ten times the result: whether recall at 10 reaches 0.9, and bytes read per vector."""
+    index = _stored_codes(spark, folder, 16)
+    queries = known_items(spark, folder)
+    exact = cut_lineage(vec.nearest_batch(queries, index.vectors.drop("cluster"), 10)).select("query_id", "id")
+    found = cut_lineage(pq.search(queries, index, 10, 16, 100)).select("query_id", "id")
+    hits = found.join(exact, ["query_id", "id"], "left_semi").agg(F.count("*").alias("hits"))
+    sizes = index.codes.agg(F.max(F.octet_length("code")).cast("long").alias("code_bytes"))
+    whole = index.vectors.agg((F.max(F.size("embedding")) * 4).cast("long").alias("vector_bytes"))
+    one = exact.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
+    parts = one
+    for part in (hits, sizes, whole):
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    return parts.agg(
+        F.max("queries").alias("queries"),
+        (F.max("hits") >= 0.9 * F.max("n")).alias("recall_reached"),
+        F.max("code_bytes").alias("code_bytes"),
+        F.max("vector_bytes").alias("vector_bytes"),
+    )
+
+
 @register
 def layout_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks per tenant, read from the tenant's partition as the stored bucket count names it."""
