@@ -464,6 +464,9 @@ FROM r JOIN c ON c.id = r.id"""
     both = (text_pool(20), vector_pool(20))
     sql["hybrid_rrf"] = base(*SEARCH, matching(), *both, fused(50)) + payload
     sql["hybrid_layout"] = sql["hybrid_rrf"]
+    sql["incremental_hybrid"] = sql["hybrid_rrf"]
+    sql["incremental_vocabulary"] = sql["vocabulary_simple"]
+    sql["incremental_blocks"] = sql["keyword_user"]
     narrowed = "cf AS MATERIALIZED (SELECT * FROM c WHERE position = 'beginning' AND NOT has_math)"
     narrow_pools = (
         narrowed, matching(chunks="cf"), text_pool(20), vector_pool(20, condition="e.position = 'beginning' AND NOT e.has_math")

@@ -19,6 +19,7 @@ from twinseek.plans import search, suite
 from twinseek.session import cut_lineage, shared_folder
 from twinseek.sources import corpus as cp
 from twinseek.sources import evalfiles, layout, timing
+from twinseek.streaming import incremental
 from twinseek.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,6 +644,38 @@ def keyword_postings(spark: SparkSession, folder: str) -> DataFrame:
     return _found(fusion.text_pool(known_items(spark, folder), corpus, 10))
 
 
+def _grown(spark: SparkSession, folder: str, **tables) -> fusion.Corpus:
+    """A corpus that came in three batches, one of them twice, of which the first two were compacted."""
+    place = scratch(spark)
+    rows = cp.chunks(spark, folder)
+    batch = F.pmod(F.xxhash64("user_document_id"), F.lit(3))
+    for number in range(3):
+        incremental.append(rows.filter(batch == number), place, number, "simple", 8)
+    incremental.append(rows.filter(batch == 1), place, 1)
+    # rows that are there already, under a new number, add nothing
+    incremental.append(rows.filter(batch == 1), place, 3)
+    incremental.compact(spark, place, [0, 1])
+    return incremental.read(spark, place, cp.documents(spark, folder), **tables)
+
+
+@register
+def incremental_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    """The hybrid search over tables grown by batches."""
+    return _with_text(fusion.hybrid_search(known_items(spark, folder), _grown(spark, folder)))
+
+
+@register
+def incremental_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return _grown(spark, folder, use_vocabulary=True).vocabulary
+
+
+@register
+def incremental_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyword search over block postings and vocabulary grown by batches."""
+    corpus = _grown(spark, folder, use_blocks=True, use_vocabulary=True)
+    return _found(fusion.text_pool(known_items(spark, folder), corpus, 10))
+
+
 REGISTRY["hybrid_chunk_filter"] = _fused(chunk_filter=CHUNK_FILTER)
 REGISTRY["hybrid_doc_filter"] = _fused(chunk_filter=CHUNK_FILTER, doc_filter=DOCUMENT_FILTER)
 REGISTRY["hybrid_capped"] = _fused(match_count=100)
