@@ -143,7 +143,7 @@ def _wanted(queries: DataFrame, scopes: Sequence[Scope], ranges: Sequence[Range]
     return wanted.select(
         F.col("query_id").cast("long").alias("query_id"),
         F.col("query_embedding").cast("array<float>").alias("query_embedding"),
-        _scope_key([F.col(s.query_column) for s in scopes]).alias("scope"),
+        scope_key([F.col(s.query_column) for s in scopes]).alias("scope"),
         F.array(*[F.col(r.low).cast("double") for r in ranges]).cast("array<double>").alias("low"),
         F.array(*[F.col(r.high).cast("double") for r in ranges]).cast("array<double>").alias("high"),
         *[F.col(s.query_column).alias(f"scope_{i}") for i, s in enumerate(scopes)],
@@ -154,13 +154,13 @@ def _scored_columns(chunks: DataFrame, scopes: Sequence[Scope], ranges: Sequence
     """Chunks with an embedding, in the columns that scoring needs."""
     return chunks.filter(F.col("embedding").isNotNull()).select(
         *[F.col(c).cast("long").alias(c) for c in ["id", *keep]],
-        _scope_key([F.col(s.column) for s in scopes]).alias("scope"),
+        scope_key([F.col(s.column) for s in scopes]).alias("scope"),
         F.array(*[F.col(r.column).cast("double") for r in ranges]).cast("array<double>").alias("ranges"),
         F.col("embedding").cast("array<float>").alias("embedding"),
     )
 
 
-def _scope_key(columns: list[Column]) -> Column:
+def scope_key(columns: list[Column]) -> Column:
     """Equality on several columns as equality on one text key; null when any part is null."""
     if not columns:
         return F.lit("")
@@ -174,15 +174,15 @@ class _Asked:
     def __init__(self, batch: pa.Table, carried: Sequence[str], n_ranges: int):
         self.carried, self.n_ranges = carried, n_ranges
         self.ids = np.asarray(batch["query_id"].combine_chunks())
-        self.dimension, self.matrix = _matrix(batch["query_embedding"].combine_chunks(), None)
+        self.dimension, self.matrix = matrix_of(batch["query_embedding"].combine_chunks(), None)
         self.low = _bounds(batch["low"], n_ranges)
         self.high = _bounds(batch["high"], n_ranges)
         self.members = _members(np.array(batch["scope"].to_pylist(), dtype=object))
 
-    def score(self, chunks: pa.RecordBatch, best: _Best) -> None:
+    def score(self, chunks: pa.RecordBatch, best: TopRows) -> None:
         """Add the chunks of one Arrow batch to what is best so far."""
         chunk = np.stack([np.asarray(chunks[c]) for c in self.carried])
-        _, vectors_ = _matrix(chunks["embedding"], self.dimension)
+        _, vectors_ = matrix_of(chunks["embedding"], self.dimension)
         values = _bounds(chunks["ranges"], self.n_ranges)
         for key, rows_ in _members(np.array(chunks["scope"].to_pylist(), dtype=object)).items():
             who = self.members.get(key)
@@ -220,7 +220,7 @@ def _one_pass(
             rows = rows.filter(F.col(s.column).isin(values))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(asked.ids, k, carried)
+        best = TopRows(asked.ids, k, carried)
         for b in batches:
             if b.num_rows:
                 asked.score(b, best)
@@ -234,9 +234,9 @@ def _block_search(k: int, carried: Sequence[str], n_ranges: int):
 
     def search(key: tuple, block: pa.Table, shard: pa.Table) -> pa.Table:
         if not block.num_rows:
-            return pa.Table.from_batches([_Best(np.array([], dtype=np.int64), k, carried).batch()])
+            return pa.Table.from_batches([TopRows(np.array([], dtype=np.int64), k, carried).batch()])
         asked = _Asked(block, carried, n_ranges)
-        best = _Best(asked.ids, k, carried, np.asarray(block["bound"].combine_chunks()))
+        best = TopRows(asked.ids, k, carried, np.asarray(block["bound"].combine_chunks()))
         for batch in shard.combine_chunks().to_batches(SHARD_BATCH):
             asked.score(batch, best)
         return pa.Table.from_batches([best.batch()])
@@ -252,7 +252,7 @@ def _members(keys: np.ndarray) -> dict:
     return dict(zip(codes, np.split(order, cuts)))
 
 
-def _matrix(lists: pa.Array, dimension: int | None) -> tuple[int, np.ndarray]:
+def matrix_of(lists: pa.Array, dimension: int | None) -> tuple[int, np.ndarray]:
     """Equal-length float lists as a double matrix; a vector of another width fails the job."""
     lengths = np.asarray(lists.value_lengths())
     dimension = int(lengths[0]) if dimension is None else dimension
@@ -268,7 +268,7 @@ def _bounds(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.reshape(len(lists), width)
 
 
-class _Best:
+class TopRows:
     """Running k nearest per query inside one task. `carried` names the chunk columns, the id first."""
 
     def __init__(self, query_ids: np.ndarray, k: int, carried: Sequence[str], bound: np.ndarray | None = None):

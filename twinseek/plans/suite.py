@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,10 @@ from pyspark.sql import functions as F
 from twinseek.functions.json import json_contains, json_has_key
 from twinseek.operators import fusion, metrics
 from twinseek.operators.fusion import Corpus, owned, text_pool, vector_pool
+from twinseek.operators.ranking import top_k_per_query
+from twinseek.operators.settings import Setting, keyword_settings, nearest_settings
 from twinseek.operators.vector import Range, Scope, nearest_batch
+from twinseek.session import cut_lineage
 
 # Date bound of the composite filter, language and half-width of the complexity filter, its default and the
 # defaults of the simple filter, results per query.
@@ -31,6 +33,9 @@ SCENARIOS = {
 }
 
 
+HYBRIDS = ("hybrid", "hybrid_two_queries")
+
+
 def strategy_filter(strategy: str, json_filter: dict | None = None, key: str | None = None) -> Column | None:
     """Chunk condition of a strategy, apart from the tenant."""
     if strategy == "jsonb":
@@ -129,17 +134,89 @@ def scenario(queries: DataFrame, corpus: Corpus, search_type: str, filter_type:
     return found.select("query_id", "id", "rank")
 
 
-def run_suite(queries: DataFrame, corpus: Corpus, scenarios: dict[str, list[str]] | None = None, k: int = LIMIT) -> DataFrame:
-    """All scenarios over all queries: `search_type, filter_type, query_id, ..., found_ground_truth, ground_truth_rank`."""
-    return _union(
-        metrics.ground_truth_ranks(queries, scenario(queries, corpus, kind, name, k))
-        .withColumn("search_type", F.lit(kind))
-        .withColumn("filter_type", F.lit(name))
-        for kind, names in (scenarios or SCENARIOS).items()
-        for name in names
+def with_query_bounds(queries: DataFrame) -> DataFrame:
+    """The queries with the values that the JSON scenarios compare with: their own, or the defaults."""
+    near = F.coalesce(F.col("complexity_score"), F.lit(META_DEFAULTS["complexity_score"]))
+    return queries.withColumns(
+        {
+            "asked_position": F.coalesce(F.col("position"), F.lit(META_DEFAULTS["position"])),
+            "asked_has_code": F.coalesce(F.col("has_code"), F.lit(META_DEFAULTS["has_code"])),
+            "low": F.greatest(F.lit(0.0), near - COMPLEXITY_WIDTH),
+            "high": near + COMPLEXITY_WIDTH,
+        }
     )
 
 
+USER = Scope("user_id", "user_id")
+
+
+def suite_settings(scenarios: dict[str, list[str]], k: int = LIMIT) -> tuple[list[Setting], list[Setting]]:
+    """What the scenarios ask of the vectors and of the text index, by `search type/filter type`."""
+    vectors, texts = [], []
+    for kind, names in scenarios.items():
+        for name in names:
+            label = f"{kind}/{name}"
+            tenant = [] if name == "no_filter" else [USER]
+            if kind == "vector" and name == "user_jsonb":
+                own = [Scope("position", "asked_position"), Scope("has_code", "asked_has_code")]
+                vectors.append(Setting(label, k, [USER, *own]))
+            elif kind == "vector" and name == "user_jsonb_complex":
+                near = Range("complexity_score", "low", "high")
+                vectors.append(Setting(label, k, [USER], F.col("language_detected") == LANGUAGE, near))
+            elif kind == "vector" and name in ("no_filter", "user_only"):
+                vectors.append(Setting(label, k, tenant))
+            elif kind == "text" and name in ("no_filter", "user_only"):
+                texts.append(Setting(label, k, tenant))
+            elif kind in HYBRIDS and name == "user_only":
+                pool = min(k, fusion.MAX_RESULTS) * fusion.POOL_FACTOR if kind == "hybrid" else fusion.TWO_QUERY_POOL
+                vectors.append(Setting(label, pool, tenant))
+                texts.append(Setting(label, pool, tenant))
+            else:
+                raise ValueError(f"no scenario {kind}/{name}")
+    return vectors, texts
+
+
+def _answers(
+    queries: DataFrame, corpus: Corpus, vectors: list[Setting], texts: list[Setting]
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Both legs of all settings, each from one scan, as stored tables."""
+    near = cut_lineage(nearest_settings(queries, corpus.vectors, vectors)) if vectors else None
+    found = keyword_settings(queries, corpus.text, texts, corpus.dictionary, corpus.vocabulary) if texts else None
+    return near, None if found is None else cut_lineage(found)
+
+
+def _of(found: DataFrame | None, label: str) -> DataFrame:
+    return found.filter(F.col("name") == label).drop("name")
+
+
+def run_suite(queries: DataFrame, corpus: Corpus, scenarios: dict[str, list[str]] | None = None, k: int = LIMIT) -> DataFrame:
+    """All scenarios over all queries: `search_type, filter_type, query_id, ..., found_ground_truth, ground_truth_rank`.
+
+    The vectors and the text index are read once each, whatever the number of scenarios.
+    """
+    scenarios = scenarios or SCENARIOS
+    bounded = cut_lineage(with_query_bounds(queries))
+    near, found = _answers(bounded, corpus, *suite_settings(scenarios, k))
+    results = []
+    for kind, names in scenarios.items():
+        for name in names:
+            label = f"{kind}/{name}"
+            if kind in HYBRIDS:
+                fused = fusion.fuse(_of(found, label), _of(near, label))
+                scored = (
+                    fusion.rrf_scores(fused, fusion.RRF_K)
+                    if kind == "hybrid"
+                    else fusion.rrf_scores(fused, fusion.TWO_QUERY_RRF_K, missing_rank=fusion.MISSING_RANK)
+                )
+                ranked = top_k_per_query(scored, "score", min(k, fusion.MAX_RESULTS) if kind == "hybrid" else k, descending=True)
+            else:
+                ranked = _of(near if kind == "vector" else found, label)
+            results.append(ranked.select(F.lit(label).alias("label"), "query_id", "id", "rank"))
+    ranks = metrics.labelled_ranks(queries, _union(results), [f"{kind}/{name}" for kind, names in scenarios.items() for name in names])
+    kinds = F.split("label", "/")
+    return ranks.withColumn("search_type", kinds[0]).withColumn("filter_type", kinds[1]).drop("label")
+
+
 def matrix(has_json_filter: bool = True) -> list[tuple[str, str, str]]:
     """Configurations `(search type, strategy, design)`: vector and text in both designs, hybrid per strategy.
 
@@ -157,30 +234,77 @@ def matrix(has_json_filter: bool = True) -> list[tuple[str, str, str]]:
     return [r for r in rows if has_json_filter or not needs(r[0], r[1])]
 
 
+def matrix_settings(
+    rows: list[tuple[str, str, str]], json_filter: dict | None, k: int = LIMIT
+) -> tuple[list[Setting], list[Setting]]:
+    """What the configurations ask of the vectors and of the text index, by their label."""
+    vectors, texts = [], []
+    for kind, strategy, design in rows:
+        label = config_label(kind, strategy, design)
+        if kind == "hybrid":
+            pool = min(k, fusion.MAX_RESULTS) * fusion.POOL_FACTOR
+            condition = json_contains(F.col("meta"), json_filter) if strategy in ("jsonb", "composite") else None
+            vectors.append(Setting(label, pool, [USER], condition))
+            texts.append(Setting(label, pool, [USER], condition))
+            continue
+        condition = strategy_filter(strategy, json_filter)
+        owner = "user_id" if design == "denorm" else "owner"
+        if design == "join":
+            # orphans have no document to join
+            condition = F.col("owner").isNotNull() if condition is None else condition & F.col("owner").isNotNull()
+        scopes = [Scope(owner, "user_id")] if is_scoped(strategy) else []
+        (vectors if kind == "vector" else texts).append(Setting(label, k, scopes, condition))
+    return vectors, texts
+
+
+def config_label(kind: str, strategy: str, design: str) -> str:
+    # fixed values: form of the label, and what stands for the design of a hybrid
+    return f"{kind.title()}/{'DB' if kind == 'hybrid' else design}/{strategy}"
+
+
+def with_owner(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks with the owner of their document beside their own tenant, null for orphans."""
+    owners = documents.select(F.col("id").alias("user_document_id"), F.col("user_id").alias("owner"))
+    return chunks.join(owners, "user_document_id", "left")
+
+
 def run_matrix(
     queries: DataFrame, corpus: Corpus, json_filter: dict | None, doc_filter: dict | None = None, k: int = LIMIT
 ) -> DataFrame:
-    """Expected-answer ranks of every configuration, labelled `config, search_type, filter_strategy, schema_design`."""
-    run: dict[str, Callable[..., DataFrame]] = {"vector": vector_scenario, "text": text_scenario}
+    """Expected-answer ranks of every configuration, labelled `config, search_type, filter_strategy, schema_design`.
 
-    def one(kind: str, strategy: str, design: str) -> DataFrame:
+    One scan of the vectors and one of the text index answer all configurations; the normalised designs take the owner from one join.
+    """
+    rows = matrix(json_filter is not None)
+    owned_ = replace(
+        corpus, text=with_owner(corpus.text, corpus.documents), vectors=with_owner(corpus.vectors, corpus.documents), postings=None
+    )
+    near, found = _answers(queries, owned_, *matrix_settings(rows, json_filter, k))
+    n_pool = queries.count() * min(k, fusion.MAX_RESULTS) * fusion.POOL_FACTOR
+    results = []
+    for kind, strategy, design in rows:
+        label = config_label(kind, strategy, design)
         if kind == "hybrid":
-            found = hybrid_scenario(queries, corpus, strategy, json_filter, doc_filter, k)
+            kept = doc_filter if strategy == "composite" else None
+            legs = [fusion.keep_documents(_of(leg, label), corpus.documents, kept, n_pool) for leg in (found, near)]
+            scored = fusion.rrf_scores(fusion.fuse(*legs), fusion.RRF_K)
+            ranked = top_k_per_query(scored, "score", min(k, fusion.MAX_RESULTS), descending=True)
         else:
-            found = run[kind](queries, corpus, strategy, design, k, json_filter=json_filter)
-        label = f"{kind.title()}/{'DB' if kind == 'hybrid' else design}/{strategy}"
-        return metrics.ground_truth_ranks(queries, found.select("query_id", "id", "rank")).select(
-            F.lit(label).alias("config"),
-            F.lit(kind).alias("search_type"),
-            F.lit(strategy).alias("filter_strategy"),
-            F.lit(design).alias("schema_design"),
-            "query_id",
-            "result_count",
-            "found_ground_truth",
-            "ground_truth_rank",
-        )
-
-    return _union(one(*row) for row in matrix(json_filter is not None))
+            ranked = _of(near if kind == "vector" else found, label)
+        results.append(ranked.select(F.lit(label).alias("label"), "query_id", "id", "rank"))
+    ranks = metrics.labelled_ranks(queries, _union(results), [config_label(*r) for r in rows])
+    names = {config_label(*r): r for r in rows}
+    parts = [F.create_map(*[F.lit(x) for label, r in names.items() for x in (label, r[i])]) for i in range(3)]
+    return ranks.select(
+        F.col("label").alias("config"),
+        parts[0][F.col("label")].alias("search_type"),
+        parts[1][F.col("label")].alias("filter_strategy"),
+        parts[2][F.col("label")].alias("schema_design"),
+        "query_id",
+        "result_count",
+        "found_ground_truth",
+        "ground_truth_rank",
+    )
 
 
 def _union(parts) -> DataFrame:

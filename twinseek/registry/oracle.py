@@ -254,8 +254,106 @@ PERCENTILES = """
        CASE WHEN n >= 100 THEN sort_list[CAST(floor(n * 0.99::DOUBLE) AS BIGINT)] ELSE sort_list[n] END AS p99_ms"""
 
 
+# every pair of a query and an embedded chunk, and every match, with what settings are decided by
+PAIRS = r"""
+vd AS MATERIALIZED (
+  SELECT q.query_id, q.user_id AS asker, q.meta_position AS asked_position, q.has_code AS asked_code,
+         q.complexity_score AS asked_score, e.* EXCLUDE (embedding),
+         -list_inner_product(e.embedding, q.query_embedding) AS distance
+  FROM q CROSS JOIN e
+),
+td AS MATERIALIZED (
+  SELECT rel.query_id, rel.relevance, q.user_id AS asker, c.*
+  FROM rel JOIN q ON q.query_id = rel.query_id JOIN c ON c.id = rel.id
+)"""
+
+
+def leg(kind: str, k: int, condition: str = "TRUE") -> str:
+    """Best k of each query under a condition: `query_id, id, rank`."""
+    order, table = ("distance, id", "vd") if kind == "vector" else (TEXT_ORDER, "td")
+    return f"""SELECT * FROM (
+        SELECT query_id, id, user_document_id, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank
+        FROM {table} WHERE {condition}
+      ) WHERE rank <= {k}"""
+
+
+def both_legs(text: str, vector: str, score: str) -> str:
+    """Ten best by the score of a text rank t and a vector rank w."""
+    return f"""SELECT * FROM (
+        SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id) AS rank FROM (
+          SELECT query_id, id, x.rank AS t, y.rank AS w FROM ({text}) x FULL OUTER JOIN ({vector}) y USING (query_id, id)
+        )
+      ) WHERE rank <= 10"""
+
+
+def in_documents(pool: str, condition: str) -> str:
+    return f"""SELECT query_id, p.id, p.user_document_id, row_number() OVER (PARTITION BY query_id ORDER BY p.rank) AS rank
+      FROM ({pool}) p JOIN d ON d.id = p.user_document_id WHERE {condition}"""
+
+
+def evaluated(searches: dict[tuple, str], names: tuple[str, ...]) -> str:
+    """How often and how high each search finds the expected chunk."""
+    labels = ", ".join(names)
+
+    def label(key: tuple) -> str:
+        return ", ".join(f"'{x}' AS {n}" for x, n in zip(key, names, strict=True))
+
+    results = " UNION ALL ".join(f"SELECT {label(key)}, query_id, id, rank FROM ({sql})" for key, sql in searches.items())
+    every = " UNION ALL ".join(f"SELECT {label(key)}" for key in searches)
+    cuts = ", ".join(f"round(avg(CASE WHEN g <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_{k}" for k in (1, 5, 10))
+    return f"""
+SELECT {labels}, {cuts}, round(avg(coalesce(1.0::DOUBLE / g, 0)), 6) AS mrr, round(avg(g), 6) AS avg_rank, count(g) AS found,
+       count(*) AS total_queries
+FROM (
+  SELECT {labels}, q.query_id, min(r.rank) FILTER (WHERE r.id = q.ground_truth_chunk_id) AS g
+  FROM ({every}) CROSS JOIN q LEFT JOIN ({results}) r USING ({labels}, query_id) GROUP BY {labels}, q.query_id
+) GROUP BY {labels}"""
+
+
+def suite_searches() -> dict[tuple, str]:
+    own = "user_id = asker"
+    position = "position = coalesce(asked_position, 'middle') AND has_code = coalesce(asked_code, false)"
+    score = "complexity_score BETWEEN greatest(0, coalesce(asked_score, 5.0) - 2) AND coalesce(asked_score, 5.0) + 2"
+    rrf = "coalesce(1.0::DOUBLE / (50 + t), 0) + coalesce(1.0::DOUBLE / (50 + w), 0)"
+    two = "1.0::DOUBLE / (60 + coalesce(w, 1000)) + 1.0::DOUBLE / (60 + coalesce(t, 1000))"
+    return {
+        ("vector", "no_filter"): leg("vector", 10),
+        ("vector", "user_only"): leg("vector", 10, own),
+        ("vector", "user_jsonb"): leg("vector", 10, f"{own} AND {position}"),
+        ("vector", "user_jsonb_complex"): leg("vector", 10, f"{own} AND language_detected = 'en' AND {score}"),
+        ("text", "no_filter"): leg("text", 10),
+        ("text", "user_only"): leg("text", 10, own),
+        ("hybrid", "user_only"): both_legs(leg("text", 20, own), leg("vector", 20, own), rrf),
+        ("hybrid_two_queries", "user_only"): both_legs(leg("text", 40, own), leg("vector", 40, own), two),
+    }
+
+
+def matrix_searches() -> dict[tuple, str]:
+    own, narrow = "user_id = asker", "position = 'beginning' AND NOT has_math"
+    owner = "(SELECT d.user_id FROM d WHERE d.id = user_document_id)"
+    strategies = {
+        "denorm": {"no_filter": "TRUE", "user_id": own, "jsonb": narrow, "composite": f"{own} AND created_at > TIMESTAMP '2024-01-01'"},
+        "join": {"no_filter": f"{owner} IS NOT NULL", "user_id": f"{owner} = asker", "jsonb": f"{owner} IS NOT NULL AND {narrow}"},
+    }
+    found = {
+        (f"{kind.title()}/{design}/{strategy}",): leg(kind, 10, condition)
+        for kind in ("vector", "text")
+        for design, conditions in strategies.items()
+        for strategy, condition in conditions.items()
+    }
+    rrf = "coalesce(1.0::DOUBLE / (50 + t), 0) + coalesce(1.0::DOUBLE / (50 + w), 0)"
+    pools = {c: [leg(kind, 20, c) for kind in ("text", "vector")] for c in (own, f"{own} AND {narrow}")}
+    found["Hybrid/DB/user_id",] = both_legs(*pools[own], rrf)
+    found["Hybrid/DB/jsonb",] = both_legs(*pools[f"{own} AND {narrow}"], rrf)
+    english = [in_documents(p, "d.language = 'en'") for p in pools[f"{own} AND {narrow}"]]
+    found["Hybrid/DB/composite",] = both_legs(*english, rrf)
+    return found
+
+
 def statements() -> dict[str, str]:
     sql: dict[str, str] = {}
+    sql["suite_quality"] = base(*SEARCH, matching(scoped=False), PAIRS) + evaluated(suite_searches(), ("search_type", "filter_type"))
+    sql["matrix_quality"] = base(DOCS, *SEARCH, matching(scoped=False), PAIRS) + evaluated(matrix_searches(), ("config",))
 
     # ---- ingestion and features
     sql["feature_chunk_stats"] = base(CHUNKS) + "SELECT id, word_count, char_count, sentence_count FROM c"

@@ -979,7 +979,11 @@ def suite_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every scenario over every known item: how often and how high the expected chunk is found."""
     runs = suite.run_suite(known_items(spark, folder), cp.corpus(spark, folder))
     report = metrics.quality_report(runs.withColumn("latency_ms", F.lit(None).cast("double")), ["search_type", "filter_type"])
-    return report.drop("mean_ms")
+    return _rounded(report.drop("mean_ms"))
+
+
+def _rounded(report: DataFrame) -> DataFrame:
+    return report.select(*[r6(c) if t == "double" else c for c, t in report.dtypes])
 
 
 @register
@@ -987,4 +991,5 @@ def matrix_quality(spark: SparkSession, folder: str) -> DataFrame:
     runs = suite.run_matrix(
         known_items(spark, folder), cp.corpus(spark, folder), CHUNK_FILTER, DOCUMENT_FILTER
     )
-    return metrics.quality_report(runs.withColumn("latency_ms", F.lit(None).cast("double")), ["config"]).drop("mean_ms")
+    report = metrics.quality_report(runs.withColumn("latency_ms", F.lit(None).cast("double")), ["config"])
+    return _rounded(report.drop("mean_ms"))
