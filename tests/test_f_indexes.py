@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from twinseek.operators import ann, blockmax, keyword, pq, vector
+from twinseek.operators import ann, blockmax, keyword, pq, settings, vector
 from twinseek.session import cut_lineage
 
 
@@ -111,3 +111,64 @@ def test_fewer_rows_than_centers():
     centers = pq.fitted_centers(rows, 8)
     assert centers.shape == (8, 2)
     assert np.allclose(centers[pq.nearest_center(rows, centers)], rows)
+
+
+def three_settings():
+    user = vector.Scope("user_id", "user_id")
+    return [
+        settings.Setting("all", 4),
+        settings.Setting("own", 7, [user]),
+        settings.Setting("narrow", 5, [user], F.col("score") > 1, vector.Range("score", "low", "high"), F.col("low") > 0),
+    ]
+
+
+@pytest.mark.parametrize("limits", [{}, {"pass_rows": 5, "shard_bytes": 400}])
+def test_settings_in_one_scan_are_searches_of_their_own(spark, limits):
+    table = cut_lineage(
+        vectors_of(spark, 200, 6).withColumns(
+            {
+                "user_id": F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5),
+                "user_document_id": F.col("id") * 2,
+                "score": (F.col("id") % 7).cast("double"),
+            }
+        )
+    )
+    table = table.withColumn("user_id", F.when(F.col("id") != 7, F.col("user_id")))
+    queries = table.filter("id % 8 = 0 or id = 7").select(
+        F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("query_embedding"),
+        (F.col("score") - 2).alias("low"), (F.col("score") + 2).alias("high"),
+    )
+    found = settings.nearest_settings(queries, table, three_settings(), **limits).drop("distance")
+    user, keep = [vector.Scope("user_id", "user_id")], ["user_document_id"]
+    alone = {
+        "all": vector.nearest_batch(queries, table, 4, keep=keep),
+        "own": vector.nearest_batch(queries, table, 7, user, keep=keep),
+        "narrow": vector.nearest_batch(
+            queries.filter("low > 0"), table.filter("score > 1"), 5, user, [vector.Range("score", "low", "high")], keep
+        ),
+    }
+    rows = sorted(map(tuple, found.select("name", "query_id", "id", "user_document_id", "rank").collect()))
+    expected = [(n, *r) for n, df in alone.items() for r in df.select("query_id", "id", "user_document_id", "rank").collect()]
+    assert rows == sorted(expected)
+    assert settings.nearest_settings(queries.limit(0), table, three_settings(), **limits).count() == 0
+    assert settings.nearest_settings(queries, table.limit(0), three_settings(), **limits).count() == 0
+
+
+def test_keyword_settings_are_searches_of_their_own(spark):
+    texts = ["red cat", "cat dog cat", "red red cat", "dog", "cat", None]
+    rows = [(i, i % 3, i, texts[i % 6], i % 4) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "id long, user_id long, user_document_id long, text string, n long")
+    index = cut_lineage(keyword.text_index(chunks, "simple", ["user_document_id", "n"]))
+    queries = spark.createDataFrame([(1, 0, "cat"), (2, 1, "red cat"), (3, None, "dog"), (4, 2, "")], "query_id long, user_id long, query_text string")
+    user = vector.Scope("user_id", "user_id")
+    own, odd = settings.Setting("own", 6, [user]), settings.Setting("odd", 3, [], F.col("n") % 2 == 1)
+    for chosen in ([own, odd], [own]):
+        found = settings.keyword_settings(queries, index, chosen, "simple").drop("relevance")
+        alone = {
+            "own": keyword.keyword_topk(queries, index, 6, dictionary="simple", keep=["user_document_id"]),
+            "odd": keyword.keyword_topk(queries, index.filter("n % 2 = 1"), 3, dictionary="simple", scoped=False, keep=["user_document_id"]),
+        }
+        names = [s.name for s in chosen]
+        expected = [(n, *r) for n in names for r in alone[n].select("query_id", "id", "user_document_id", "rank").collect()]
+        rows_ = found.select("name", "query_id", "id", "user_document_id", "rank").collect()
+        assert sorted(map(tuple, rows_)) == sorted(expected)
