@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from twinseek.operators import ann, blockmax, keyword, pq, settings, vector
+from twinseek.functions.json import json_contains, json_has_key
+from twinseek.operators import ann, blockmax, jsonindex, keyword, pq, settings, vector
 from twinseek.session import cut_lineage
 
 
@@ -172,3 +173,32 @@ def test_keyword_settings_are_searches_of_their_own(spark):
         expected = [(n, *r) for n in names for r in alone[n].select("query_id", "id", "user_document_id", "rank").collect()]
         rows_ = found.select("name", "query_id", "id", "user_document_id", "rank").collect()
         assert sorted(map(tuple, rows_)) == sorted(expected)
+
+
+def test_json_postings_contain_what_a_parse_finds(spark, tmp_path):
+    texts = [
+        '{"a": 1, "b": {"c": [1, 2, {"d": null}], "e": "x"}}', '{"a": 1.0, "b": {"c": []}}', '{"a": "1", "k.l": true, "k[": 2}',
+        '{"a": -0.0, "b": {}}', '{"a": 0}', '[1, [2, 3], {"a": 1}]', '{"p": [{"n": 1, "m": 2}, {"n": 2, "m": 1}]}',
+        '{"p": [{"n": 1}, {"m": 1}]}', "no json", None, "7", '{"s": "' + "y" * 200 + '"}', '{"a": 1e300}', '{"b": [[1, 2], [3]]}', '{"b": [[1], [2]]}',
+        '{"a": 12345678901234567890}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, meta string")
+    jsonindex.write_json(rows, str(tmp_path))
+    postings, variants = jsonindex.read_json(spark, str(tmp_path))
+    filters = [
+        {}, [], {"a": 1}, {"a": 1.0}, {"a": "1"}, {"a": 0}, {"b": {}}, {"b": {"c": []}}, {"b": {"c": [2, 1]}}, {"b": {"c": [{"d": None}]}},
+        {"k.l": True}, {"k[": 2}, {"k": 2}, {"p": [{"n": 1, "m": 1}]}, {"p": [{"n": 1, "m": 2}]}, {"p": [{"n": 2}, {"n": 1}]},
+        {"s": "y" * 200}, {"s": "y" * 199}, {"a": 1e300}, {"b": [[1, 2]]}, {"b": [[2], [1]]}, [1, [3]], {"a": 1, "b": {"e": "x"}},
+        {"a": 12345678901234567890},
+    ]
+    for wanted in filters:
+        found = sorted(r["id"] for r in jsonindex.containing(postings, variants, wanted).collect())
+        parsed = rows.filter(json_contains(F.col("meta"), wanted)).collect()
+        assert found == sorted(r["id"] for r in parsed), wanted
+    for key in ("a", "k.l", "k[", "b", "none"):
+        assert {r["id"] for r in jsonindex.having_key(postings, key).collect()} == {
+            r["id"] for r in rows.filter(json_has_key(F.col("meta"), key)).collect()
+        }
+    plan = jsonindex.containing(postings, variants, {"a": 1, "b": {"e": "x"}})._jdf.queryExecution().executedPlan().toString()
+    assert "parse_json" not in plan and "PushedFilters" in plan
+    assert jsonindex.json_postings(rows.limit(0)).count() == 0

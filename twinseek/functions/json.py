@@ -49,7 +49,12 @@ def json_contains(meta: Column, wanted: dict | list) -> Column:
 
     `{"a": 1}` is contained in `{"a": 1, "b": 2}` but not in `{"a": "1"}`. Null metadata gives null, as in SQL.
     """
-    return F.when(meta.isNotNull(), F.coalesce(_contains(F.try_parse_json(meta), wanted), F.lit(False)))
+    return F.when(meta.isNotNull(), variant_contains(F.try_parse_json(meta), wanted))
+
+
+def variant_contains(value: Column, wanted: dict | list) -> Column:
+    """The same for JSON that is a VARIANT already."""
+    return F.coalesce(_contains(value, wanted), F.lit(False))
 
 
 def _type(value: Column) -> Column:

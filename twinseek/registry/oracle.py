@@ -424,6 +424,20 @@ FROM conversations WHERE turn * 25 NOT BETWEEN 1 AND 100 OR conv_id % 21 = 0 OR
 SELECT id FROM c WHERE position = 'middle' AND has_math AND complexity_score BETWEEN 3.0 AND 7.0 AND language_detected = 'en'"""
     sql["json_key_exists"] = base(CHUNKS) + "SELECT id FROM c WHERE section_type IS NOT NULL"
     sql["json_contains"] = base(CHUNKS) + "SELECT id FROM c WHERE position = 'end' AND has_list"
+    sql["json_postings_contains"] = sql["json_contains"]
+    sql["json_postings_key"] = sql["json_key_exists"]
+    nested = {
+        "object": "n_chars > 1000",
+        "array": "list_has_all([lang, source], ['src2', 'de'])",
+        "both": "lang = 'en' AND NOT n_chars > 1000",
+        "element": "(doc_id % 3 = 1 AND lang = 'fr') OR (doc_id % 5 = 1 AND source = 'fr')",
+        "elements": "(lang = 'es' OR source = 'es') AND (doc_id % 3 = 2 OR doc_id % 5 = 2)",
+        "anything": "true",
+        "nothing": "false",
+    }
+    sql["json_postings_nested"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS filter, doc_id AS id FROM documents WHERE {condition}" for name, condition in nested.items()
+    )
     sql["json_contains_number"] = "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 69}')"
     sql["date_and_length_filter"] = base(CHUNKS) + (
         "SELECT id FROM c WHERE created_at > TIMESTAMP '2024-01-01' AND length(text) > 300"

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from twinseek.functions import json as js
 from twinseek.functions import text as tx
 from twinseek.functions import vectors as vx
-from twinseek.operators import ann, blockmax, embed, enrich, evalset, fusion, histograms, ingest, keyword, metrics, pq, quality
+from twinseek.operators import ann, blockmax, embed, enrich, evalset, fusion, histograms, ingest, jsonindex, keyword, metrics, pq, quality
 from twinseek.operators import vector as vec
 from twinseek.plans import search, suite
 from twinseek.session import cut_lineage, shared_folder
@@ -28,6 +28,15 @@ REGISTRY: dict[str, Query] = {}
 # Parameters of single registered queries.
 CHUNK_FILTER = {"position": "beginning", "has_math": False}
 DOCUMENT_FILTER = {"language": "en"}
+NESTED_FILTERS = {
+    "object": {"stats": {"long": True}},
+    "array": {"tags": ["src2", "de"]},
+    "both": {"lang": "en", "stats": {"long": False}, "tags": ["en"]},
+    "element": {"parts": [{"n": 1, "kind": "fr"}]},
+    "elements": {"parts": [{"kind": "es"}, {"n": 2}]},
+    "anything": {"stats": {}},
+    "nothing": {"tags": [["de"]]},
+}
 # Bytes of vectors of a shard in the registered shuffled searches: a bound passes to other shards on small tables too.
 SMALL_SHARD = 1 << 20
 # Sizes of result whose readings are compared.
@@ -252,6 +261,49 @@ def json_contains_number(spark: SparkSession, folder: str) -> DataFrame:
     return cp.table(spark, folder, "events").filter(js.json_contains(F.col("props"), {"k": 69})).select("event_id")
 
 
+def _json_index(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    place = scratch(spark)
+    jsonindex.write_json(rows, place)
+    return jsonindex.read_json(spark, place)
+
+
+@register
+def json_postings_contains(spark: SparkSession, folder: str) -> DataFrame:
+    """The containment filter from postings, without a parse."""
+    index = _json_index(spark, cp.chunks(spark, folder).select("id", "meta"))
+    return jsonindex.containing(*index, {"position": "end", "has_list": True})
+
+
+@register
+def json_postings_key(spark: SparkSession, folder: str) -> DataFrame:
+    postings, _ = _json_index(spark, cp.chunks(spark, folder).select("id", "meta"))
+    return jsonindex.having_key(postings, "section_type")
+
+
+def _nested_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with metadata that nests objects and arrays."""
+    part = F.struct((F.col("doc_id") % 3).alias("n"), F.col("lang").alias("kind"))
+    other = F.struct((F.col("doc_id") % 5).alias("n"), F.col("source").alias("kind"))
+    whole = F.struct(
+        "lang",
+        F.struct((F.col("n_chars") > 1000).alias("long"), F.col("n_chars").alias("chars")).alias("stats"),
+        F.array("lang", "source").alias("tags"),
+        F.array(part, other).alias("parts"),
+    )
+    return cp.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.to_json(whole).alias("meta"))
+
+
+@register
+def json_postings_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Filters with objects in objects, arrays, and arrays of objects whose values must come from one element."""
+    index = _json_index(spark, _nested_meta(spark, folder))
+    result = None
+    for name, wanted in NESTED_FILTERS.items():
+        found = jsonindex.containing(*index, wanted).select(F.lit(name).alias("filter"), "id")
+        result = found if result is None else result.unionByName(found)
+    return result
+
+
 @register
 def date_and_length_filter(spark: SparkSession, folder: str) -> DataFrame:
     created = F.col("created_at") > F.lit(suite.CREATED_AFTER).cast("timestamp")
