@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinseek.functions.json import json_contains, json_has_key
-from twinseek.operators import ann, blockmax, jsonindex, keyword, pq, settings, vector
+from twinseek.operators import ann, blockmax, embed_ledger, jsonindex, keyword, pq, settings, vector
 from twinseek.session import cut_lineage
 
 
@@ -202,3 +202,44 @@ def test_json_postings_contain_what_a_parse_finds(spark, tmp_path):
     plan = jsonindex.containing(postings, variants, {"a": 1, "b": {"e": "x"}})._jdf.queryExecution().executedPlan().toString()
     assert "parse_json" not in plan and "PushedFilters" in plan
     assert jsonindex.json_postings(rows.limit(0)).count() == 0
+
+
+def _counting(broken=()):
+    def make():
+        def embedder(texts, input_type):
+            if any(b in t for t in texts for b in broken):
+                raise RuntimeError("no more calls")
+            return [[float(len(t)), float(input_type == "search_query")] for t in texts]
+
+        return embedder
+
+    return make
+
+
+def _refusing():
+    def embedder(texts, input_type):
+        raise RuntimeError("a call that was not needed")
+
+    return embedder
+
+
+def test_ledger_embeds_what_is_new(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(i, f"text {i % 40}" if i % 9 else None) for i in range(200)] + [(900, "")], "id long, text string"
+    ).repartition(3)
+    distinct = rows.selectExpr("coalesce(text, '') t").distinct().count()
+    folder = str(tmp_path)
+    with pytest.raises(Exception, match="no more calls"):
+        embed_ledger.embed_new(rows, "text", _counting(["text 7"]), folder, "m1", slice_texts=10)
+    done = embed_ledger.ledger(spark, folder).count()
+    found, n = embed_ledger.embed_through(rows, "text", _counting(), folder, "m1", slice_texts=10)
+    assert n == distinct - done and 0 < done < distinct
+    assert {(r["id"], r["embedding"][0]) for r in found.collect()} == {(r["id"], float(len(r["text"] or ""))) for r in rows.collect()}
+    again, n = embed_ledger.embed_through(rows, "text", _refusing, folder, "m1")
+    assert n == 0 and again.count() == 201
+    # another model or input type is another embedding
+    assert embed_ledger.embed_new(rows, "text", _counting(), folder, "m2") == distinct
+    queries, n = embed_ledger.embed_through(rows, "text", _counting(), folder, "m1", "vector", "search_query")
+    assert n == distinct and {r["vector"][1] for r in queries.collect()} == {1.0}
+    assert embed_ledger.ledger(spark, folder).count() == 3 * distinct
+    assert embed_ledger.embed_through(rows.limit(0), "text", _refusing, folder, "m3")[0].count() == 0

@@ -389,6 +389,9 @@ SELECT (SELECT count(*) FROM users) AS total_users, (SELECT count(*) FROM docume
     sql["head_slice"] = base(CHUNKS) + "SELECT id, paragraph_id, text FROM c ORDER BY id LIMIT 500"
     sql["embed_batch"] = r"""
 SELECT doc_id, length(text)::DOUBLE AS x0, len(regexp_extract_all(text, 'e'))::DOUBLE AS x1 FROM documents"""
+    sql["embed_ledger_runs"] = r"""
+SELECT doc_id, length(text)::DOUBLE AS x0, len(regexp_extract_all(text, 'e'))::DOUBLE AS x1,
+       (SELECT count(DISTINCT text) FROM documents) AS texts, 0 AS again FROM documents"""
     sql["stream_ingest"] = base(CHUNKS) + "SELECT user_document_id, paragraph_id, user_id, word_count, position FROM c"
 
     # ---- data quality

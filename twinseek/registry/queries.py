@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from twinseek.functions import json as js
 from twinseek.functions import text as tx
 from twinseek.functions import vectors as vx
-from twinseek.operators import ann, blockmax, embed, enrich, evalset, fusion, histograms, ingest, jsonindex, keyword, metrics, pq, quality
+from twinseek.operators import ann, blockmax, embed, embed_ledger, enrich, evalset, fusion, histograms, ingest, jsonindex, keyword, metrics, pq, quality
 from twinseek.operators import vector as vec
 from twinseek.plans import search, suite
 from twinseek.session import cut_lineage, shared_folder
@@ -139,6 +139,24 @@ def embed_batch(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def embed_ledger_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents embedded through the ledger: English ones, then all, then all again, which embeds nothing."""
+    place = scratch(spark)
+    rows = cp.table(spark, folder, "documents").select("doc_id", "lang", "text")
+    english = rows.filter(F.col("lang") == "en")
+    first = embed_ledger.embed_new(english, "text", _letter_embedder, place, "letters", slice_texts=20_000)
+    _, second = embed_ledger.embed_through(rows, "text", _letter_embedder, place, "letters", slice_texts=20_000)
+    found, third = embed_ledger.embed_through(rows, "text", _letter_embedder, place, "letters")
+    return found.select(
+        "doc_id",
+        F.col("embedding")[0].cast("double").alias("x0"),
+        F.col("embedding")[1].cast("double").alias("x1"),
+        F.lit(first + second).cast("long").alias("texts"),
+        F.lit(third).cast("long").alias("again"),
+    )
+
+
 @register
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Chunk files streamed into the tenant layout, one file twice; then the table."""
