@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinseek.functions.json import json_contains, json_has_key
-from twinseek.operators import ann, blockmax, embed_ledger, jsonindex, keyword, pq, settings, vector
+from twinseek.operators import ann, blockmax, embed_ledger, heavy, jsonindex, keyword, pq, settings, vector
 from twinseek.session import cut_lineage
 
 
@@ -243,3 +243,23 @@ def test_ledger_embeds_what_is_new(spark, tmp_path):
     assert n == distinct and {r["vector"][1] for r in queries.collect()} == {1.0}
     assert embed_ledger.ledger(spark, folder).count() == 3 * distinct
     assert embed_ledger.embed_through(rows.limit(0), "text", _refusing, folder, "m3")[0].count() == 0
+
+
+@pytest.mark.parametrize("capacity", [5, 40, 4096])
+def test_frequent_values_are_exact(spark, capacity):
+    rng = random.Random(capacity)
+    values = [f"v{int(rng.paretovariate(0.7)) % 3000}" for _ in range(6000)] + [f"tie{i}" for i in range(40)] * 50 + [None] * 30 + [""] * 10
+    rng.shuffle(values)
+    table = spark.createDataFrame([(v,) for v in values], "x string").repartition(5)
+    counts = {}
+    for v in values:
+        if v is not None:
+            counts[v] = counts.get(v, 0) + 1
+    ranked = sorted(counts.items(), key=lambda c: (-c[1], c[0]))
+    for top in (1, 3, 25):
+        assert [tuple(r) for r in heavy.most_frequent(table, top, capacity).collect()] == ranked[:top]
+    summed = {r["val"]: r["n"] for r in heavy.summaries(table.filter("x is not null"), capacity).collect()}
+    taken = summed.pop(None)
+    assert all(counts[v] - taken <= n <= counts[v] for v, n in summed.items())
+    assert all(n <= taken for v, n in counts.items() if v not in summed)
+    assert heavy.most_frequent(table.limit(0), 3, capacity).collect() == []

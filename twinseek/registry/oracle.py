@@ -466,6 +466,10 @@ SELECT key, count(*) AS count FROM present GROUP BY key ORDER BY count DESC, key
     sql["json_value_histogram"] = base(CHUNKS) + (
         "SELECT CAST(word_count AS VARCHAR) AS val, count(*) AS cnt FROM c GROUP BY 1 ORDER BY cnt DESC, val LIMIT 10"
     )
+    sql["json_value_summary"] = sql["json_value_histogram"]
+    sql["frequent_words"] = base(CHUNKS, POSITIONS) + (
+        "SELECT lexeme AS val, count(*) AS cnt FROM v GROUP BY lexeme ORDER BY cnt DESC, val LIMIT 30"
+    )
     sql["json_frequent_values"] = base(CHUNKS) + (
         "SELECT position AS val, count(*) AS cnt FROM c GROUP BY 1 HAVING count(*) > 100 ORDER BY cnt DESC, val LIMIT 5"
     )

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 from twinseek.functions import json as js
 from twinseek.functions import text as tx
 from twinseek.functions import vectors as vx
-from twinseek.operators import ann, blockmax, embed, embed_ledger, enrich, evalset, fusion, histograms, ingest, jsonindex, keyword, metrics, pq, quality
+from twinseek.functions.fulltext import tokens
+from twinseek.operators import ann, blockmax, embed, embed_ledger, enrich, evalset, fusion, heavy, histograms, ingest, jsonindex, keyword, metrics, pq, quality
 from twinseek.operators import vector as vec
 from twinseek.plans import search, suite
 from twinseek.session import cut_lineage, shared_folder
@@ -367,6 +368,20 @@ def json_value_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return histograms.value_histogram(cp.chunks(spark, folder), "word_count")
 
 
+@register
+def json_value_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The most frequent values of a key, proved by summaries and counted exactly."""
+    values = cp.chunks(spark, folder).select(js.json_text(F.col("meta"), "word_count").alias("val"))
+    return heavy.most_frequent(values, histograms.TOP_VALUES)
+
+
+@register
+def frequent_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The most frequent words of all chunks, where most distinct words are rare."""
+    words = cp.chunks(spark, folder).select(F.explode(tokens(F.col("text"))).alias("val"))
+    return heavy.most_frequent(words, 30)
+
+
 @register
 def json_frequent_values(spark: SparkSession, folder: str) -> DataFrame:
     return histograms.frequent_values(histograms.value_histogram(cp.chunks(spark, folder), "position"))
