@@ -7,7 +7,7 @@ symbol's surroundings decide only where it begins and ends; each symbol carries
 this range lies inside a window of words, every equal window in the corpus holds the same symbol at the same place.
 
 Words are named by 128 bits of their bytes. Each window takes, of the symbols of the highest round it holds with their ranges, the one
-of the least name, and the symbol's name is its key; a window without any is its own key. Keys that two texts share reveal the windows that may
+with the least key; a symbol's key is its name together with the words of its range. A window without any is its own key. Keys that two texts share reveal the windows that may
 repeat (`repeats`); these are verified by a 128-bit name of all their words, grouped for the smallest id.
 
 Copies of a whole text are one text: what is not the smallest id of its text loses every word if it has a whole window.
@@ -159,7 +159,9 @@ def window_keys(
         low, high, name = levels[level]
         inside = high - low <= window
         low, high = low[inside], high[inside]
-        value = mixed(name[inside] + np.uint64(level))
+        known = (low >= 0) & (high <= len(names))
+        value = np.full(len(low), ~np.uint64(0))
+        value[known] = mixed(name[inside][known] ^ rolling.of(low[known], high[known]))
         begin = np.searchsorted(low, starts[open_], "left")
         stop = np.searchsorted(high, starts[open_] + window, "right")
         some = stop > begin
