@@ -150,8 +150,13 @@ def test_lists_stop_early():
     vectors = np.zeros((5000, 4))
     vectors[:, 0] = random.integers(0, 1000, 5000)
     vectors[:20, 0] = 5000 + np.arange(20)
-    rows, scores = topk.SortedLists(vectors).scores(np.array([7.0, 0, 0, 0]), 10, -1)
-    assert len(rows) < 200 and sorted(scores)[-10:] == [7 * (5010 + i) for i in range(10)]
+    asked = np.array([[7.0, 0, 0, 0], [-1.0, 0, 0, 0]])
+    found, scored = topk.SortedLists(vectors).best(asked[:1], 10, np.array([-1]), np.arange(5000))
+    assert scored < 200 and sorted(s for _, _, s in found) == [7 * (5010 + i) for i in range(10)]
+    found, scored = topk.SortedLists(vectors).best(asked, 10, np.array([19, 7]), np.arange(5000)[::-1])
+    assert sorted(s for q, _, s in found if q == 0) == [7 * (5009 + i) for i in range(10)]
+    least = sorted((vectors[r, 0], -r) for r in range(5000) if r != 7)[:10]
+    assert sorted((-s, -r) for q, r, s in found if q == 1) == least
 
 
 # ---- toxicity

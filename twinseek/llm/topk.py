@@ -1,10 +1,11 @@
 """Exact top-k by inner product with the threshold algorithm over sorted per-dimension lists.
 
 Rows are dealt into shards and queries into blocks of bounded size; each pair of them is one group of the job, so neither
-side has to fit a task or the driver. In a shard every dimension has its rows sorted by value. A query reads the lists downwards
-where its component is positive and upwards where it is negative, all of them to the same depth; rows that come up are scored in full.
-No row further down can score more than the sum over the dimensions of query component times the value at the present depth. Once this
-bound is below the k-th best score (equal scores could still win by id), the query is finished in that shard. The best of all
+side has to fit a task or the driver. In a shard every dimension has its rows sorted by value. The queries of a block read the lists from
+both ends, downwards for positive and upwards for negative components, all to the same depth; rows that come up are scored in full, in
+one product for all queries that are not finished. No row that has not come up can score more than the sum over the dimensions of
+query component times the value at the present depth. Once this bound is below a query's k-th best score (equal scores could still
+win by id), the query is finished in that shard. The best of all
 shards are ranked at the end; a query never has more than k rows per shard.
 
 Components are whole numbers, floor(1024 x), so scores are exact.
@@ -28,6 +29,8 @@ SCALE = 1024
 SHARD_ROWS, BLOCK_QUERIES = 4096, 1024
 # Depth of the first reading of the lists; each further one goes GROWTH times as deep.
 FIRST_DEPTH, GROWTH = 16, 4
+# Below every score.
+NEVER = float("-inf")
 FOUND = "query_row long, query_id long, vec_id long, row long, score long"
 
 
@@ -47,44 +50,62 @@ def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 class SortedLists:
-    """One shard: its vectors and, for each dimension, its rows by rising value."""
+    """One shard: its vectors, for each dimension its values in order, and the depth at which each row first comes up."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T
-        self.values = np.take_along_axis(vectors, self.order.T, axis=0).T if vectors.size else self.order
-
-    def scores(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows seen and their scores; contains the k best rows besides `own` and all ties with them."""
-        n, dims = self.vectors.shape
-        seen = np.zeros(n, bool)
-        if own >= 0:
-            seen[own] = True
-        rows = np.zeros(0, np.int64)
-        scores = query[:0]
-        asked = np.flatnonzero(query != 0)
-        rising = query[asked] < 0
-        depth, begin = FIRST_DEPTH, 0
-        while True:
-            end = min(depth, n)
-            lists = self.order[asked]
-            read = np.concatenate([lists[rising, begin:end].ravel(), lists[~rising, n - end : n - begin].ravel()])
-            fresh = np.zeros(n, bool)
-            fresh[read] = True
-            if end == n:
-                fresh[:] = True  # with no component asked for, all rows tie at 0
-            fresh &= ~seen
-            new = np.flatnonzero(fresh)
-            seen |= fresh
-            rows = np.concatenate([rows, new])
-            scores = np.concatenate([scores, self.vectors[new] @ query])
-            if end == n:
-                return rows, scores
-            at = np.where(rising, self.values[asked, end - 1], self.values[asked, n - end])
-            bound = (query[asked] * at).sum()
-            if len(scores) >= k and np.sort(scores)[-k] > bound:
-                return rows, scores
-            begin, depth = end, depth * GROWTH
+        n = len(vectors)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, order, axis=0) if vectors.size else vectors
+        place = np.empty(vectors.shape, np.int64)
+        if vectors.size:
+            np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
+        # lists are read from both ends, as queries of a block have either sign
+        first = np.minimum(place, n - 1 - place).min(axis=1, initial=n)
+        self.rows = np.argsort(first, kind="stable")
+        self.first = first[self.rows]
+
+    def bounds(self, queries: np.ndarray, depth: int) -> np.ndarray:
+        """What a row that has not come up at a depth can score at most, for each query."""
+        high, low = self.values[len(self.values) - depth], self.values[depth - 1]
+        return np.maximum(queries, 0) @ high + np.minimum(queries, 0) @ low
+
+    def best(self, queries: np.ndarray, k: int, own: np.ndarray, by_id: np.ndarray) -> tuple[list[tuple], int]:
+        """(query, row, score) of the k best rows besides `own` of every query, equal scores by `by_id`; and how many rows were scored.
+
+        All queries that are not finished read the lists to the same depth; the rows that come up fresh are scored in one product.
+        """
+        n = len(self.vectors)
+        found: list[tuple] = []
+        open_ = np.arange(len(queries))
+        scores = np.zeros((len(queries), 0), queries.dtype)
+        place_of = np.empty(n, np.int64)
+        place_of[self.rows] = np.arange(n)
+        depth, scored = FIRST_DEPTH, 0
+        while len(open_):
+            # with no component at all, all rows tie at 0
+            end = n if depth >= n or not queries.shape[1] else int(np.searchsorted(self.first, depth))
+            fresh = queries[open_] @ self.vectors[self.rows[scored:end]].T
+            mine = np.where(own[open_] >= 0, place_of[own[open_]], -1)
+            for i in np.flatnonzero((mine >= scored) & (mine < end)):
+                fresh[i, mine[i] - scored] = NEVER if fresh.dtype == object else -np.inf
+            scores = np.concatenate([scores, fresh], axis=1)
+            scored = end
+            if end > k:
+                kth = np.partition(scores, -k, axis=1)[:, -k]
+                done = np.full(len(open_), True) if end == n else kth > self.bounds(queries[open_], depth)
+            else:
+                kth = np.full(len(open_), -np.inf)
+                done = np.full(len(open_), end == n)
+            for i in np.flatnonzero(done):
+                of = scores[i]
+                above, equal = np.flatnonzero(of > kth[i]), np.flatnonzero(of == kth[i])
+                equal = equal[np.argsort(by_id[self.rows[equal]], kind="stable")][: max(0, k - len(above))]
+                kept = [j for j in (*above, *equal) if of[j] > NEVER]
+                found += [(int(open_[i]), int(self.rows[j]), int(of[j])) for j in kept]
+            open_, scores = open_[~done], scores[~done]
+            depth *= GROWTH
+        return found, scored
 
 
 def _search(k: int):
@@ -93,23 +114,19 @@ def _search(k: int):
     def search(key: tuple, queries: pa.Table, shard: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and shard.num_rows:
-            lists = SortedLists(matrix(shard.column("vector"), shard.num_rows))
+            vectors = matrix(shard.column("vector"), shard.num_rows)
             asked = matrix(queries.column("vector"), queries.num_rows)
-            if asked.dtype != lists.vectors.dtype or asked.dtype == object:
-                lists = SortedLists(lists.vectors.astype(np.int64).astype(object))
-                asked = asked.astype(np.int64).astype(object)
+            if asked.dtype != vectors.dtype or asked.dtype == object:
+                vectors, asked = (m.astype(np.int64).astype(object) for m in (vectors, asked))
             ids = shard.column("vec_id").to_pylist()
             places = shard.column("row").to_pylist()
             at = {row: i for i, row in enumerate(places)}
-            heads = zip(queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), strict=True)
-            for query, (row, query_id) in zip(asked, heads, strict=True):
-                rows, scores = lists.scores(query, k, at.get(row, -1))
-                if len(scores) > k:
-                    keep = scores >= np.sort(scores)[-k]
-                    rows, scores = rows[keep], scores[keep]
-                found = [(-int(s), ids[i] is None, ids[i] or 0, places[i], ids[i]) for i, s in zip(rows.tolist(), scores, strict=True)]
-                for score, _, _, place, vec_id in sorted(found)[:k]:
-                    out.append((row, query_id, vec_id, place, max(min(-score, limit), -limit - 1)))
+            heads = list(zip(queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), strict=True))
+            by_id = np.empty(len(ids), np.int64)
+            by_id[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, places[i]))] = np.arange(len(ids))
+            own = np.array([at.get(row, -1) for row, _ in heads])
+            for query, row, score in SortedLists(vectors).best(asked, k, own, by_id)[0]:
+                out.append((*heads[query], ids[row], places[row], max(min(score, limit), -limit - 1)))
         columns = list(zip(*out, strict=True)) or [()] * 5
         names = ["query_row", "query_id", "vec_id", "row", "score"]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names)
