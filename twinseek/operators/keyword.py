@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinseek.functions import fulltext
 from twinseek.operators.ranking import top_k_per_query
-from twinseek.operators.sizing import fits_broadcast
+from twinseek.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast
 from twinseek.session import cut_lineage
 
 # Words of a batch up to this many are pushed into the postings scan.
@@ -102,16 +102,19 @@ def keyword_matches(
     - With stored postings (`lines`, clustered by lexeme) neither reads the index: see `_from_postings`.
     """
     leads = cut_lineage(anchors(compile_queries(_query_columns(queries, scoped), dictionary), known))
-    small = fits_broadcast(leads) if small is None else small
+    used = None
+    if small is None:
+        small, used = _measured(leads)
+    elif small:
+        used = _measured(leads)[1]
     on = ["anchor", "user_id"] if scoped else ["anchor"]
     unused = [] if scoped else ["user_id"]
     words = F.concat(F.col("text_search_vector.lexeme"), F.array(F.lit(fulltext.EVERY_CHUNK)))
     if lines is not None:
         pairs = _from_postings(leads, lines.drop(*unused), on, small, keep)
-    elif small and (used := _few_anchors(leads)) is not None:
+    elif small and used is not None:
         # a vector is carried along for the words that a query is anchored at, not for each of its words
-        met = F.filter(words, lambda word: word.isin(used))
-        exploded = index.select("id", "user_id", *keep, "text_search_vector", F.explode(met).alias("anchor"))
+        exploded = index.select("id", "user_id", *keep, "text_search_vector", F.explode(_among(used)).alias("anchor"))
         pairs = exploded.drop(*unused).join(F.broadcast(leads), on)
     else:
         held = index.select("id", "user_id", F.explode(words).alias("anchor")).drop(*unused)
@@ -132,10 +135,29 @@ def matched(pairs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _few_anchors(leads: DataFrame) -> list[str] | None:
-    """The distinct anchors, or None if there are more than a list in the plan should hold."""
-    anchors_ = leads.select("anchor").distinct().limit(LISTED_ANCHORS + 1).toArrow()["anchor"].to_pylist()
-    return anchors_ if len(anchors_) <= LISTED_ANCHORS else None
+def _among(listed: list[str]) -> Column:
+    """The lexemes of a chunk that are listed.
+
+    Written as one piece of SQL text: a literal column for each would cost a call to the JVM.
+    """
+    words = "text_search_vector.lexeme"
+    if fulltext.EVERY_CHUNK in listed:
+        words = f"concat({words}, array('{fulltext.EVERY_CHUNK}'))"
+    quoted = ["'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'" for word in listed]
+    return F.expr(f"filter({words}, word -> word IN ({', '.join(quoted) or 'NULL'}))")
+
+
+def _measured(leads: DataFrame) -> tuple[bool, list[str] | None]:
+    """Whether the leads may be broadcast, and their distinct anchors, or None if these are more than a list in the plan should hold.
+
+    One job, unless the anchors are many.
+    """
+    size = F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+    counted = leads.groupBy("anchor").agg(F.count("*").alias("n"), size).limit(LISTED_ANCHORS + 1).toArrow()
+    if counted.num_rows > LISTED_ANCHORS:
+        return fits_broadcast(leads), None
+    rows, size_ = (sum(counted[c].to_pylist()) for c in ("n", "bytes"))
+    return rows <= BROADCAST_ROWS and size_ <= BROADCAST_BYTES, counted["anchor"].to_pylist()
 
 
 def _from_postings(leads: DataFrame, lines: DataFrame, on: list[str], small: bool, keep: Sequence[str]) -> DataFrame:
