@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twinseek.functions.json import json_contains, json_has_key
 from twinseek.operators import ann, blockmax, embed_ledger, heavy, jsonindex, keyword, pq, settings, vector
 from twinseek.session import cut_lineage
+from twinseek.sources import sampling
 
 
 def written_blocks(spark, tmp_path, size):
@@ -263,3 +264,34 @@ def test_frequent_values_are_exact(spark, capacity):
     assert all(counts[v] - taken <= n <= counts[v] for v, n in summed.items())
     assert all(n <= taken for v, n in counts.items() if v not in summed)
     assert heavy.most_frequent(table.limit(0), 3, capacity).collect() == []
+
+
+def test_block_sample_opens_a_share_of_the_files(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    spark.range(20_000).repartition(160, "id").write.parquet(path)
+    drawn = sampling.block_sample(spark, path, 0.25)
+    read = {r[0].rsplit("/", 1)[1] for r in drawn.select(F.input_file_name()).distinct().collect()}
+    files = {f.rsplit("/", 1)[1] for f in spark.read.parquet(path).inputFiles()}
+    rows = sorted(r["id"] for r in drawn.collect())
+    assert 20 < len(read) < 60 and 0.15 * 20_000 < len(rows) < 0.35 * 20_000
+    # what is not drawn is not opened: it may be damaged
+    for name in files - read:
+        with open(f"{path}/{name}", "r+b") as file:
+            file.write(b"damaged!")
+            file.seek(-8, 2)
+            file.write(b"damaged!")
+    schema = spark.range(1).schema
+    again = spark.read.schema(schema).parquet(path).filter(sampling._drawn(F.col("_metadata.file_name"), 0.25, 0))
+    assert sorted(r["id"] for r in again.collect()) == rows
+
+
+def test_block_sample_of_few_files(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    spark.range(20_000).coalesce(1).write.parquet(path)
+    assert sampling.block_shares(1, 0.1) == (1.0, 0.1)
+    assert sampling.block_shares(64, 0.1) == (0.5, 0.2)
+    n = sampling.block_sample(spark, path, 0.1).count()
+    assert 1600 < n < 2400 and sampling.block_sample(spark, path, 1).count() == 20_000
+    assert sampling.block_sample(spark, path, 0).count() == 0
+    with pytest.raises(ValueError, match="no share"):
+        sampling.block_sample(spark, path, 2)

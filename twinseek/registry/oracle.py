@@ -519,6 +519,7 @@ few AS (SELECT * FROM drawn ORDER BY md5(id || ':0'), id LIMIT 90),
 chosen AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS stripped FROM few ORDER BY md5(id || ':1'), id LIMIT 30)
 SELECT id, user_id, user_document_id, array_to_string(regexp_extract_all(
   CASE WHEN length(stripped) > 20 THEN stripped ELSE text END, '\S+')[1:10], ' ') AS search_text FROM chosen"""
+    sql["block_sample_report"] = base(CHUNKS) + "SELECT true AS repeats, true AS inside, count(*) AS whole FROM c"
     sql["random_documents"] = base(CHUNKS) + """
 , one AS (SELECT user_document_id, user_id, arg_min(id, md5(id || ':0')) AS chunk_id FROM c WHERE length(text) > 300 GROUP BY ALL)
 SELECT user_document_id AS document_id, chunk_id, user_id FROM one

@@ -19,7 +19,7 @@ from twinseek.operators import vector as vec
 from twinseek.plans import search, suite
 from twinseek.session import cut_lineage, shared_folder
 from twinseek.sources import corpus as cp
-from twinseek.sources import evalfiles, layout, timing
+from twinseek.sources import evalfiles, layout, sampling, timing
 from twinseek.streaming import incremental
 from twinseek.streaming import ingest as stream
 
@@ -880,6 +880,22 @@ def known_item_sample(spark: SparkSession, folder: str) -> DataFrame:
     return evalset.known_items(cp.chunks(spark, folder), 30).select("id", "user_id", "search_text", "user_document_id")
 
 
+@register
+def block_sample_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored table drawn by files: the same rows twice, all of them the table's, and a whole share is the whole table."""
+    place = f"{scratch(spark)}/chunks"
+    cp.chunks(spark, folder).select("id", "text").repartition(64, "id").write.parquet(place)
+    table = spark.read.parquet(place).select("id")
+    drawn = [sampling.block_sample(spark, place, evalset.SAMPLE_SHARE * 10, seed=3).select("id") for _ in range(2)]
+    sides = drawn[0].withColumn("side", F.lit(1)).unionByName(drawn[1].withColumn("side", F.lit(2)))
+    pairs = sides.groupBy("id").agg(F.sum("side").alias("sides"))
+    joined = pairs.join(table.select("id", F.lit(True).alias("held")), "id", "left")
+    whole = sampling.block_sample(spark, place, 1.0).agg(F.count("*").alias("whole"))
+    checked = joined.agg(F.bool_and(F.col("sides") == 3).alias("repeats"), F.bool_and(F.coalesce("held", F.lit(False))).alias("inside"))
+    both = checked.unionByName(whole, allowMissingColumns=True)
+    return both.agg(F.bool_and("repeats").alias("repeats"), F.bool_and("inside").alias("inside"), F.max("whole").alias("whole"))
+
+
 @register
 def random_documents(spark: SparkSession, folder: str) -> DataFrame:
     return evalset.random_documents(cp.documents(spark, folder), cp.chunks(spark, folder), 50).select("document_id", "chunk_id", "user_id")
