@@ -257,6 +257,14 @@ def _meeting(best: int | None, schema: StructType) -> Callable[[tuple, pa.Table,
         asked = Asked(leads, best)
         rows = rows.drop_columns(["block", "shard"])
         found = [b for part in _together(iter(rows.to_batches(BATCH_ROWS))) for b in asked.meet(part)]
-        return pa.Table.from_batches(found).cast(nothing.schema) if found else nothing
+        if not found:
+            return nothing
+        # rows of one id met each other in the join of this form, and still count so
+        copies = rows.group_by("id").aggregate([([], "count_all")])
+        pairs = pa.Table.from_batches(found).cast(nothing.schema)
+        if copies.num_rows == rows.num_rows:
+            return pairs
+        n = copies["count_all"].take(pc.index_in(pairs["id"], value_set=_plain(copies["id"]))).to_numpy()
+        return pairs.take(pa.array(np.repeat(np.arange(len(n)), n)))
 
     return meet
