@@ -44,3 +44,11 @@ def test_only_chunks_with_all_words_leave_the_task(spark):
     held = index.filter(F.size(F.array_intersect("text_search_vector.lexeme", F.array(F.lit("the"), F.lit("rare"), F.lit("tree")))) == 3)
     assert len(words) == held.count()
     assert all(w == {"the", "rare", "tree"} for w in words)
+
+
+def test_repeated_chunks_meet_each_other_in_the_shuffled_form(spark):
+    chunks = spark.createDataFrame([(1, 1, "the cat"), (1, 1, "the cat"), (2, 1, "the cat")], "id long, user_id long, text string")
+    queries = spark.createDataFrame([(1, 1, "cat")], "query_id long, user_id long, query_text string")
+    index = cut_lineage(keyword.text_index(chunks, "simple"))
+    found = keyword.keyword_matches(queries, index, "simple", small=False, best=5)
+    assert sorted(r["id"] for r in found.collect()) == [1, 1, 1, 1, 2]
