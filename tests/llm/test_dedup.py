@@ -114,3 +114,33 @@ def test_word_names_are_digests_of_the_words():
     one, two = substring_dedup.word_names(buffer, starts, ends)
     words = [w for t in texts.to_pylist() for w in t.encode().split()]
     assert [a.tobytes() + b.tobytes() for a, b in zip(one, two, strict=True)] == [xxh3_128_digest(w) for w in words]
+
+
+@pytest.mark.parametrize("letters", [2, 250])
+def test_suffix_order_by_whole_windows(letters):
+    text = np.random.default_rng(3).integers(0, letters, 70_000).astype(np.uint8)
+    for shard in (text[:1], text[:3], text[:4_000], text):
+        ring = np.resize(shard, len(shard) + 50).tobytes()
+        order = suffix_dedup.suffix_order(shard, 50).tolist()
+        windows = [ring[i : i + 50] for i in order]
+        assert sorted(order) == [*range(len(shard))]
+        assert windows == sorted(windows)
+
+
+def test_reads_alone_with_their_gram_are_not_merged(monkeypatch):
+    merged = []
+    repeated = suffix_dedup.repeated
+
+    def seen(reads, *rest):
+        merged.extend(reads)
+        return repeated(reads, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "repeated", seen)
+    alone, one, other = b"abcdefg" * 8, b"x" * 50 + b"1234", b"x" * 50 + b"5678"
+    reads = [(1, 9, 4, alone), (1, 2, 0, alone), (2, 5, 7, one), (2, 3, 0, other), (3, None, 1, alone[::-1])]
+    key, ids, place, read = zip(*reads, strict=True)
+    columns = [pa.array(key), pa.array(ids), pa.array(ids), pa.array(ids, pa.int64()), pa.array(place), pa.array(read)]
+    batch = pa.record_batch(columns, ["key", "d", "e", "doc_id", "place", "read"])
+    found = [r for b in suffix_dedup._judged(50)(iter([batch])) for r in b.to_pylist()]
+    assert merged == [one, other]
+    assert [(r["doc_id"], r["places"]) for r in found] == [(9, [4, 10]), (5, [7])]

@@ -2,7 +2,8 @@
 
 Only windows whose least 16-byte gram (by hash) also is the least of a window of another text can repeat (`repeats`). Such windows are cut out as
 short reads, one per run of windows with the same gram, and gathered by gram, so equal windows meet. In a task equal reads are one
-entry with the smallest id. It splits its reads into shards, sorts the suffixes of each shard alone and keeps its transform. The
+entry with the smallest id; one that is then alone with its gram shares no window and is not merged. The task splits the other reads into
+shards, sorts the suffixes of each shard alone and keeps its transform. The
 transforms are merged without sorting suffixes again: an interleave of the rows of all shards is refined step by step. A refinement reads the
 symbols that the transforms hold at the rows in the present order, deals the rows out by symbol, stably, and follows the transforms to
 the rows in front, which orders the interleave by two more symbols. Only rows of suffixes that begin a whole window are kept in it.
@@ -24,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from twinseek.llm.substring_dedup import BASE, Rolling, covered
 
 WINDOW, GRAM = 50, 16
 # Bytes of reads merged at once in a task, and bytes of one shard of them.
-MERGED_BYTES, SHARD_BYTES = 1 << 20, 1 << 16
+MERGED_BYTES, SHARD_BYTES = 1 << 19, 1 << 16
 # Texts with one gram above which its windows are grouped one by one.
 CROWDED = 20_000
 # A byte that no UTF-8 text holds ends a read.
@@ -145,13 +147,25 @@ def packed(text: np.ndarray, n: int) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray, window: int) -> np.ndarray:
-    """Suffixes of a shard (read as a ring) by their first `window` bytes."""
+    """Suffixes of a shard (read as a ring) by their first `window` bytes.
+
+    Ranks by one length and by the same length further on give ranks by both together, so lengths double. Ranks of a shard of up to
+    65,536 bytes are sorted by counting.
+    """
     n = len(text)
-    eight = packed(text, n + window)
-    columns = [eight[i : i + n] for i in range(0, window - 7, 8)]
-    if window % 8:
-        columns.append(eight[window - window % 8 :][:n] >> np.uint64(64 - 8 * (window % 8)))
-    return np.lexsort(columns[::-1])
+    rank = text.astype(np.uint16)
+    have, kind = 1, np.uint16 if n <= 1 << 16 else np.int64
+    order = np.argsort(rank, kind="stable")
+    while have < window:
+        step = min(have, window - have)
+        behind = np.roll(rank, -step)
+        order = np.lexsort((behind, rank))
+        first, second = rank[order], behind[order]
+        new = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        rank = np.empty(n, kind)
+        rank[order] = np.r_[0, np.cumsum(new)]
+        have += step
+    return order
 
 
 def merge(shards: list[np.ndarray], window: int, starts: np.ndarray) -> np.ndarray:
@@ -195,17 +209,18 @@ def common_prefixes(text: np.ndarray, places: np.ndarray, window: int) -> np.nda
     return prefix
 
 
-def repeated(reads: list[bytes], least: np.ndarray, window: int, shard_bytes: int = SHARD_BYTES) -> list[list[int]]:
-    """For each read the places whose window another read with a smaller id holds too."""
+def repeated(
+    reads: list[bytes], least: np.ndarray, window: int, shard_bytes: int = SHARD_BYTES
+) -> tuple[np.ndarray, np.ndarray]:
+    """Number of a read and place in it, in order, of the windows that another read with a smaller id holds too."""
     shards, held, size = [], [], 0
     for read in reads:
-        held.append(read + bytes([END]))
-        size += len(read) + 1
-        if size >= shard_bytes:
+        if held and size + len(read) + 1 > shard_bytes:
             shards.append(np.frombuffer(b"".join(held), np.uint8))
             held, size = [], 0
-    if held:
-        shards.append(np.frombuffer(b"".join(held), np.uint8))
+        held.append(read + bytes([END]))
+        size += len(read) + 1
+    shards.append(np.frombuffer(b"".join(held), np.uint8))
     lengths = np.array([len(r) + 1 for r in reads])
     begins = np.cumsum(lengths) - lengths
     windows = lengths - window
@@ -217,10 +232,9 @@ def repeated(reads: list[bytes], least: np.ndarray, window: int, shard_bytes: in
     ids = least[read]
     smallest = np.repeat(np.minimum.reduceat(ids, intervals), np.diff(np.r_[intervals, len(ids)]))
     gone = np.flatnonzero(smallest < ids)
-    out: list[list[int]] = [[] for _ in reads]
-    for i, at in zip(read[gone].tolist(), (places[gone] - begins[read[gone]]).tolist(), strict=True):
-        out[i].append(at)
-    return out
+    at = np.sort(places[gone])
+    read = np.searchsorted(begins, at, "right") - 1
+    return read, at - begins[read]
 
 
 def _judged(window: int):
@@ -233,22 +247,41 @@ def _judged(window: int):
         def flushed() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             coded = table.column("read").combine_chunks().dictionary_encode()
-            reads, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            of = coded.indices.to_numpy()
+            n = len(coded.dictionary)
             ids = table.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            least = np.full(len(reads), NO_ID)
+            least = np.full(n, NO_ID)
             np.minimum.at(least, of, ids)
-            gone = repeated(reads, least, window)
-            rows, places = [], []
-            for i, (r, place, later) in enumerate(
-                zip(of.tolist(), table.column("place").to_pylist(), (ids > least[of]).tolist(), strict=True)
-            ):
-                at = {*range(len(reads[r]) - window + 1)} if later else {*gone[r]}
-                if at:
-                    rows.append(i)
-                    # the first and last of a row of windows cover the same bytes, as a read has fewer windows than a window bytes
-                    places.append([place + x for x in sorted(at) if x - 1 not in at or x + 1 not in at])
-            own = [table.column(c).combine_chunks().take(pa.array(rows, pa.int64())) for c in ("d", "e", "doc_id")]
-            return pa.record_batch([*own, pa.array(places, pa.list_(pa.int64()))], ["d", "e", "doc_id", "places"])
+            # equal reads are one; a read that is alone with its gram then has no other to share a window with
+            gram = np.zeros(n, np.int64)
+            gram[of] = table.column("key").to_numpy()
+            _, number, count = np.unique(gram, return_inverse=True, return_counts=True)
+            met = np.flatnonzero(count[number] > 1)
+            read = place = np.zeros(0, np.int64)
+            if len(met):
+                read, place = repeated(coded.dictionary.take(pa.array(met)).to_pylist(), least[met], window)
+                read = met[read]
+            # the first and last of a row of windows cover the same bytes, as a read has fewer windows than a window bytes
+            starts = np.r_[True, (read[1:] != read[:-1]) | (place[1:] != place[:-1] + 1)][: len(read)]
+            ends = np.r_[starts[1:], True][: len(read)]
+            read, place = read[starts | ends], place[starts | ends]
+            last = np.asarray(pc.binary_length(coded.dictionary)).astype(np.int64) - window
+            # places to hand on of each row: first and last of a read whose every window a smaller id has, else what was found
+            later = ids > least[of]
+            found = np.bincount(read, minlength=n)
+            sizes = np.where(later, np.where(last[of] > 0, 2, 1), found[of])
+            row = np.repeat(np.arange(len(of)), sizes)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            begins = np.cumsum(found) - found
+            at = np.zeros(len(row), np.int64)
+            whole = later[row]
+            at[whole] = np.where(nth[whole] == 0, 0, last[of[row[whole]]])
+            at[~whole] = place[begins[of[row[~whole]]] + nth[~whole]]
+            at += table.column("place").to_numpy()[row]
+            rows = np.flatnonzero(sizes)
+            places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes[rows])].astype(np.int32)), pa.array(at))
+            own = [table.column(c).combine_chunks().take(pa.array(rows)) for c in ("d", "e", "doc_id")]
+            return pa.record_batch([*own, places], ["d", "e", "doc_id", "places"])
 
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False)
@@ -256,7 +289,7 @@ def _judged(window: int):
                 continue
             new = np.r_[key[0] != last, key[1:] != key[:-1]]
             last = key[-1]
-            ends = np.cumsum([len(r) for r in batch.column("read").to_pylist()])
+            ends = np.cumsum(np.asarray(pc.binary_length(batch.column("read"))).astype(np.int64))
             begin = 0
             for at in np.flatnonzero(new).tolist():
                 # flush where a new gram begins, so that no gram is parted
