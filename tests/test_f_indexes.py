@@ -100,6 +100,31 @@ def test_codes_reach_recall_and_whole_pools_are_exact(spark, tmp_path, monkeypat
     assert pq.search(queries.limit(0), index, 10, 6, 100).count() == 0
 
 
+def test_a_whole_pool_is_handed_on_in_bounded_groups(spark, tmp_path, monkeypatch):
+    table = cut_lineage(vectors_of(spark, 800, 6))
+    queries = table.filter("id % 4 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    pq.write_codes(table, ann.train(table, 3, seed=1), str(tmp_path), parts=2)
+    index = pq.read_codes(spark, str(tmp_path))
+    largest = 25_000
+    lookup = pq._lookup
+
+    def watched(*how):
+        search = lookup(*how)
+
+        def checked(key, asking, codes):
+            found = search(key, asking, codes)
+            assert found.num_rows <= largest
+            return found
+
+        return checked
+
+    plain = sorted(map(tuple, pq.search(queries, index, 5, 3, 800).select("query_id", "id", "rank").collect()))
+    monkeypatch.setattr(pq, "_lookup", watched)
+    monkeypatch.setattr(pq, "FOUND_ROWS", 8_000)
+    bounded = pq.search(queries, index, 5, 3, 800).select("query_id", "id", "rank")
+    assert sorted(map(tuple, bounded.collect())) == plain
+
+
 def test_centers_do_not_depend_on_the_order_of_rows(spark):
     table = cut_lineage(vectors_of(spark, 600, 6))
     clusters = ann.train(table, 3, seed=2)

@@ -27,6 +27,8 @@ CENTERS, PARTS, ROUNDS = 256, 16, 12
 # Vectors that the centres are fitted on at most; codes of a shard, and queries of a block, that meet in one group.
 FIT_ROWS, SHARD_CODES, BLOCK_QUERIES = 65_536, 1 << 18, 4096
 SCORED = 1 << 14
+# Rows that a group hands on at once; with a large pool fewer queries make a block.
+FOUND_ROWS = 1 << 21
 FOUND = "query_id long, id long, cluster int, about double"
 
 
@@ -199,10 +201,11 @@ def search(queries: DataFrame, index: Coded, k: int, probes: int, pool: int) ->
     """k nearest by exact distance among the `pool` best codes of each query's `probes` clusters: `query_id, id, distance, rank`."""
     asked = cut_lineage(probed(queries.select("query_id", "query_embedding"), index.coarse, probes))
     n = asked.select("query_id").distinct().count()
-    blocks = max(1, -(-n // BLOCK_QUERIES))
     # one row a cluster: how many shards its codes are dealt into
     counts = {r["cluster"]: r["count"] for r in index.codes.groupBy("cluster").count().collect()}
     sizes = [max(1, -(-counts.get(c, 0) // SHARD_CODES)) for c in range(len(index.coarse.centers))]
+    handed_on = min(pool, max([-(-m // sizes[c]) for c, m in counts.items()], default=1))
+    blocks = max(1, -(-n // max(1, min(BLOCK_QUERIES, FOUND_ROWS // max(1, handed_on)))))
     shards = F.get(F.array(*[F.lit(s) for s in sizes]), F.col("cluster"))
     keys = ["cluster", "shard", "block"]
     left = asked.select(
