@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinseek.functions.json import json_contains, json_has_key
-from twinseek.operators import ann, blockmax, embed_ledger, heavy, jsonindex, keyword, pq, settings, vector
+from twinseek.operators import ann, blockmax, embed_ledger, heavy, jsonindex, keyword, pq, settings, thinning, vector
 from twinseek.session import cut_lineage
 from twinseek.sources import sampling
 
@@ -62,6 +62,39 @@ def test_smaller_results_read_fewer_postings(spark, tmp_path, monkeypatch):
         assert read[1][query][0] < read[20][query][0] < read[400][query][0] == read[400][query][1]
 
 
+def test_stored_postings_become_blocks_and_vocabulary_without_another_shuffle(spark, tmp_path):
+    index, blocks, lines = written_blocks(spark, tmp_path, 4)
+    cut = blockmax.blocks_of(lines, ["user_document_id"], 4)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    held = [b.select("lexeme", "user_id", F.explode(F.arrays_zip("ids", "positions"))) for b in (cut, blocks)]
+    assert sorted(map(repr, held[0].collect())) == sorted(map(repr, held[1].collect()))
+    words = [sorted(map(tuple, v.collect())) for v in (keyword.postings_vocabulary(lines), keyword.vocabulary(index))]
+    assert words[0] == words[1]
+
+
+def test_lookups_shuffle_little_beyond_what_is_asked(spark, tmp_path, monkeypatch):
+    """What the exact joins get: every wanted row, null and repeated keys included, and few others."""
+    rows = spark.range(20_000).select(F.concat(F.lit("w"), F.col("id") % 50).alias("lexeme"), "id")
+    wanted = rows.filter("id % 100 = 7").select("lexeme", F.col("id").cast("int").alias("id"))
+    kept = thinning.thinned(rows, wanted.unionByName(wanted), ["lexeme", "id"])
+    assert kept.join(wanted, ["lexeme", "id"], "left_semi").count() == 200 and kept.count() < 220
+    assert thinning.thinned(rows, wanted.limit(0), ["lexeme", "id"]).count() == 0
+
+    index, blocks, lines = written_blocks(spark, tmp_path, 4)
+    passed = []
+    for module in (blockmax, keyword):
+        monkeypatch.setattr(module, "thinned", lambda r, w, k: passed.append((k, r.count(), thinning.thinned(r, w, k))) or passed[-1][2])
+    queries = spark.createDataFrame([(1, 1, "cat -hot")], "query_id long, user_id long, query_text string")
+    expected = sorted(map(tuple, keyword.keyword_topk(queries, index, 3, dictionary="simple").collect()))
+    stored = keyword.keyword_topk(queries, index, 3, dictionary="simple", lines=lines)
+    assert sorted(map(tuple, stored.collect())) == expected
+    key, before, after = passed.pop()
+    assert key == ["id"] and after.count() < before
+    found = blockmax.block_topk(queries, blocks, lines, 3, "simple")[0]
+    assert sorted(map(tuple, found.select(*stored.columns).collect())) == expected
+    assert all(kept.count() < n / 4 for _, n, kept in passed)
+
+
 def test_blocks_are_cut_by_word_tenant_and_size():
     kinds = {"lexeme": ["a"] * 5 + ["b"] * 2, "user_id": [1, 1, 1, 2, 2, 2, 2], "id": list(range(7)), "weight": [3, 2, 2, 1, 1, 9, 1]}
     batch = pa.RecordBatch.from_pydict(kinds | {"positions": [[1]] * 7})
