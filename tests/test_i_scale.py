@@ -1,9 +1,13 @@
 """Work that grew faster than the tables, on rows made here."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from twinseek.operators import candidates
+from twinseek.functions import json as js
+from twinseek.operators import candidates, settings, vector
+from twinseek.plans import suite
 from twinseek.sources import corpus as cp
 
 
@@ -49,3 +53,54 @@ def test_a_group_starts_from_its_rarest_word_of_the_batch():
     found = [pair for lead, row in asked.pairs(rows, entries) for pair in zip(lead.tolist(), row.tolist(), strict=True)]
     assert started == [1, 51]
     assert sorted(found) == [(0, 50), *[(1, i) for i in range(51)]]
+
+
+def test_settings_that_ask_the_same_are_searched_once(spark):
+    rows, filters = suite.matrix(), {"position": "middle"}
+    for asked in suite.matrix_settings(rows, filters):
+        merged, _ = settings._shared(asked)
+        assert (len(asked), len(merged)) == (10, 8)
+        assert {s.name: s.k for s in merged}["Vector/denorm/user_id" if asked[0].name.startswith("V") else "Text/denorm/user_id"] == 20
+    table = spark.range(60).select(
+        "id", (F.col("id") % 3).alias("user_id"), (F.col("id") * 2).alias("user_document_id"),
+        F.array(*[F.cos(F.col("id") * i).cast("float") for i in (1, 2)]).alias("embedding"),
+    )
+    queries = table.filter("id % 7 = 0").select(F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("query_embedding"))
+    user = vector.Scope("user_id", "user_id")
+    odd = F.col("id") % 2 == 1
+    chosen = [settings.Setting("few", 2, [user], odd), settings.Setting("all", 3), settings.Setting("many", 9, [user], odd)]
+    found = settings.nearest_settings(queries, table, chosen)
+    alone = {
+        "few": vector.nearest_batch(queries, table.filter(odd), 2, [user]),
+        "all": vector.nearest_batch(queries, table, 3),
+        "many": vector.nearest_batch(queries, table.filter(odd), 9, [user]),
+    }
+    expected = [(n, *r) for n, df in alone.items() for r in df.select("query_id", "id", "rank").collect()]
+    assert sorted(map(tuple, found.select("name", "query_id", "id", "rank").collect())) == sorted(expected)
+
+
+def test_a_known_bound_spares_the_selection(monkeypatch):
+    random = np.random.default_rng(3)
+    x, q = random.normal(size=(4000, 8)), random.normal(size=(5, 8))
+    best = vector.TopRows(np.arange(5), 6, ["id"])
+    selected = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **how: selected.append(a.shape[1]) or partition(a, *rest, **how))
+    for at in range(0, 4000, 1000):
+        rows = np.arange(at, at + 1000)
+        best.add(-(x[rows] @ q.T), rows[None, :], np.arange(5), x[rows], q)
+        best.settle()
+    assert selected == [5]
+    found = best.batch()
+    order = np.argsort(-(x @ q.T), axis=0, kind="stable")[:6]
+    assert found["id"].to_numpy().reshape(5, 6).tolist() == order.T.tolist()
+
+
+def test_a_value_is_parsed_once_for_all_parts_of_a_condition(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1, "b": {"c": true}}'), (2, '{"a": 1}'), (3, "no json"), (4, None)], "id long, meta string")
+    wanted = js.json_contains(F.col("meta"), {"a": 1, "b": {"c": True}})
+    found = rows.select("id", wanted.alias("held"))
+    assert {r["id"]: r["held"] for r in found.collect()} == {1: True, 2: False, 3: False, 4: None}
+    expression = found._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    # one null check and one parse
+    assert expression.count("meta#") == 2
