@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinseek.functions import json as js
-from twinseek.operators import candidates, settings, vector
+from twinseek.operators import blockmax, candidates, keyword, settings, vector
 from twinseek.plans import suite
+from twinseek.session import cut_lineage
 from twinseek.sources import corpus as cp
 
 
@@ -104,3 +105,22 @@ def test_a_value_is_parsed_once_for_all_parts_of_a_condition(spark):
     expression = found._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
     # one null check and one parse
     assert expression.count("meta#") == 2
+
+
+def test_words_of_a_chunk_are_put_together_once_for_all_queries(spark, tmp_path, monkeypatch):
+    """A chunk that many queries choose is looked up once, not once for every one of them."""
+    chunks = spark.createDataFrame([(i, 1, f"common w{i % 4} v{i % 3}") for i in range(48)], "id long, user_id long, text string")
+    index = cut_lineage(keyword.text_index(chunks, "simple"))
+    lines = cut_lineage(keyword.postings(index).unionByName(keyword.chunk_postings(index)))
+    blocks = cut_lineage(blockmax.block_postings(index))
+    asked = [(q, 1, f"common w{q % 4}") for q in range(40)] + [(q, 1, f"w{q % 4} v{q % 3}") for q in range(40, 60)]
+    queries = spark.createDataFrame(asked, "query_id long, user_id long, query_text string")
+    met = []
+    original = candidates.candidates
+    monkeypatch.setattr(blockmax, "candidates", lambda leads, rows, *rest: met.append((leads.count(), rows.count())) or original(leads, rows, *rest))
+    found = blockmax.block_topk(queries, blocks, lines, 5, "simple")[0]
+    expected = keyword.keyword_topk(queries, index, 5, dictionary="simple")
+    columns = ["query_id", "id", "relevance", "rank"]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, expected.select(*columns).collect()))
+    # distinct texts, and chunks, however many queries chose them
+    assert met[0][0] <= 16 and met[0][1] <= 48
