@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinseek.functions import json as js
-from twinseek.operators import blockmax, candidates, keyword, settings, vector
+from twinseek.operators import ann, blockmax, candidates, keyword, pq, settings, vector
 from twinseek.plans import suite
 from twinseek.session import cut_lineage
 from twinseek.sources import corpus as cp
@@ -124,3 +124,30 @@ def test_words_of_a_chunk_are_put_together_once_for_all_queries(spark, tmp_path,
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, expected.select(*columns).collect()))
     # distinct texts, and chunks, however many queries chose them
     assert met[0][0] <= 16 and met[0][1] <= 48
+
+
+@pytest.mark.parametrize("limits", [{}, {"WHOLE_CODES": 20, "WHOLE_QUERIES": 7}])
+def test_a_pool_of_every_code_is_ranked_where_the_vectors_are(spark, tmp_path, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(pq, name, value)
+    random = np.random.default_rng(5)
+    x = random.normal(size=(300, 6))
+    x[100:110] = x[7]
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    table = cut_lineage(spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3))
+    queries = table.filter("id % 15 = 7").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    pq.write_codes(table, ann.train(table, 4, seed=1), str(tmp_path), parts=3)
+    index = pq.read_codes(spark, str(tmp_path))
+    handed = []
+    original = pq._search_whole
+    monkeypatch.setattr(pq, "_search_whole", lambda *a: handed.append(original(*a)) or handed[-1])
+    found = pq.search(queries, index, 5, 4, 300).withColumn("distance", F.round("distance", 9))
+    expected = vector.nearest_batch(queries, table, 5).withColumn("distance", F.round("distance", 9)).select(*found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    # k rows a query and group leave a group, where every pair did
+    groups = 4 if not limits else sum(-(-r["count"] // 20) for r in index.codes.groupBy("cluster").count().collect())
+    assert handed[0].count() <= queries.count() * groups * 5
+    # with smaller pools both forms stand beside each other
+    sizes = sorted(r["count"] for r in index.codes.groupBy("cluster").count().collect())
+    mixed = pq.search(queries, index, 5, 1, sizes[1])
+    assert mixed.groupBy("query_id").count().filter("count <> 5").count() == 0 and mixed.select("query_id").distinct().count() == queries.count()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from twinseek.functions.vectors import negative_inner_product
 from twinseek.operators.ann import Clusters, assign, probed, read_clusters, write_clusters
 from twinseek.operators.ranking import top_k_per_query
+from twinseek.operators.vector import SCORE_BLOCK, SHARD_BATCH, TopRows
 from twinseek.session import cut_lineage
 
 CENTERS, PARTS, ROUNDS = 256, 16, 12
@@ -29,6 +30,8 @@ FIT_ROWS, SHARD_CODES, BLOCK_QUERIES = 65_536, 1 << 18, 4096
 SCORED = 1 << 14
 # Rows that a group hands on at once; with a large pool fewer queries make a block.
 FOUND_ROWS = 1 << 21
+# Codes and queries that meet in one group, with the vectors, where the pool holds every code.
+WHOLE_CODES, WHOLE_QUERIES = 1 << 16, 1 << 14
 FOUND = "query_id long, id long, cluster int, about double"
 
 
@@ -197,12 +200,80 @@ def _lookup(pool: int, coarse: Clusters, book: Codebook) -> Callable[[tuple, pa.
     return search
 
 
+def _reranked(k: int, pool: int, coarse: Clusters, book: Codebook) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The k nearest of one shard of one cluster for every query of a block, among the pool that its codes make."""
+
+    def search(key: tuple, asking: pa.Table, codes: pa.Table) -> pa.Table:
+        if not asking.num_rows or not codes.num_rows:
+            return pa.Table.from_batches([TopRows(np.zeros(0, np.int64), k, ["id"]).batch()])
+        queries, x = _stacked(asking["query_embedding"]), _stacked(codes["embedding"])
+        ids = codes["id"].to_numpy()
+        names = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), book.parts).T.astype(np.int64)
+        base = queries @ coarse.centers[key[0].as_py()][:-1]
+        best = TopRows(asking["query_id"].to_numpy(), k, ["id"])
+        for start in range(0, len(queries), SCORE_BLOCK):
+            block = np.arange(start, min(start + SCORE_BLOCK, len(queries)))
+            pooled = np.ones((len(ids), len(block)), bool)
+            for at, table in enumerate(book.tables(queries[block])):
+                scores = np.full(len(ids), base[block[at]])
+                for part in range(book.parts):
+                    scores += table[part].take(names[part])
+                if len(ids) > pool:
+                    pooled[:, at] = scores >= np.partition(scores, -pool)[-pool]
+            for low in range(0, len(ids), SHARD_BATCH):
+                some = slice(low, low + SHARD_BATCH)
+                distance = np.where(pooled[some], -(x[some] @ queries[block].T), np.inf)
+                best.add(distance, ids[None, some], block, x[some], queries)
+            best.settle()
+        return pa.Table.from_batches([best.batch()])
+
+    return search
+
+
+def _search_whole(asked: DataFrame, index: Coded, counts: dict[int, int], k: int, pool: int) -> DataFrame:
+    """Searches whose pool holds every code of the probed clusters: nothing is left to choose between groups, so each of them ranks its
+    codes by their vectors and hands on k rows a query: `query_id, id, distance`."""
+    n = asked.select("query_id").distinct().count()
+    sizes = [max(1, -(-counts.get(c, 0) // WHOLE_CODES)) for c in range(len(index.coarse.centers))]
+    blocks = max(1, -(-n // WHOLE_QUERIES))
+    shards = F.get(F.array(*[F.lit(s) for s in sizes]), F.col("cluster"))
+    keys = ["cluster", "shard", "block"]
+    left = asked.select(
+        "query_id", "query_embedding", "cluster", _class("query_id", F.lit(blocks)).alias("block"),
+        F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"),
+    )
+    rows = index.codes.select("id", "code", "cluster").join(index.vectors.select("id", "cluster", "embedding"), ["cluster", "id"])
+    right = rows.select("*", _class("id", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = right.join(F.broadcast(asked.select("cluster").distinct()), "cluster", "left_semi")
+    meet = _reranked(k, pool, index.coarse, index.book)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, distance double")
+
+
 def search(queries: DataFrame, index: Coded, k: int, probes: int, pool: int) -> DataFrame:
-    """k nearest by exact distance among the `pool` best codes of each query's `probes` clusters: `query_id, id, distance, rank`."""
+    """k nearest by exact distance among the `pool` best codes of each query's `probes` clusters: `query_id, id, distance, rank`.
+
+    Where the pool holds all codes of a query's clusters, the vectors meet the queries beside the codes and no pair leaves its group.
+    """
     asked = cut_lineage(probed(queries.select("query_id", "query_embedding"), index.coarse, probes))
-    n = asked.select("query_id").distinct().count()
     # one row a cluster: how many shards its codes are dealt into
     counts = {r["cluster"]: r["count"] for r in index.codes.groupBy("cluster").count().collect()}
+    held = F.get(F.array(*[F.lit(counts.get(c, 0)).cast("long") for c in range(len(index.coarse.centers))]), F.col("cluster"))
+    sums = cut_lineage(asked.groupBy("query_id").agg(F.sum(held).alias("codes")))
+    few = sums.agg(F.count_if(F.col("codes") <= pool).alias("whole"), F.count_if(F.col("codes") > pool).alias("cut")).first()
+    if few["whole"]:
+        whole = asked.join(sums.filter(F.col("codes") <= pool), "query_id", "left_semi")
+        found = _search_whole(whole, index, counts, k, pool)
+        if few["cut"]:
+            cut = asked.join(sums.filter(F.col("codes") > pool), "query_id", "left_semi")
+            found = found.unionByName(_search_pool(queries, cut_lineage(cut), index, counts, pool))
+    else:
+        found = _search_pool(queries, asked, index, counts, pool)
+    return top_k_per_query(found, "distance", k)
+
+
+def _search_pool(queries: DataFrame, asked: DataFrame, index: Coded, counts: dict[int, int], pool: int) -> DataFrame:
+    """Distances of the `pool` best codes of each query: `query_id, id, distance`."""
+    n = asked.select("query_id").distinct().count()
     sizes = [max(1, -(-counts.get(c, 0) // SHARD_CODES)) for c in range(len(index.coarse.centers))]
     handed_on = min(pool, max([-(-m // sizes[c]) for c, m in counts.items()], default=1))
     blocks = max(1, -(-n // max(1, min(BLOCK_QUERIES, FOUND_ROWS // max(1, handed_on)))))
@@ -223,7 +294,7 @@ def search(queries: DataFrame, index: Coded, k: int, probes: int, pool: int) ->
         queries.select("query_id", "query_embedding"), "query_id"
     )
     exact = negative_inner_product(F.col("embedding"), F.col("query_embedding")).alias("distance")
-    return top_k_per_query(ranked.select("query_id", "id", exact), "distance", k)
+    return ranked.select("query_id", "id", exact)
 
 
 def _class(column: str, n: Column) -> Column:
